@@ -54,3 +54,15 @@ def ascii_lower(c: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def slices(batches, rows: int = 500):
+    """Arrow batches in pieces of a few hundred rows, so that what a Python worker holds stays small."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
+def remainder(c: Column, n: int) -> Column:
+    """crc32 of a value as text, modulo n."""
+    return F.pmod(F.crc32(c.cast("string").cast("binary")), F.lit(n))

@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyspark.llm import exact_dedup, mixing, sharding, url_filter
+from skyspark.llm import bpe, exact_dedup, language_id, mixing, sharding, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_url_filter": url_filter.query,
+        "op3_language_id": language_id.query,
         "op5_mixing": mixing.query,
+        "op6_bpe": bpe.query,
         "op7_sharding": sharding.query,
+        "op8_toxicity": toxicity.query,
         "op9_exact_dedup": exact_dedup.query,
     }
 
