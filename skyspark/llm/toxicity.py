@@ -1,13 +1,13 @@
 """Toxicity by multiple-instance learning.
 
-A document is a bag of sentences. A logistic model scores each sentence from the words it
-holds, and the document's score is the noisy-or of its sentences: 1 - product(1 - p). The model
+A document is a bag of sentences. A logistic model scores each sentence from the distinct words it
+holds and their beginnings (which carry over to inflections not seen), and the document's score is the noisy-or of its sentences: 1 - product(1 - p). The model
 is fitted from document labels alone, through the noisy-or, so it also says which sentences
 offend.
 
 The fit runs on the driver over at most about ``SAMPLE`` labelled documents of each class, chosen
-by a hash of the id and weighted back to their true share; words in fewer than ``MIN_DOCS`` of
-them are left out. A share of ``NOISE`` wrong labels is allowed for, which keeps single documents
+by a hash of the id and weighted back to their true share; what is in fewer than ``MIN_DOCS`` of
+them, or says little about the label by itself (``MIN_ODDS``), is left out. A share of ``NOISE`` wrong labels is allowed for, which keeps single documents
 from being learned by heart. Scoring runs over all rows and whole texts.
 
 Defined results: null and empty texts, and texts without a word, have no sentence and score 0; without
@@ -28,36 +28,41 @@ from pyspark.sql import functions as F
 from skyspark.llm import common as C
 
 #: Labelled documents of each class that the fit uses, about.
-SAMPLE = 3000
-WIDTH = 1 << 18
+SAMPLE = 2000
 MIN_DOCS = 5
+#: Log-odds ratio of a feature between toxic and other documents, at least.
+MIN_ODDS = 1.0
 NOISE = 0.04
+#: Lengths of the beginnings of words.
+STEMS = (4, 5, 6)
 #: Words that a Python worker remembers the weight of.
 WORDS = 500_000
 SENTENCE = regex.compile(r"[^.!?\n]*[\p{L}\p{N}][^.!?\n]*[.!?]*")
 WORD = regex.compile(r"[\p{L}\p{N}]+")
 
 
-def feature(word: str) -> int:
-    return zlib.crc32(word.encode("utf-8", "surrogatepass")) & (WIDTH - 1)
+def features(word: str) -> list[int]:
+    """Hashes of a word and of its beginnings."""
+    w = word.encode("utf-32-le", "surrogatepass")
+    return [zlib.crc32(w), *[zlib.crc32(w[: 4 * n], n) for n in STEMS if len(word) > n]]
 
 
 def bags(text: str | None) -> list[list[int]]:
-    """Hashed distinct words of each sentence."""
-    return [sorted({feature(w) for w in WORD.findall(s.lower())}) for s in SENTENCE.findall(text or "")]
+    """Distinct features of each sentence."""
+    return [sorted({f for w in set(WORD.findall(s.lower())) for f in features(w)}) for s in SENTENCE.findall(text or "")]
 
 
 class Model:
-    """weights: of hashed words; bias: of a sentence without any; flat: the only score if there is nothing to learn."""
+    """weights: of features; bias: of a sentence without any; flat: the only score if there is nothing to learn."""
 
-    def __init__(self, weights: np.ndarray, bias: float, flat: float | None = None):
+    def __init__(self, weights: dict[int, float], bias: float, flat: float | None = None):
         self.weights, self.bias, self.flat = weights, bias, flat
         self.known: dict[str, float] = {}
 
     def weight(self, word: str) -> float:
         if len(self.known) >= WORDS:
             self.known.clear()
-        w = self.known[word] = float(self.weights[feature(word)])
+        w = self.known[word] = sum([self.weights.get(f, 0.0) for f in features(word)])
         return w
 
     def sentences(self, text: str | None) -> list[tuple[int, int, float]]:
@@ -85,31 +90,34 @@ class Model:
         return min(1.0, max(0.0, p)), [(found[i][0], found[i][1], float(prob[i])) for i in hits]
 
 
-def train(bagged: list[tuple[list[list[int]], int, float]], steps: int = 300) -> Model:
-    """bagged: (bags, label, weight) of each document."""
-    bagged = [b for b in bagged if b[0]]
-    y = np.array([b[1] for b in bagged])
+def train(bagged: list[tuple[bytes, bytes, int, float]], steps: int = 300) -> Model:
+    """bagged: of each document its sentences' features (uint32) one after the other, their numbers (int32), label and weight."""
+    bagged = [b for b in bagged if len(b[1])]
+    y = np.array([b[2] for b in bagged], np.int64)
     if not len(bagged) or y.min() == y.max():
-        return Model(np.zeros(WIDTH, np.float32), 0.0, float(y.mean()) if len(bagged) else 0.0)
-    share = np.array([b[2] for b in bagged])
+        return Model({}, 0.0, float(y.mean()) if len(bagged) else 0.0)
+    share = np.array([b[3] for b in bagged])
     share /= share.sum()
-    docs = np.zeros((2, WIDTH))
-    for b, label, _ in bagged:
-        docs[label, list({i for s in b for i in s})] += 1
-    kept = docs.sum(0) >= MIN_DOCS
-    slot = np.cumsum(kept) - 1
-    sentence_of, word_of, doc_of = [], [], []
-    for d, (b, _, _) in enumerate(bagged):
-        for s in b:
-            own = [slot[i] for i in s if kept[i]]
-            word_of += own
-            sentence_of += [len(doc_of)] * len(own)
-            doc_of.append(d)
-    sentence_of, word_of, doc_of = np.array(sentence_of, np.int64), np.array(word_of, np.int64), np.array(doc_of)
-    n, m = int(kept.sum()), len(doc_of)
-    rates = (docs[:, kept] + 0.5) / (np.bincount(y, minlength=2)[:, None] + 1)
+    sizes = [np.frombuffer(b[1], np.int32) for b in bagged]
+    doc_of = np.repeat(np.arange(len(y)), [len(n) for n in sizes])
+    m = len(doc_of)
+    sentence_of = np.repeat(np.arange(m), np.concatenate(sizes))
+    names = np.concatenate([np.frombuffer(b[0], np.uint32) for b in bagged])
+    labels = [np.unique(np.concatenate([np.unique(np.frombuffer(b[0], np.uint32)) for b in bagged if b[2] == k]), return_counts=True) for k in (0, 1)]
+    every = np.unique(np.concatenate([x[0] for x in labels]))
+    docs = np.zeros((2, len(every)))
+    for k, (f, n) in enumerate(labels):
+        docs[k, np.searchsorted(every, f)] = n
+    rates = (docs + 0.5) / (np.bincount(y, minlength=2)[:, None] + 1)
+    kept = (docs.sum(0) >= MIN_DOCS) & (np.abs(np.log(rates[1] / rates[0])) >= MIN_ODDS)
+    every, rates = every[kept], rates[:, kept]
+    n = len(every)
+    if not n:
+        return Model({}, 0.0, float((share * y).sum()))
+    word_of = np.minimum(np.searchsorted(every, names), n - 1)
+    on = every[word_of] == names
+    word_of, sentence_of = word_of[on], sentence_of[on]
     w, bias = np.clip(np.log(rates[1] / rates[0]), -1, 3), -6.0
-    w[np.abs(w) < 1] = 0
     first = [np.zeros(n + 1), np.zeros(n + 1)]
     for t in range(1, steps + 1):
         z = bias + np.bincount(sentence_of, w[word_of], m)
@@ -123,9 +131,7 @@ def train(bagged: list[tuple[list[list[int]], int, float]], steps: int = 300) ->
         move = 0.1 * (first[0] / (1 - 0.9**t)) / (np.sqrt(first[1] / (1 - 0.99**t)) + 1e-6)
         w, bias = w - move[:-1], bias - move[-1]
         w = np.sign(w) * np.maximum(0, np.abs(w) - 0.005)
-    weights = np.zeros(WIDTH, np.float32)
-    weights[kept] = w
-    return Model(weights, float(bias))
+    return Model({int(f): float(x) for f, x in zip(every, w, strict=True) if x}, float(bias))
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", sample: int = SAMPLE) -> Model:
@@ -140,11 +146,13 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     def run(batches):
         for b in C.slices(batches):
             found = [bags(t.as_py()) for t in b.column(0)]
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(found, pa.list_(pa.list_(pa.int32())))], ["y", "bags"])
+            names = [np.array([f for s in x for f in s], np.uint32).tobytes() for x in found]
+            sizes = [np.array([len(s) for s in x], np.int32).tobytes() for x in found]
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(names, pa.binary()), pa.array(sizes, pa.binary())], ["y", "features", "sizes"])
 
     # About 2 * sample ids at most: the broadcast is bounded by the parameter.
-    rows = docs.join(F.broadcast(chosen), F.col(doc_id) == F.col("__id")).select(F.col(text).alias("text"), "y").mapInArrow(run, "y int, bags array<array<int>>")
-    return train(sorted(([list(s) for s in r["bags"]], r["y"], 1 / share[r["y"]]) for r in rows.toLocalIterator()))
+    rows = docs.join(F.broadcast(chosen), F.col(doc_id) == F.col("__id")).select(F.col(text).alias("text"), "y").mapInArrow(run, "y int, features binary, sizes binary")
+    return train(sorted((bytes(r["features"]), bytes(r["sizes"]), r["y"], 1 / share[r["y"]]) for r in rows.toLocalIterator()))
 
 
 def judge(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
