@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyspark.llm import bpe, exact_dedup, language_id, mixing, sharding, toxicity, url_filter
+from skyspark.llm import bpe, exact_dedup, language_id, mixing, sharding, toxicity, url_filter, vp_ann
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_url_filter": url_filter.query,
         "op3_language_id": language_id.query,
+        "op4_vp_ann": vp_ann.query,
         "op5_mixing": mixing.query,
         "op6_bpe": bpe.query,
         "op7_sharding": sharding.query,
