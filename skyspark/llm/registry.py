@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyspark.llm import bpe, exact_dedup, language_id, mixing, sharding, toxicity, url_filter, vp_ann
+from skyspark.llm import bpe, exact_dedup, language_id, mixing, near_dedup, sharding, toxicity, url_filter, vp_ann
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_sharding": sharding.query,
         "op8_toxicity": toxicity.query,
         "op9_exact_dedup": exact_dedup.query,
+        "op10_near_dedup": near_dedup.query,
     }
 
 
