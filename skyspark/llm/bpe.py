@@ -29,6 +29,7 @@ import unicodedata
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from skyspark.llm import common as C
 
@@ -204,16 +205,17 @@ def _spec(path: str) -> str:
         return f.read()
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, ids array<int>) of every text. path: the tokenizer file, read by the driver; executors get its contents (2 MB)."""
+def encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep`` and ids array<int> of every text. path: the tokenizer file, read by the driver; executors get its contents (2 MB)."""
     spec = docs.sparkSession.sparkContext.broadcast(_spec(path))
 
     def run(batches):
         t = tokenizer(spec.value)
         for b in C.slices(batches):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([t.encode(x.as_py()) for x in b.column(1)], pa.list_(pa.int32()))], ["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array([t.encode(x.as_py()) for x in b.column(0)], pa.list_(pa.int32()))], [*keep, "ids"])
 
-    return docs.select(f"{doc_id}", f"{text}").toDF("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*keep).schema) + "ids array<int>"
+    return docs.select(F.col(text).alias("__text"), *keep).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -245,7 +247,7 @@ def round_trip(docs: DataFrame, path: str, text: str = "text", doc_id: str = "do
                 d.append(sha(" ".join([p[1] for p in pieces])))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(f"{doc_id}", f"{text}").toDF("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def default_path() -> str:

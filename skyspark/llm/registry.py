@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyspark.llm import bpe, exact_dedup, language_id, mixing, near_dedup, sharding, toxicity, url_filter, vp_ann
+import corpus_pipeline
+from skyspark.llm import bpe, exact_dedup, language_id, mixing, near_dedup, sharding, substring_dedup, toxicity, url_filter, vp_ann
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "pipeline": corpus_pipeline.run,
+        "op1_substring_dedup": substring_dedup.query,
         "op2_url_filter": url_filter.query,
         "op3_language_id": language_id.query,
         "op4_vp_ann": vp_ann.query,
