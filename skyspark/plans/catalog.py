@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyspark.plans import scalar
+from skyspark.plans import scalar, tables
 
-MODULES = (scalar,)
+MODULES = (scalar, tables)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
