@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyspark.plans import scalar, tables
+from skyspark.plans import scalar, solving, tables
 
-MODULES = (scalar, tables)
+MODULES = (scalar, tables, solving)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
