@@ -8,32 +8,25 @@ from pyspark.sql import functions as F
 from skyspark.llm import common as C
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-
-
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
-    """edges: (u, v), of any ordered type. (node, root) of every node that has an edge; root is its component's smallest node.
+    """edges: (u, v), of any ordered type. (node, root) of every node that has an edge; root is one of its component's nodes.
 
-    Large-star and small-star steps alternate until no edge changes; each step's edges are a table in the shared folder. Minima are
-    aggregated before they are joined back, so a node with many edges is no single task's."""
-    # Edges point from the larger node to the smaller.
-    now = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    now, mark = C.stored(now, "edges"), None
+    Each round every node takes its smallest neighbour (or itself) as label and the edges are contracted to labels, until none is left;
+    then labels are followed. Ids are expected to be hashes, so their order is random and each round removes a constant share of the edges; a star
+    goes in one. Minima are aggregated before they are joined back, so a node with many edges is no single task's."""
+    now = C.stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    labels: DataFrame | None = None
     for _ in range(most):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = C.stored(large, "edges")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        now = C.stored(small, "edges")
-        new = _mark(now)
-        if new == mark:
-            break
-        mark = new
-    else:
-        raise RuntimeError(f"components did not settle in {most} rounds")
-    roots = now.groupBy("u").agg(F.min("v").alias("root"))
-    return roots.select(F.col("u").alias("node"), "root").unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        small = C.stored(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("root")), "labels")
+        if labels is None:
+            labels = small
+        else:
+            step = small.select(F.col("node").alias("root"), F.col("root").alias("next"))
+            labels = C.stored(labels.join(step, "root", "left").select("node", F.coalesce("next", "root").alias("root")), "labels")
+        a, b = small.select(F.col("node").alias("u"), F.col("root").alias("a")), small.select(F.col("node").alias("v"), F.col("root").alias("b"))
+        left = now.join(a, "u").join(b, "v").where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+        now = C.stored(left, "edges")
+        if now.isEmpty():
+            return labels
+    raise RuntimeError(f"components did not settle in {most} rounds")

@@ -9,8 +9,8 @@ this until a pair at the threshold is missed with negligible probability (below
 first branch suffices, below 1e-3 at depth ``DEPTH``).
 
 Nodes still too large at that depth, which happens when their classes are close copies of each other, are handled
-exactly: first in blocks that share a few pivots, which joins close copies into one component;
-then what isn't in a node's main component is compared with the whole node, in blocks.
+exactly: in the first round of trees in blocks that share a few pivots, which joins close copies into one component;
+in the second, what isn't in a node's main component is compared with the whole node, in blocks.
 
 In a node, minwise values pick candidate pairs (estimates down to ``SLACK`` below the threshold, over four
 standard deviations), most similar first; each is confirmed on the full sets unless its ends are connected
@@ -222,10 +222,10 @@ class Join:
         self.rows = C.stored(profiles(docs, text, doc_id, size), "profiles")
         some = self.rows.where(F.col("class").isNotNull() & F.col("doc_id").isNotNull())
         self.classes = C.stored(some.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "classes")
-        self.edges: DataFrame | None = None
+        self.edges: list[DataFrame] = []
 
-    def roots(self) -> DataFrame | None:
-        return None if self.edges is None else C.stored(components(self.edges), "roots")
+    def roots(self) -> DataFrame:
+        return components(self.edges[-1])
 
     def nodes(self, trees: range) -> tuple[DataFrame, DataFrame | None]:
         """(node, class) of the nodes to compare exhaustively, and of those too large at the last level."""
@@ -305,7 +305,7 @@ class Join:
 
         full = with_roots(tight).join(sets, "class")
         found = C.stored(full.groupBy("node").applyInArrow(links, "u binary, v binary").distinct(), "links")
-        self.edges = found if self.edges is None else self.edges.unionByName(found)
+        self.edges.append(found)
 
     def blocks(self, large: DataFrame) -> DataFrame:
         """Groups of at most about ``limit`` classes of each large node, all with the node's pivots."""
@@ -330,17 +330,14 @@ class Join:
 
     def run(self) -> DataFrame:
         """(class, root) of the classes that have links."""
-        at = 0
-        for n in TREES:
-            roots = self.roots()
-            groups, large = self.nodes(range(at, at + n))
-            self.confirm(groups, roots)
-            if large is not None:
-                self.confirm(C.stored(self.blocks(large), "blocks"), self.roots())
-                now = self.roots()
-                self.confirm(C.stored(self.rest(large, now), "rest"), now)
-            at += n
-        return self.roots()
+        first, second = TREES
+        groups, large = self.nodes(range(first))
+        self.confirm(groups if large is None else groups.unionByName(C.stored(self.blocks(large), "blocks")), None)
+        roots = self.roots()
+        groups, large = self.nodes(range(first, first + second))
+        self.confirm(groups if large is None else groups.unionByName(C.stored(self.rest(large, roots), "rest")), roots)
+        # What the first round joined enters the last as one star each.
+        return components(self.edges[-1].unionByName(roots.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))))
 
 
 def annotate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = 5, percent: int = 75, limit: int = LIMIT) -> DataFrame:
