@@ -26,6 +26,8 @@ and link to nothing; repeated rows are one class, and each of those with the sma
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -47,15 +49,11 @@ TREES = (4, 12)
 SLACK = 0.16
 PIVOTS = 8
 MIX = np.uint64(0x9E3779B97F4A7C15)
-#: Words that a Python worker remembers the hash of.
-WORDS = 300_000
-
-_SPACE = str.maketrans({chr(c): " " for c in range(9, 14)})
 
 
 def _orders() -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(20240229)
-    return rng.integers(1, 1 << 63, WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, WIDTH, dtype=np.uint64)
+    return rng.integers(0, 1 << 31, WIDTH, dtype=np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 1 << 32, WIDTH, dtype=np.uint32)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -65,47 +63,65 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-class _Hashes(dict):
-    def __missing__(self, word: str) -> int:
-        h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        if len(word) < 64:
-            if len(self) >= WORDS:
-                self.clear()
-            self[word] = h
-        return h
-
-
-_hashes = _Hashes()
-_lower = str.maketrans(C.UPPER, C.LOWER)
-
-
-def words_of(text: str | None) -> list[str]:
-    """Words of a text, A-Z lower-cased."""
-    if not text:
-        return []
-    text = text.lower() if text.isascii() else text.translate(_lower)
-    return [w for w in text.translate(_SPACE).split(" ") if w]
+BYTES = np.random.default_rng(20240302).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Bytes hashed at a time; a piece ends at white space.
+PIECE = 1 << 20
+_gap = re.compile(rb"[\x09-\x0d ]")
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def powers(n: int) -> list[np.ndarray]:
+    """MIX ** k and its inverse, modulo 2 ** 64, for k below n."""
+    if n > len(_powers[0]):
+        size = max(n, 1 << 16)
+        for k, m in enumerate((int(MIX), pow(int(MIX), -1, 1 << 64))):
+            p = np.full(size, m, np.uint64)
+            p[0] = 1
+            _powers[k] = np.cumprod(p, dtype=np.uint64)
+    return _powers
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """A 64-bit hash of each word, A-Z lower-cased: a polynomial over its UTF-8 bytes, all words of a piece at once."""
+    raw = text.encode("utf-8", "surrogatepass").lower() if text else b""  # bytes know no other letters and white space than ASCII's
+    out, at = [], 0
+    while at < len(raw):
+        cut = _gap.search(raw, at + PIECE)
+        end = cut.start() if cut else len(raw)
+        d = np.frombuffer(raw, np.uint8, end - at, at)
+        space = (d == 32) | ((d >= 9) & (d <= 13))
+        edge = np.flatnonzero(np.diff(space, prepend=True, append=True))
+        first, last = edge[::2], edge[1::2]
+        p, inverse = powers(len(d) + 1)
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTES[d] * p[: len(d)], dtype=np.uint64)])
+        out.append(mixed((total[last] - total[first]) * inverse[first]))
+        at = end
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
 def shingles(text: str | None, size: int = 5) -> np.ndarray:
     """Sorted hashes of the distinct shingles."""
-    words = words_of(text)
-    if not words:
-        return np.zeros(0, np.uint64)
-    w = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    w = word_hashes(text)
+    if not len(w):
+        return w
     n = min(size, len(w))
-    h = np.full(len(w) - n + 1, n, np.uint64)
-    for k in range(n):
-        h = mixed(h * MIX + w[k : len(w) - n + 1 + k])
-    return np.unique(h)
+    last = len(w) - n + 1
+    h = w[:last] + np.uint64(n)
+    for k in range(1, n):
+        h *= MIX
+        h += w[k : last + k]
+    h = mixed(h)
+    h.sort()
+    return h[np.concatenate([[True], h[1:] != h[:-1]])]
 
 
 def minwise(s: np.ndarray) -> np.ndarray:
+    """The least value of the set in each order; orders are multiplications of the hashes' upper halves by odd numbers, modulo 2 ** 32."""
     a, b = _orders_kept
+    x = (s >> np.uint64(32)).astype(np.uint32)[:, None]
     out = np.full(WIDTH, 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(s), 1024):
-        v = ((s[at : at + 1024, None] * a + b) >> np.uint64(32)).astype(np.uint32)
-        out = np.minimum(out, v.min(0))
+    for at in range(0, len(x), 256):
+        np.minimum(out, (x[at : at + 256] * a + b).min(0), out=out)
     return out
 
 
