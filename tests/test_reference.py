@@ -189,3 +189,15 @@ def test_entry_has_oracles():
 
     q, o = e.queries(), e.oracle_sql()
     assert len(q) >= 70 and set(o) <= set(q)
+
+
+def test_association_is_one_to_one(spark):
+    from skyspark.operators import association
+
+    rng = np.random.default_rng(5)
+    x, y, m = rng.uniform(0, 5000, 60), rng.uniform(0, 5000, 60), rng.uniform(15, 20, 60)
+    rows = [("f", float(i), i, k, float(x[k] + rng.normal(0, 1)), float(y[k] + rng.normal(0, 1)), 0.1, float(m[k])) for i in range(5) for k in range(60) if rng.random() < 0.8]
+    df = spark.createDataFrame(rows, "filter string, image_order double, image long, det long, x double, y double, sigma double, mag double")
+    out = association.associate(df, ["filter"], 20.0, 0.5).toPandas()
+    assert len(out) == len(rows) and not out.duplicated(["image", "source"]).any()
+    assert out.groupby("source")["det"].nunique().max() == 1 and out["source"].nunique() == len({r[3] for r in rows})
