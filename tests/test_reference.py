@@ -127,6 +127,13 @@ def test_alignment_recovers_truth(spark):
     assert max(abs(sol.r[i][4] - r_true[i][4]) for i in range(n_image)) < 0.1
     inf = solver.influence(geo, prior, sol).toPandas()
     assert len(inf) == n_star * n_image and (inf["leverage"] > 0).all()
+    wrong = {(3 * k, k % n_image) for k in range(10)}
+    is_wrong = F.concat_ws("/", "star", "image").isin([f"{a}/{b}" for a, b in wrong])
+    spoilt = geo.withColumn("bx", F.when(is_wrong, F.col("bx") + 20 + F.col("star")).otherwise(F.col("bx")))
+    _, marks = solver.align_clean(spoilt, prior, rounds=5)
+    out = {(r.star, r.image) for r in marks.where("NOT used").collect()}
+    # Every gross outlier goes; a few good detections beside them may.
+    assert wrong <= out and len(out - wrong) <= 0.05 * n_star * n_image, (len(out), len(out & wrong))
 
 
 def test_photometry_finds_injected_stars(spark, tmp_path):
@@ -201,3 +208,15 @@ def test_association_is_one_to_one(spark):
     out = association.associate(df, ["filter"], 20.0, 0.5).toPandas()
     assert len(out) == len(rows) and not out.duplicated(["image", "source"]).any()
     assert out.groupby("source")["det"].nunique().max() == 1 and out["source"].nunique() == len({r[3] for r in rows})
+
+
+def test_distortion(spark):
+    from skyspark.operators import distortion
+
+    ys, xs = np.mgrid[0:64, 0:48].astype(float)
+    g = {"1": distortion.Grid(1.01 * xs + 0.02 * ys + 3, 0.99 * ys - 0.01 * xs, 0.1 + 0 * xs)}
+    df = spark.createDataFrame([("1", 10.25, 20.5, 18.0, 1e-4, 0.0, 1e-4), ("1", 99.0, 1.0, 18.0, 1e-4, 0.0, 1e-4)], "chip string, x double, y double, mag double, cov_xx double, cov_xy double, cov_yy double")
+    a, b = distortion.correct(df, g).collect()
+    assert (a.x_gdc, a.y_gdc, a.mag_gdc) == pytest.approx((1.01 * 10.25 + 0.41 + 3, 0.99 * 20.5 - 0.1025, 18.1))
+    assert a.cov_xx_gdc == pytest.approx(1e-4 * (1.01**2 + 0.02**2)) and a.cov_xy_gdc == pytest.approx(1e-4 * (-0.0101 + 0.0198))
+    assert b.x_gdc is None and b.mag_gdc == 18.0
