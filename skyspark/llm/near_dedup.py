@@ -20,8 +20,8 @@ through distributed connected components; neither links nor sets are collected.
 
 Defined results: null texts and texts without words have the empty set, link to nothing and are kept; with fewer
 words than a shingle has, the whole sequence is the only one; rows with null doc_id are kept, with null component,
-and link to nothing; repeated rows are one class, and each of those with the smallest doc_id is kept by
-``annotate`` (``deduplicate`` keeps one); the empty table gives no rows; texts of any length are shingled whole.
+and link to nothing; repeated rows are one class, and each of those with the smallest doc_id is kept (dropping
+repeated rows is exact deduplication's); the empty table gives no rows; texts of any length are shingled whole.
 """
 
 from __future__ import annotations
@@ -372,8 +372,9 @@ def annotate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size:
 
 
 def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = 5, percent: int = 75) -> DataFrame:
-    """docs with one row of each component; rows without words all stay."""
-    gone = annotate(docs, text, doc_id, size, percent).where("NOT kept").select(F.col("doc_id").alias("__id")).distinct()
+    """docs with one document of each component; rows without words all stay, and so do repeated rows of the document that stays.
+    Rows that share an id but not their text go only if none of them stays, so no text is lost by its id."""
+    gone = annotate(docs, text, doc_id, size, percent).groupBy(F.col("doc_id").alias("__id")).agg(F.max("kept").alias("__any")).where("NOT __any").select("__id")
     return docs.join(gone, F.col(doc_id) == F.col("__id"), "left_anti")
 
 

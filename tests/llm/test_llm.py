@@ -257,6 +257,13 @@ def test_near_dedup_edges(edge, empty):
     assert near_dedup.deduplicate(edge).columns == edge.columns
 
 
+def test_near_dedup_repeated_ids(spark):
+    """An id with two texts goes only if neither stays; repeated rows of the document that stays are kept."""
+    rows = [(3, "a b c d e f"), (3, "a b c d e f"), (5, "A b c d e f"), (5, "quite another text than that one here"), (6, "a b c d e f"), (None, "a b c d e f")]
+    got = near_dedup.deduplicate(docs(spark, [(i, t, "en", "a") for i, t in rows])).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in got) == sorted((i or 0, t) for i, t in rows if i != 6)
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(f"{a:03}", f"{b:03}") for a, b in ((rng.randrange(200), rng.randrange(200)) for _ in range(150))] + [(f"c{i:03}", f"c{i + 1:03}") for i in range(30)]
