@@ -66,12 +66,12 @@ def per_source_mag_stats(matched):
     return rounded(robust.source_magnitudes(matched, "source_id", "image_id", "mag", "mag_err", 1.0)).withColumn("outlier_images", F.array_join("outlier_images", ","))
 
 
-@query("matched", "images", "stars", sql="""WITH d AS (SELECT image_id, filter, gmag - mag AS d FROM matched JOIN stars USING (source_id) JOIN images USING (image_id) WHERE source_id % 40 = 0),
-o AS (SELECT image_id, filter, count(d) AS n, median(d) AS own FROM d GROUP BY 1, 2), f AS (SELECT filter, median(own) AS of FROM o WHERE n >= 12 GROUP BY 1), a AS (SELECT median(own) AS oa FROM o WHERE n >= 12)
-SELECT image_id, filter, n, round(coalesce(CASE WHEN n >= 12 THEN own END, of, oa), 6) AS zp FROM o LEFT JOIN f USING (filter) CROSS JOIN a""")
+@query("matched", "images", "stars", sql="""WITH d AS (SELECT image_id, filter, gmag - mag AS d FROM matched JOIN stars USING (source_id) JOIN images USING (image_id)),
+o AS (SELECT image_id, filter, count(d) AS n, median(d) AS own FROM d GROUP BY 1, 2), f AS (SELECT filter, median(own) AS of FROM o WHERE n >= 500 GROUP BY 1), a AS (SELECT median(own) AS oa FROM o WHERE n >= 500)
+SELECT image_id, filter, n, round(coalesce(CASE WHEN n >= 500 THEN own END, of, oa), 6) AS zp FROM o LEFT JOIN f USING (filter) CROSS JOIN a""")
 def gaia_zp_fallback(matched, images, stars):
-    d = matched.where("source_id % 40 = 0").join(stars.select("source_id", "gmag"), "source_id").join(images.select("image_id", "filter"), "image_id").withColumn("d", F.col("gmag") - F.col("mag"))
-    return rounded(robust.zero_points(d, "image_id", "filter", "d", 12))
+    d = matched.join(stars.select("source_id", "gmag"), "source_id").join(images.select("image_id", "filter"), "image_id").withColumn("d", F.col("gmag") - F.col("mag"))
+    return rounded(robust.zero_points(d, "image_id", "filter", "d", 500))
 
 
 @query("matched", "stars", sql="""WITH d AS (SELECT image_id, gmag - mag + 2 AS d FROM matched JOIN stars USING (source_id)), b AS (SELECT image_id, floor(d/0.05e0)::BIGINT AS b, count(*) AS n FROM d WHERE abs(d) < 1 GROUP BY 1, 2),
@@ -123,12 +123,12 @@ def catalogue_summary(det):
     return rounded(det.groupBy("image_id").agg(F.count("*").alias("n"), F.count_if("is_star").alias("n_star"), F.median("qfit").alias("qfit_median"), F.percentile("chi2", 0.9).alias("chi2_p90"), F.min("mag").alias("mag_min"), F.max("mag").alias("mag_max"), F.count_distinct("source_id").alias("n_sources"), F.bit_or("dq").alias("dq")))
 
 
-PAIRS = """m AS (SELECT image_id AS i, source_id AS s, mag FROM matched WHERE source_id % 5 = image_id % 5),
+PAIRS = """m AS (SELECT image_id AS i, source_id AS s, mag FROM matched),
 h AS (SELECT a.i AS a, b.i AS b, median(a.mag - b.mag) AS zp, count(*) AS n FROM m a JOIN m b ON a.s = b.s AND a.i < b.i GROUP BY 1, 2 HAVING count(*) >= 3), e AS (SELECT a, b, zp, n FROM h UNION ALL SELECT b, a, -zp, n FROM h)"""
 
 
 def overlaps(matched):
-    return relational.image_pairs(matched.where("source_id % 5 = image_id % 5"), "image_id", "source_id", "mag")
+    return relational.image_pairs(matched, "image_id", "source_id", "mag")
 
 
 @query("matched", sql=f"WITH {PAIRS} SELECT a, b, round(zp, 6) AS zp, n FROM e")
@@ -388,9 +388,9 @@ def drizzle_accumulate(det):
     return d.select("image_id", "i", "j", r(F.col("value"), 3).alias("flux"), r(F.col("weight")).alias("weight"))
 
 
-@query("detections", sql="SELECT image_id, source_id, round(max(flux), 4) AS most FROM detections WHERE image_id <= 5 GROUP BY 1, 2 ORDER BY most DESC, image_id, source_id LIMIT 25")
+@query("detections", sql="SELECT image_id, source_id, round(max(flux), 4) AS most FROM detections GROUP BY 1, 2 ORDER BY most DESC, image_id, source_id LIMIT 25")
 def influence_topn(det):
-    return det.where("image_id <= 5").groupBy("image_id", "source_id").agg(r(F.max("flux"), 4).alias("most")).orderBy(F.desc("most"), "image_id", "source_id").limit(25)
+    return det.groupBy("image_id", "source_id").agg(r(F.max("flux"), 4).alias("most")).orderBy(F.desc("most"), "image_id", "source_id").limit(25)
 
 
 @query("matched", sql="SELECT image_id, round(sqrt(median(chi2)/(2*ln(2.0e0))), 6) AS alpha, round(sum(least(1, 7/(5+chi2))), 6) AS n_eff, count(*) AS n FROM matched GROUP BY 1")
@@ -398,9 +398,9 @@ def alpha_inflation(matched):
     return matched.groupBy("image_id").agg(r(F.sqrt(F.median("chi2") / (2 * math.log(2)))).alias("alpha"), r(F.sum(F.least(F.lit(1.0), F.lit(7.0) / (F.col("chi2") + 5)))).alias("n_eff"), F.count("*").alias("n"))
 
 
-@query("matched", "images", sql="""SELECT image_name, filter, n_matched, status FROM (SELECT image_name, filter, coalesce(n, 0) AS n_matched, CASE WHEN n IS NULL THEN 'no_matches' WHEN n < 500 THEN 'few_matches' ELSE 'success' END AS status FROM images LEFT JOIN (SELECT image_id, count(*) AS n FROM matched WHERE image_id % 9 <> 0 GROUP BY 1) USING (image_id))""")
+@query("matched", "images", sql="""SELECT image_name, filter, n_matched, status FROM (SELECT image_name, filter, coalesce(n, 0) AS n_matched, CASE WHEN n IS NULL THEN 'no_matches' WHEN n < 500 THEN 'few_matches' ELSE 'success' END AS status FROM images LEFT JOIN (SELECT image_id, count(*) AS n FROM matched GROUP BY 1) USING (image_id))""")
 def status_decision(matched, images):
-    n = matched.where("image_id % 9 <> 0").groupBy("image_id").agg(F.count("*").alias("n_matched"))
+    n = matched.groupBy("image_id").agg(F.count("*").alias("n_matched"))
     d = images.join(n, "image_id", "left")
     status = F.when(F.col("n_matched").isNull(), "no_matches").when(F.col("n_matched") < 500, "few_matches").otherwise("success")
     return d.select("image_name", "filter", F.coalesce("n_matched", F.lit(0)).alias("n_matched"), status.alias("status"))
