@@ -5,7 +5,8 @@ sees the last 8 bytes only, so an insertion moves no boundary beyond the next on
 two documents share falls into the same chunks but at its ends. Chunks are deduplicated by their
 digest (xxh3, 64 bits): a digest that occurs in two documents or more is repeated, and its first document is the
 one with the smallest id. Adjacent repeated chunks form a run, and a run of at least
-``WORDS`` words is a repeated passage; one chance collision of digests makes no run.
+``WORDS`` words is a repeated passage; one chance collision of digests makes no run. A passage is given in stretches: a new
+one begins where chunks that are here for the first time meet chunks that an earlier document has.
 
 Chunk counts are combined before they are shuffled, and the join that brings them back can be split
 where a chunk is very frequent; runs are formed per document.
@@ -90,26 +91,31 @@ def chunked(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
 
 
 def passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = WORDS) -> DataFrame:
-    """One row per repeated passage of a document: doc_id, start, end (bytes), words, chunks, first_doc_id (smallest id that another document's first copy of one of its chunks has) and kept.
+    """One row per stretch of a repeated passage of a document: doc_id, start, end (bytes), words, chunks, first_doc_id (smallest id that the first copy of one of its chunks has) and kept.
 
-    kept: all its chunks are here for the first time, so this copy stays when repeats are removed."""
+    A passage has at least ``words`` words in all its stretches. kept: the stretch's chunks are all here for the first time, so this copy stays when
+    repeats are removed; in the others every chunk has its first copy in an earlier document."""
     every = C.stored(chunked(docs, text, doc_id), "chunks")
     seen = every.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     own = every.join(seen.select("digest", "first"), "digest").select("doc_id", "copy", "start", "end", "words", "first")
     by = Window.partitionBy("doc_id", "copy").orderBy("start")
     # Repeated rows give equal chunks at one place; the first of them counts.
     once = own.withColumn("place", F.row_number().over(Window.partitionBy("doc_id", "copy", "start").orderBy("end"))).where("place = 1")
-    new = F.when(F.lag("end").over(by) == F.col("start"), 0).otherwise(1)
-    runs = once.withColumn("new", new).withColumn("run", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    other = F.when(F.col("first") != F.col("doc_id"), F.col("first"))
-    out = runs.groupBy("doc_id", "copy", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"), F.count("*").alias("chunks"), F.min(other).alias("first_doc_id"))
-    return out.where(F.col("words") >= words).select("doc_id", "copy", "start", "end", "words", "chunks", F.coalesce("first_doc_id", "doc_id").alias("first_doc_id"), F.col("first_doc_id").isNull().alias("kept"))
+    mine, apart = F.col("first") == F.col("doc_id"), F.coalesce(F.lag("end").over(by) != F.col("start"), F.lit(True))
+    turn = F.coalesce(apart | (F.lag("mine").over(by) != F.col("mine")), F.lit(True))
+    upto = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    runs = once.withColumn("mine", mine).withColumns({"apart": apart.cast("int"), "turn": turn.cast("int")}).withColumns({"run": F.sum("apart").over(upto), "stretch": F.sum("turn").over(upto)})
+    out = runs.groupBy("doc_id", "copy", "run", "stretch").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"), F.count("*").alias("chunks"), F.min("first").alias("first_doc_id"), F.first("mine").alias("kept"))
+    whole = F.sum("words").over(Window.partitionBy("doc_id", "copy", "run"))
+    return out.withColumn("whole", whole).where(F.col("whole") >= words).select("doc_id", "copy", "start", "end", "words", "chunks", "first_doc_id", "kept")
 
 
 def removed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = WORDS) -> DataFrame:
-    """docs whose text lacks the passages that are repeats of an earlier document's; a cut never splits a character."""
+    """docs whose text lacks the stretches of at least ``words`` words that are repeats of earlier documents'; a cut never splits a character.
+
+    What is shorter is no passage by itself and stays, as it does outside a passage. The first copy of a chunk always stays."""
     mark = F.struct("copy", "start", "end")
-    spans = passages(docs, text, doc_id, words).where("NOT kept").groupBy(F.col("doc_id").alias("__id")).agg(F.sort_array(F.collect_list(mark)).alias("__spans"))
+    spans = passages(docs, text, doc_id, words).where(~F.col("kept") & (F.col("words") >= words)).groupBy(F.col("doc_id").alias("__id")).agg(F.sort_array(F.collect_list(mark)).alias("__spans"))
     names = docs.columns
     at = names.index(text)
 

@@ -339,6 +339,30 @@ def test_substring_dedup(spark, edge, empty):
     assert substring_dedup.removed(edge).columns == edge.columns
 
 
+def test_substring_dedup_keeps_one_copy(spark):
+    """Copies of a text that also holds an older document's passage or one frequent chunk: the first copy stays, the others go."""
+    rng = random.Random(8)
+    fresh = lambda k: " ".join("".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9))) for _ in range(k))
+    old, a, b, c = fresh(60), fresh(80), fresh(80), fresh(120)
+    raw, ends = c.encode(), substring_dedup.boundaries(np.frombuffer(c.encode(), np.uint8))
+    k = min(range(3, len(ends) - 3), key=lambda i: ends[i + 1] - ends[i - 1])
+    piece = raw[ends[k - 1] : ends[k + 1]].decode()
+    assert len(piece.split()) < substring_dedup.WORDS  # two whole chunks, no passage by themselves
+    texts = {1: f"{fresh(40)} {old} {fresh(40)}", 2: f"{fresh(40)} {piece} {fresh(40)}", 5: f"{a} {old} {b}", 6: c, 9: f"{a} {old} {b}", 10: c, 12: f"{a} {old} {b}"}
+    df = docs(spark, [(i, t, "en", "a") for i, t in texts.items()])
+    left = {r.doc_id: r.text for r in substring_dedup.removed(df).collect()}
+    for t in texts.values():
+        data = t.encode()
+        for s, e in zip(*[x.tolist() for x in substring_dedup.chunks(t)[1:3]], strict=True):
+            assert any(data[s:e] in x.encode() for x in left.values())
+    assert left[1] == texts[1] and left[2] == texts[2] and left[6] == c
+    assert a[:-100] in left[5] and b[100:] in left[5] and old[100:-100] not in left[5]
+    assert all(len(left[i]) < 0.05 * len(texts[i]) + 100 for i in (9, 10, 12))
+    found = substring_dedup.passages(df).collect()
+    assert all(r.kept == (r.doc_id == r.first_doc_id) for r in found)
+    assert {(r.doc_id, r.kept) for r in found} == {(1, True), (5, True), (5, False), (6, True), (6, False), (9, False), (10, False), (12, False)}
+
+
 def test_chunks_resist_insertions():
     rng = random.Random(7)
     t = " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(2000))
