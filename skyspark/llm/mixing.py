@@ -11,7 +11,7 @@ stream, epoch after epoch, and cuts the last one.
 Targets: sources in code-point order, null last, have the given weights, repeating. They share
 the budget by weight; a target stops at ``limit`` times its source's size, and the excess is
 shared again by weight until none is above. That is water-filling: sorted by size / weight,
-the capped sources are a prefix, so one running sum finds it.
+the capped sources are a prefix, so one running sum finds it; of equal ratios the first open one has the level, which is the highest.
 
 Defined results: a null or empty text has size 0 and is never taken; a null source is a source
 of its own; a source without words has target 0; the empty table gives no rows; repeated
@@ -44,7 +44,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit: int =
     base = base.withColumn("total", F.sum(F.col("source_size").cast("double")).over(Window.partitionBy()))
     level = (F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("w").over(rest)
     base = base.withColumn("level", level).withColumn("open", F.col("cap") / F.col("w") > F.col("level"))
-    final = F.min(F.when(F.col("open"), F.struct(F.col("cap") / F.col("w"), F.col("level")))).over(Window.partitionBy())["level"]
+    final = -F.min(F.when(F.col("open"), F.struct(F.col("cap") / F.col("w"), (-F.col("level")).alias("below")))).over(Window.partitionBy())["below"]
     return base.withColumn("final", final).select("source", "source_size", "n", F.when(F.col("final").isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("final") * F.col("w"))).alias("target"))
 
 

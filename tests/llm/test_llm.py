@@ -117,6 +117,16 @@ def test_mixing(edge, empty, corpus):
         assert mixing.repeated(df).columns == df.columns
 
 
+@pytest.mark.parametrize(("sizes", "want"), [((100, 200), (100, 200)), ((100, 200, 300), (100, 200, 300)), ((10, 400, 600), (30, 392, 588)), ((100, 200, 300, 100), (100, 200, 300, 100)), ((5, 50, 50), (15, 36, 54))])
+def test_mixing_ties(spark, sizes, want):
+    """Sources whose size / weight is equal share the level of the first of them."""
+    given = spark.createDataFrame([(f"s{i}", n, 1) for i, n in enumerate(sizes)], "source string, source_size long, n long")
+    assert [r.target for r in mixing.targets(given).orderBy("source").collect()] == pytest.approx(want)
+    words = docs(spark, [(100 * i + k, " ".join(["w"] * (n // 5)), "en", f"s{i}") for i, n in enumerate(sizes) for k in range(5)])
+    taken = mixing.mix(words).groupBy("source").agg(F.sum("taken").alias("n")).orderBy("source").collect()
+    assert [r.n for r in taken] == list(want) and sum(want) == sum(sizes)
+
+
 def fits(rule, host, path):
     return (host == rule[1] or host.endswith("." + rule[1])) and path.startswith(rule[2])
 
