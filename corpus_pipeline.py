@@ -13,14 +13,17 @@ from skyspark.llm import bpe, exact_dedup, language_id, mixing, near_dedup
 from skyspark.llm import common as C
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Documents whose language is less certain than that go; short clean texts score down to about 0.38, and 0.25 is a coin tossed twice.
-LEAST_SCORE = 0.3
+#: Documents whose language is less certain than that go. Certainty is a mean over pairs of classes at both levels, so it does not fall with
+#: their number: 0.25 is a coin tossed twice, and short clean texts have about 0.38 or more.
+LEAST_CERTAINTY = 0.3
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that is recognised; texts without a letter go."""
+    """Documents in a language that is recognised; texts without a letter go. Where no language can be learned, that is all that goes."""
     model = language_id.fit(language_id.learnable(docs))
-    return language_id.predict(docs.select(*COLUMNS), model).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
+    if model.families is None:
+        return docs.select(*COLUMNS).where(F.col("text").rlike(r"\p{L}"))
+    return language_id.predict(docs.select(*COLUMNS), model).where((F.col("lang_pred") != "und") & (F.col("certainty") >= LEAST_CERTAINTY)).select(*COLUMNS)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 A first stage predicts the language's family, a second one the language inside it; both are
 one-versus-one linear support vector machines over hashed counts of 1 to 3 characters of the
-whole text. The score is the product of both stages' probabilities.
+whole text. The score is the product of both stages' probabilities; as those
+of a stage sum to 1, it falls with the number of classes. The certainty does not: it is the product of the winners' mean
+pairwise probabilities, 0.25 or more.
 
 The machines are fitted by the driver on at most about ``SAMPLE`` labelled documents, the same
 number of each language, chosen by a hash of the id; everything else runs over all rows.
@@ -79,14 +81,16 @@ class Model:
         self.families = OneVersusOne(x, of) if langs else None
         self.inside = {f: OneVersusOne(x[[i for i, g in enumerate(of) if g == f]], [lang for lang, g in zip(langs, of, strict=True) if g == f]) for f in set(of)}
 
-    def predict(self, text: str | None) -> tuple[str, float]:
+    def predict(self, text: str | None) -> tuple[str, float, float]:
+        """Language, score and certainty."""
         x = profile(text) if self.families else None
         if x is None:
-            return "und", 0.0
+            return "und", 0.0, 0.0
         p = self.families.scores(x)
         family = self.families.classes[int(np.argmax(p))]
         q = self.inside[family].scores(x)
-        return self.inside[family].classes[int(np.argmax(q))], float(min(1.0, max(0.0, p.max() * q.max())))
+        sure = self.families.certainty(p) * self.inside[family].certainty(q)
+        return self.inside[family].classes[int(np.argmax(q))], float(min(1.0, max(0.0, p.max() * q.max()))), min(1.0, max(0.0, sure))
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample: int = SAMPLE) -> Model:
@@ -110,17 +114,17 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
-    """docs (or its columns ``keep``) with lang_pred and score. The model, a few thousand weights per pair of languages of a family and of families, is broadcast."""
+    """docs (or its columns ``keep``) with lang_pred, score and certainty. The model, a few thousand weights per pair of languages of a family and of families, is broadcast."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     names = [text, *(docs.columns if keep is None else keep)]
     kept = docs.select(*names[1:]).schema
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept) + "lang_pred string, score double"
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept) + "lang_pred string, score double, certainty double"
 
     def run(batches):
         m = sent.value
         for b in C.slices(batches):
             found = [m.predict(t.as_py()) for t in b.column(0)]
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array([k for k, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], [*names[1:], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array([k for k, _, _ in found], pa.string()), *[pa.array([x[n] for x in found], pa.float64()) for n in (1, 2)]], [*names[1:], "lang_pred", "score", "certainty"])
 
     return docs.select(F.col(text).alias("__text"), *names[1:]).mapInArrow(run, schema)
 

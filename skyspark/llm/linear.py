@@ -57,3 +57,7 @@ class OneVersusOne:
             out[a] += q
             out[b] += 1 - q
         return out / len(self.pairs)
+
+    def certainty(self, scores: np.ndarray) -> float:
+        """The winner's mean probability against each other class: from 0.5 to 1 whatever their number, and 1 where it has no rival."""
+        return float(scores.max() * max(1.0, len(self.classes) / 2))

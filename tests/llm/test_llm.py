@@ -383,6 +383,24 @@ def test_chunks_resist_insertions():
     assert ends[-1] == len(raw) and all(substring_dedup.LEAST <= y - x <= substring_dedup.MOST for x, y in zip([0, *ends[:-2]], ends[:-1], strict=False))
 
 
+def test_pipeline_keeps_many_languages(spark):
+    """Ten families, one of them of four languages: the score of a certain prediction is low, and no document goes for that."""
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    langs = "en de nl sv fr ru lt fi tr hi ta ar ga".split()
+    words = {k: ["".join(rng.choices(rng.sample("abcdefghijklmnopqrstuvwxyz", 9), k=rng.randint(2, 8))) for _ in range(150)] for k in langs}
+    rows = [(40 * n + i, " ".join(rng.choices(words[k], k=(8, 30, 120)[i % 3])), k, "a") for n, k in enumerate(langs) for i in range(40)]
+    df = docs(spark, [*rows, (9000, "12 34 !!", None, "a"), (9001, None, None, "a")])
+    model = language_id.fit(language_id.learnable(df))
+    assert len(model.families.classes) >= 8
+    out = language_id.predict(df.where("doc_id < 9000"), model).collect()
+    assert max(r.score for r in out) < 0.3 and min(r.certainty for r in out) >= 0.25 and np.mean([r.lang == r.lang_pred for r in out]) >= 0.95
+    want = {i for i, _, _, _ in rows}
+    assert {r.doc_id for r in corpus_pipeline.identify(spark, df, "").collect()} == want
+    assert {r.doc_id for r in corpus_pipeline.identify(spark, df.withColumn("lang", F.lit(None).cast("string")), "").collect()} == want
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 
