@@ -136,6 +136,26 @@ def test_alignment_recovers_truth(spark):
     assert wrong <= out and len(out - wrong) <= 0.05 * n_star * n_image, (len(out), len(out & wrong))
 
 
+def test_solver_queries_converge(spark, sf, monkeypatch):
+    """The registered queries let the solver end by its tolerance; a solution says whether it did."""
+    from skyspark.plans import solving
+
+    made, given, align = [], [], solver.align
+
+    def noted(*args, **options):
+        given.append(options)
+        made.append(align(*args, **options))
+        return made[-1]
+
+    monkeypatch.setattr(solver, "align", noted)
+    for f in (solving.joint_alignment, solving.stellar_posteriors, solving.detection_influence):
+        f(spark, sf)
+    assert all("most" not in x for x in given) and len(made) == 3 and all(s.converged for s in made)
+    det, stars, obs = solving.field(spark, sf)
+    with pytest.warns(UserWarning, match="stopped after 1 steps"):
+        assert not align(solver.geometry(det, stars, obs), solver.priors(stars), most=1).converged
+
+
 def test_photometry_finds_injected_stars(spark, tmp_path):
     rng = np.random.default_rng(42)
     psf = images.gaussian_psf()
