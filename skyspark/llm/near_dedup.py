@@ -6,7 +6,8 @@ of each tree a class branches along chosen coordinates: each is chosen with prob
 1 / (similarity * WIDTH) by a hash of the node, and classes with the same value there share the child. Nodes of
 at most ``LIMIT`` classes are compared exhaustively; larger ones branch again. Independent trees repeat
 this until a pair at the threshold is missed with negligible probability (below 1e-6 where the
-first branch suffices, below 1e-3 at depth ``DEPTH``).
+first branch suffices, below 1e-3 at depth ``DEPTH``; in nodes still too large there, pairs of different components have only the 12 trees
+of the second round, and one at the threshold is missed with probability up to about 4e-3).
 
 Nodes still too large at that depth, which happens when their classes are close copies of each other, are handled
 exactly: in the first round of trees in blocks that share a few pivots, which joins close copies into one component;
