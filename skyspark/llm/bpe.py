@@ -6,11 +6,14 @@ arcs labelled u lead to, a copy without an arc v; arcs u lead to the copy from n
 and every state with an arc u gets an arc w to where v led from q. The result is deterministic, and
 the label sequences it accepts are exactly the token sequences that the merges produce.
 
-All arcs with one label lead to one state, so a state is known by its last label, and a copy
-differs from its original by one missing arc. The compiled tables therefore hold, per split,
-the missing arc and its time, and per label its parts and birth; ``step`` derives an arc from
-them once and memoises it. A word is read left to right, longest label first, going back where no arc leads on. Each prefix
-has exactly one accepted path, so no position is entered twice and the work is linear.
+All arcs with one label lead to one state, so a state is known by its last label. A gadget takes its arc from the
+states that descend from q by their last parts, and with it all labels that would have been handed on through it; numbered
+by their parts, the latest first, both are ranges. So each gadget clears one rectangle of the state x label table. The
+table is written out by the driver, its equal pages stored once (20 MB with the trie for 49,000 merges), and broadcast.
+
+A word is scanned once, left to right, without going back: at every position the state is known, as each prefix has exactly one
+accepted path, and the labels that begin there (a trie) and have an arc set the states where they end. The path is then read off
+from the word's end. Work and memory are linear in the word's length.
 
 Words repeat; each Python worker keeps a bounded table of words already encoded. Decoding emits
 the labels of the arcs, as this tokenizer file (it names no decoder) joins them: by single spaces.
@@ -22,10 +25,14 @@ extra columns are ignored. Unicode classes are those of the installed ``regex``.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import json
 import unicodedata
+from array import array
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -36,9 +43,10 @@ from skyspark.llm import common as C
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
 #: Words that a Python worker remembers at most.
 WORDS = 200_000
-#: Arcs that a Python worker remembers at most.
-ARCS = 1_000_000
-NEVER = 1 << 60
+#: Labels of a page of the table.
+PAGE = 256
+#: Rows of the table that the driver writes out at a time.
+ROWS = 512
 
 
 def byte_symbols() -> list[str]:
@@ -48,34 +56,22 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
 
 
-class Automaton:
-    """The compiled merges. ``labels``: string of each id; ``step(a, b)``: whether label b has an arc from the state behind label a."""
+class Gadgets:
+    """The merges applied one by one. ``split``: the rank at which state u lost arc v; ``left``, ``right``, ``born``: parts and rank of a label."""
 
-    def __init__(self, vocab: dict[str, int], merges: list, suffix: str = "</w>"):
-        self.suffix, self.ids = suffix, vocab
-        self.labels = {i: s for s, i in vocab.items()}
+    def __init__(self, vocab: dict[str, int], merges: list):
         pairs = [(vocab[u], vocab[v], vocab[u + v]) for u, v in (m if not isinstance(m, str) else m.split(" ") for m in merges)]
         made = {w for _, _, w in pairs}
         self.left: dict[int, int] = {}
         self.right: dict[int, int] = {}
         self.born = {t: -1 for t in vocab.values() if t not in made}
         self.split: dict[tuple[int, int], int] = {}
-        self.arcs: dict[tuple[int, int], bool] = {}
-        for time, (u, v, w) in enumerate(pairs):
-            if u in self.born and v in self.born and self._arc(u, v, time):
-                self.split[u, v] = time
-                self.left[w], self.right[w], self.born[w] = u, v, time
-        alive = {s: t for s, t in vocab.items() if t in self.born}
-        self.inner = {s: t for s, t in alive.items() if not s.endswith(suffix)}
-        self.final = {s[: -len(suffix)]: t for s, t in alive.items() if s.endswith(suffix)}
-        begin: dict[str, set[int]] = {}
-        for label in self.inner:
-            begin.setdefault(label[:2], {1}).add(len(label))
-        #: Lengths of the labels that begin with two given symbols, longest first.
-        self.lengths = {k: tuple(sorted(v, reverse=True)) for k, v in begin.items() if len(k) == 2}
-        self.symbols = byte_symbols()
-
-    def _arc(self, a: int, b: int, now: int = NEVER) -> bool:
+        for rank, (u, v, w) in enumerate(pairs):
+            if u in self.born and v in self.born and self.arc(u, v, rank):
+                self.split[u, v] = rank
+                self.left[w], self.right[w], self.born[w] = u, v, rank
+
+    def arc(self, a: int, b: int, now: int) -> bool:
         """Whether, after the gadgets before ``now``, the state behind a has an arc b.
 
         The state's missing arcs are its own splits and those it inherited from its right part by its birth; b was handed
@@ -85,8 +81,8 @@ class Automaton:
         while True:
             label, deadline = b, now
             while True:
-                time = split.get((state, label))
-                if time is not None and time < until and time <= deadline:
+                rank = split.get((state, label))
+                if rank is not None and rank < until and rank <= deadline:
                     return False
                 if label not in left:
                     break
@@ -95,55 +91,115 @@ class Automaton:
                 return True
             state, until = right[state], min(until, born[state])
 
-    def step(self, a: int, b: int) -> bool:
-        known = self.arcs.get((a, b))
-        if known is None:
-            if len(self.arcs) >= ARCS:
-                self.arcs.clear()
-            known = self.arcs[a, b] = self._arc(a, b)
-        return known
+
+class Numbering:
+    """Labels in the order of a walk from each part to the labels made of it, the latest first: those made of a label after a given rank are a range behind it."""
+
+    def __init__(self, part: dict[int, int], born: dict[int, int], labels: list[int]):
+        self.born, self.made, self.at, self.end = born, {}, {}, {}
+        for n in labels:
+            if n in part:
+                self.made.setdefault(part[n], []).append(n)
+        for k in self.made.values():
+            k.sort(key=lambda n: -born[n])
+        todo, walk = [n for n in reversed(labels) if n not in part], []
+        while todo:
+            n = todo.pop()
+            self.at[n] = len(walk)
+            walk.append(n)
+            todo += reversed(self.made.get(n, ()))
+        for n in reversed(walk):
+            self.end[n] = self.end[self.made[n][-1]] if n in self.made else self.at[n] + 1
+
+    def range(self, label: int, rank: int) -> tuple[int, int]:
+        """The label and what was made of it at ``rank`` or later."""
+        made = self.made.get(label, ())
+        n = bisect.bisect_right(made, -rank, key=lambda k: -self.born[k])
+        return self.at[label], self.end[made[n - 1]] if n else self.at[label] + 1
+
+
+class Automaton:
+    """The compiled table. Arc b of the state behind a is missing where ``cells[page[row[a] + part] + place]`` is 1, part and place being b's column by pages; the last row is the start, which lacks none.
+
+    ``trie``: by node the next nodes by symbol; ``inner`` and ``final``: each node's (label, part, place) inside and at the end of a word, or None."""
+
+    def __init__(self, vocab: dict[str, int], merges: list, suffix: str = "</w>"):
+        g = Gadgets(vocab, merges)
+        self.labels = {i: s for s, i in vocab.items()}
+        alive = sorted(g.born)
+        ends = {t for t in alive if self.labels[t].endswith(suffix)}
+        states = [t for t in alive if t not in ends]
+        rows, columns = Numbering({t: g.right[t] for t in states if t in g.right}, g.born, states), Numbering({t: g.left[t] for t in alive if t in g.left}, g.born, alive)
+        wide = -(-len(alive) // PAGE)
+        cleared = sorted((*rows.range(u, rank + 1), *columns.range(v, rank)) for (u, v), rank in g.split.items())
+        known: dict[bytes, int] = {}
+        self.page, begun = array("I"), [c[0] for c in cleared]
+        tallest = max((c[1] - c[0] for c in cleared), default=0)
+        for top in range(0, len(states) + 1, ROWS):
+            block = np.zeros((min(ROWS, len(states) + 1 - top), wide * PAGE), bool)
+            for r0, r1, c0, c1 in cleared[bisect.bisect_left(begun, top - tallest) : bisect.bisect_left(begun, top + ROWS)]:
+                block[max(0, r0 - top) : max(0, r1 - top), c0:c1] = True
+            raw = block.tobytes()
+            self.page.extend([known.setdefault(raw[k : k + PAGE], len(known)) * PAGE for k in range(0, len(raw), PAGE)])
+        self.cells = b"".join(known)
+        self.start = len(states) * wide
+        self.row = {t: rows.at[t] * wide for t in states}
+        self.trie: list[dict[int, int]] = [{}]
+        self.length = {t: len(self.labels[t]) for t in states}
+        self.longest = max(map(len, self.labels.values()))
+        self.inner, self.final = [None], [None]
+        codes = {s: b for b, s in enumerate(byte_symbols())}
+        for t in alive:
+            node, last = 0, t in ends
+            for c in self.labels[t][: -len(suffix)] if last else self.labels[t]:
+                node = self.trie[node].setdefault(codes[c], len(self.trie))
+                if node == len(self.trie):
+                    self.trie.append({})
+                    self.inner.append(None)
+                    self.final.append(None)
+            (self.final if last else self.inner)[node] = (t, *divmod(columns.at[t], PAGE))
 
     def encode_word(self, word: str) -> list[int]:
         """Ids of one pre-split word."""
-        s = word if word.isascii() and word.isprintable() else "".join([self.symbols[b] for b in word.encode("utf-8", "surrogatepass")])
-        n, arcs, inner, final, lengths = len(s), self.arcs, self.inner, self.final, self.lengths
-        path, at = [], [0]  # labels read so far, and where each began and the next begins
-        seen = {0}
-        pos, prev, most = 0, -1, n
-        while pos < n:
-            found = -1
-            if n - pos <= most and (t := final.get(s[pos:])) is not None and (prev < 0 or (arcs[prev, t] if (prev, t) in arcs else self.step(prev, t))):
-                found, end = t, n
-            else:
-                for length in lengths.get(s[pos : pos + 2], (1,)):
-                    end = pos + length
-                    if length <= most and end < n and end not in seen and (t := inner.get(s[pos:end])) is not None and (prev < 0 or (arcs[prev, t] if (prev, t) in arcs else self.step(prev, t))):
-                        found = t
-                        break
-            if found >= 0:
-                path.append(found)
-                at.append(end)
-                seen.add(end)
-                pos, prev, most = end, found, n
-            else:  # no way on from here: the label before must be shorter
-                if not path:
-                    raise ValueError(f"no path for {word[:80]!r}")
-                path.pop()
-                most = at.pop() - at[-1] - 1
-                pos, prev = at[-1], path[-1] if path else -1
+        s = word.encode("utf-8", "surrogatepass")
+        n, trie, inner, final, page, cells, row = len(s), self.trie, self.inner, self.final, self.page, self.cells, self.row
+        end, begun = -1, 0
+        last = [-1] * n  # the label that ends at each position of the one path there
+        for at in range(n):
+            if at and last[at] < 0:  # a symbol that the vocabulary lacks
+                break
+            base, node, stop = row[last[at]] if at else self.start, 0, at
+            for symbol in s[at : at + self.longest]:
+                node = trie[node].get(symbol)
+                if node is None:
+                    break
+                stop += 1
+                if stop < n:
+                    label = inner[node]
+                    if label is not None and last[stop] < 0 and not cells[page[base + label[1]] + label[2]]:
+                        last[stop] = label[0]
+                elif end < 0 and (label := final[node]) is not None and not cells[page[base + label[1]] + label[2]]:
+                    end, begun = label[0], at
+        if end < 0:
+            raise ValueError(f"no path for {word[:80]!r}")
+        path, lengths = [end], self.length
+        while begun:
+            t = last[begun]
+            path.append(t)
+            begun -= lengths[t]
+        path.reverse()
         return path
 
 
 class Words(dict):
-    """Word -> (ids joined by spaces, labels joined by spaces); it starts anew when full."""
+    """Word -> ids; it starts anew when full."""
 
     def __init__(self, automaton: Automaton):
         super().__init__()
         self.automaton = automaton
 
-    def __missing__(self, word: str) -> tuple[str, str]:
-        ids, labels = self.automaton.encode_word(word), self.automaton.labels
-        out = " ".join(map(str, ids)), " ".join([labels[i] for i in ids])
+    def __missing__(self, word: str) -> list[int]:
+        out = self.automaton.encode_word(word)
         if len(word) < 64:
             if len(self) >= WORDS:
                 self.clear()
@@ -161,6 +217,7 @@ class Tokenizer:
         self.words = Words(self.automaton)
         self.special = {x["content"]: x["id"] for x in given["added_tokens"]}
         self.labels = self.automaton.labels | {i: s for s, i in self.special.items()}
+        self.numbers = {i: str(i) for i in self.labels}
         self.at = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.split = regex.compile(SPLIT)
 
@@ -169,30 +226,33 @@ class Tokenizer:
         # str.lower() looks at a final sigma's neighbours; the file's normaliser takes single characters.
         return text.lower() if "Σ" not in text else "".join([c.lower() for c in text])
 
-    def pieces(self, text: str | None) -> list[tuple[str, str]]:
-        """(ids, labels) of every pre-split word and special token, each joined by spaces."""
+    def encode(self, text: str | None) -> list[int]:
         if not text:
             return []
         look = self.words.__getitem__
-        if self.at is None or "<|" not in text and not self.at.search(text):
-            return list(map(look, self.split.findall(self.normal(text))))
+        if not any(map(text.__contains__, self.special)):
+            return list(chain.from_iterable(map(look, self.split.findall(self.normal(text)))))
         out = []
         for k, part in enumerate(self.at.split(text)):
-            out += [(str(self.special[part]), part)] if k % 2 else map(look, self.split.findall(self.normal(part)))
+            out += [self.special[part]] if k % 2 else chain.from_iterable(map(look, self.split.findall(self.normal(part))))
         return out
 
-    def encode(self, text: str | None) -> list[int]:
-        return [int(i) for ids, _ in self.pieces(text) for i in ids.split(" ")]
-
     def decode(self, ids: list[int]) -> str:
-        return " ".join([self.labels[i] for i in ids if i in self.labels])
+        """The labels of the ids; unknown ids are left out, as by the library."""
+        labels = self.labels
+        return " ".join([labels[i] for i in ids if i in labels])
+
+    def written(self, ids: list[int]) -> str:
+        """The ids in decimal, joined by spaces."""
+        numbers = self.numbers
+        return " ".join([numbers[i] for i in ids])
 
 
 _made: dict[str, Tokenizer] = {}
 
 
 def tokenizer(spec: str) -> Tokenizer:
-    """One tokenizer a process and file."""
+    """The tokenizer of a file's contents; the driver keeps the last one."""
     key = hashlib.sha256(spec.encode()).hexdigest()
     if key not in _made:
         _made.clear()
@@ -200,17 +260,18 @@ def tokenizer(spec: str) -> Tokenizer:
     return _made[key]
 
 
-def _spec(path: str) -> str:
+def _sent(df: DataFrame, path: str):
+    """The compiled tokenizer of the file, which the driver reads, as a broadcast of about 20 MB (bounded by the vocabulary, not by the data)."""
     with open(path, encoding="utf-8") as f:
-        return f.read()
+        return df.sparkSession.sparkContext.broadcast(tokenizer(f.read()))
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` and ids array<int> of every text. path: the tokenizer file, read by the driver; executors get its contents (2 MB)."""
-    spec = docs.sparkSession.sparkContext.broadcast(_spec(path))
+    """The columns ``keep`` and ids array<int> of every text. path: the tokenizer file."""
+    sent = _sent(docs, path)
 
     def run(batches):
-        t = tokenizer(spec.value)
+        t = sent.value
         for b in C.slices(batches):
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array([t.encode(x.as_py()) for x in b.column(0)], pa.list_(pa.int32()))], [*keep, "ids"])
 
@@ -220,10 +281,10 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...]
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """(doc_id, text) of (doc_id, ids)."""
-    spec = encoded.sparkSession.sparkContext.broadcast(_spec(path))
+    sent = _sent(encoded, path)
 
     def run(batches):
-        t = tokenizer(spec.value)
+        t = sent.value
         for b in C.slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([t.decode(x.as_py() or []) for x in b.column(1)], pa.string())], ["doc_id", "text"])
 
@@ -231,20 +292,19 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): each text encoded and decoded, digests only."""
-    spec = docs.sparkSession.sparkContext.broadcast(_spec(path))
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): each text encoded, and its ids decoded; digests only."""
+    sent = _sent(docs, path)
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
 
     def run(batches):
-        t = tokenizer(spec.value)
+        t = sent.value
         for b in C.slices(batches):
             n, a, d = [], [], []
             for x in b.column(1):
-                pieces = t.pieces(x.as_py())
-                ids = " ".join([p[0] for p in pieces])
-                n.append(ids.count(" ") + 1 if ids else 0)
-                a.append(sha(ids))
-                d.append(sha(" ".join([p[1] for p in pieces])))
+                ids = t.encode(x.as_py())
+                n.append(len(ids))
+                a.append(sha(t.written(ids)))
+                d.append(sha(t.decode(ids)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -187,6 +187,56 @@ def test_bpe_equals_library(spark, corpus, edge, empty):
     assert bpe.round_trip(empty, path).count() == 0
 
 
+def test_bpe_long_words():
+    """Words of any length are read once: equal to the library, and 5 MB in seconds."""
+    import time
+
+    tokenizers = pytest.importorskip("tokenizers")
+    path, rng = bpe.default_path(), random.Random(11)
+    lib = tokenizers.Tokenizer.from_file(path)
+    with open(path, encoding="utf-8") as f:
+        t = bpe.tokenizer(f.read())
+    texts = ["".join(rng.choices("abcdefghijé日ß", k=n)) for n in (1, 2, 30, 3000, 200_000)] + ["a" * 50_000, "the" * 30_000, "=-" * 20_000]
+    texts += ["".join(rng.choices("aeinstr", k=rng.randint(1, 40))) for _ in range(2000)]
+    for x in texts:
+        assert t.encode(x) == lib.encode(x, add_special_tokens=False).ids
+    start = time.time()
+    assert t.decode(t.encode("".join(rng.choices("etaoinshr", k=5_000_000)))).replace(" ", "").endswith("</w>")
+    assert time.time() - start < 60
+
+
+def test_bpe_table_is_the_gadgets():
+    """The table has the arcs that the merges, applied one by one to an automaton written out in full, leave."""
+    import json
+
+    rng = random.Random(12)
+    base = ["a", "b", "c", "a</w>", "b</w>", "c</w>"]
+    vocab, merges = list(base), []
+    for _ in range(60):
+        u = rng.choice([x for x in vocab if not x.endswith("</w>")])
+        v = rng.choice(vocab)
+        if u + v not in vocab and len(u + v) < 14:
+            vocab.append(u + v)
+            merges.append([u, v])
+    ids = {s: i for i, s in enumerate(vocab)}
+    arcs = {0: set(base)}
+    for s in base:
+        arcs[s] = set() if s.endswith("</w>") else set(base)
+    for u, v in merges:
+        if u in arcs and v in arcs[u]:
+            arcs[u + v] = set(arcs[v])
+            arcs[u].remove(v)
+            for out in arcs.values():
+                if u in out:
+                    out.add(u + v)
+    a = bpe.Automaton(ids, merges)
+    place = {x[0]: x[1:] for x in [*a.inner, *a.final] if x is not None}
+    for s, out in arcs.items():
+        if s != 0 and not s.endswith("</w>"):
+            got = {a.labels[t] for t, (part, at) in place.items() if not a.cells[a.page[a.row[ids[s]] + part] + at]}
+            assert got == set(out), (s, json.dumps(merges))
+
+
 def test_toxicity(spark, sf, edge, empty):
     rng = random.Random(5)
     words, bad = [f"w{i}" for i in range(60)], ["idiotic", "idiots", "idiotism", "scummy"]
