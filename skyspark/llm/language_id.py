@@ -6,13 +6,15 @@ whole text. The score is the product of both stages' probabilities; as those
 of a stage sum to 1, it falls with the number of classes. The certainty does not: it is the product of the winners' mean
 pairwise probabilities, 0.25 or more.
 
-The machines are fitted by the driver on at most about ``SAMPLE`` labelled documents, the same
-number of each language, chosen by a hash of the id; everything else runs over all rows.
+The machines are fitted by the driver on about ``SAMPLE`` labelled documents, the same
+number of each language, chosen by a hash of the id, and on ``LEAST`` of each language where that is more: no language is
+left out, however many there are. Everything else runs over all rows.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; so is every text
 if no labelled document may be learned from; with one known language, all texts with letters
 are that with score 1; ties go to the first language by name; a language missing from
-``FAMILIES`` is a family of its own; repeated rows get the same prediction.
+``FAMILIES`` is a family of its own, and where there are more than ``ALONE`` of them, they are families by the
+likeness of their mean profiles; repeated rows get the same prediction; columns of docs that are named like a result are replaced by it.
 """
 
 from __future__ import annotations
@@ -27,6 +29,10 @@ from skyspark.llm.linear import OneVersusOne
 
 #: Labelled documents that the fit uses, about.
 SAMPLE = 2400
+#: Of each language at least, about.
+LEAST = 20
+#: Languages of unknown family that are families of their own; more are grouped.
+ALONE = 8
 #: Hashed features.
 WIDTH = 4096
 #: Characters counted at a time.
@@ -73,35 +79,59 @@ def profile(text: str | None) -> np.ndarray | None:
     return (x / np.sqrt((x * x).sum())).astype(np.float32)
 
 
+def grouped(x: np.ndarray, labels: np.ndarray, names: list[str]) -> dict[str, str]:
+    """Families of languages of unknown family: about the square root of their number, each about one of the languages least like those before it."""
+    mean = np.array([x[labels == k].mean(0) for k in names], np.float64)
+    mean /= np.sqrt((mean * mean).sum(1, keepdims=True))
+    near = mean @ mean[0]
+    heads = [0]
+    while len(heads) < int(np.ceil(np.sqrt(len(names)))):
+        heads.append(int(np.argmin(near)))
+        near = np.maximum(near, mean @ mean[heads[-1]])
+    own = np.argmax(np.round(mean @ mean[heads].T, 9), axis=1)
+    return {k: f"like {names[heads[i]]}" for k, i in zip(names, own, strict=True)}
+
+
 class Model:
     """The fitted hierarchy."""
 
     def __init__(self, x: np.ndarray, langs: list[str], families: dict[str, str] = FAMILIES):
-        of = [families.get(lang, f"only {lang}") for lang in langs]
+        labels = np.array(langs, object)
+        unknown = sorted({k for k in langs if k not in families})
+        more = {k: f"only {k}" for k in unknown} if len(unknown) <= ALONE else grouped(x, labels, unknown)
+        of = [families.get(k) or more[k] for k in langs]
         self.families = OneVersusOne(x, of) if langs else None
-        self.inside = {f: OneVersusOne(x[[i for i, g in enumerate(of) if g == f]], [lang for lang, g in zip(langs, of, strict=True) if g == f]) for f in set(of)}
-
-    def predict(self, text: str | None) -> tuple[str, float, float]:
-        """Language, score and certainty."""
-        x = profile(text) if self.families else None
-        if x is None:
-            return "und", 0.0, 0.0
+        at = np.array(of, object)
+        self.inside = {f: OneVersusOne(x[at == f], [k for k, g in zip(langs, of, strict=True) if g == f]) for f in set(of)}
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Languages, scores and certainties."""
+        lang, score, sure = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
+        found = [(i, x) for i, t in enumerate(texts) if (x := profile(t)) is not None] if self.families else []
+        if not found:
+            return lang, score, sure
+        rows, x = np.array([i for i, _ in found]), np.array([x for _, x in found])
         p = self.families.scores(x)
-        family = self.families.classes[int(np.argmax(p))]
-        q = self.inside[family].scores(x)
-        sure = self.families.certainty(p) * self.inside[family].certainty(q)
-        return self.inside[family].classes[int(np.argmax(q))], float(min(1.0, max(0.0, p.max() * q.max()))), min(1.0, max(0.0, sure))
-
-
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample: int = SAMPLE) -> Model:
-    """labelled: the documents that may be learned from; rows with null lang are left out."""
+        best, first = p.argmax(1), self.families.certainty(p)
+        for f in np.unique(best):
+            on, machine = np.flatnonzero(best == f), self.inside[self.families.classes[f]]
+            q = machine.scores(x[on])
+            for r, k in zip(rows[on], q.argmax(1), strict=True):
+                lang[r] = machine.classes[k]
+            score[rows[on]] = np.clip(p[on].max(1) * q.max(1), 0, 1)
+            sure[rows[on]] = np.clip(first[on] * machine.certainty(q), 0, 1)
+        return lang, score, sure
+
+
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample: int = SAMPLE, least: int = LEAST) -> Model:
+    """labelled: the documents that may be learned from; rows with null lang are left out. The driver gets one row per language and the sample."""
     labelled = labelled.where(F.col(lang).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(sample // 4).collect()}
+    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
     if not counts:
         return Model(np.zeros((0, WIDTH), np.float32), [])
-    each, grain = sample / len(counts), 1 << 40
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, each / n) * grain))])
-    chosen = labelled.where(F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(grain)) < F.element_at(share, F.col("lang")))
+    each, grain = max(least, sample / len(counts)), 1 << 40
+    share = labelled.sparkSession.createDataFrame([(k, int(min(1.0, each / n) * grain)) for k, n in sorted(counts.items())], "lang string, share long")
+    chosen = labelled.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(grain)) < F.col("share"))
 
     def run(batches):
         for b in C.slices(batches):
@@ -113,20 +143,22 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str
     return Model(x, [k for k, _ in rows])
 
 
+RESULTS = ("lang_pred", "score", "certainty")
+
+
 def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
     """docs (or its columns ``keep``) with lang_pred, score and certainty. The model, a few thousand weights per pair of languages of a family and of families, is broadcast."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    names = [text, *(docs.columns if keep is None else keep)]
-    kept = docs.select(*names[1:]).schema
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept) + "lang_pred string, score double, certainty double"
+    names = [c for c in (docs.columns if keep is None else keep) if c.lower() not in RESULTS]
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*names).schema) + "lang_pred string, score double, certainty double"
 
     def run(batches):
         m = sent.value
         for b in C.slices(batches):
-            found = [m.predict(t.as_py()) for t in b.column(0)]
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array([k for k, _, _ in found], pa.string()), *[pa.array([x[n] for x in found], pa.float64()) for n in (1, 2)]], [*names[1:], "lang_pred", "score", "certainty"])
+            lang, *two = m.predict([t.as_py() for t in b.column(0)])
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(lang, pa.string()), *[pa.array(x, pa.float64()) for x in two]], [*names, *RESULTS])
 
-    return docs.select(F.col(text).alias("__text"), *names[1:]).mapInArrow(run, schema)
+    return docs.select(F.col(text).alias("__text"), *names).mapInArrow(run, schema)
 
 
 def learnable(docs: DataFrame) -> DataFrame:

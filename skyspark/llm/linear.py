@@ -47,17 +47,17 @@ class OneVersusOne:
         self.w, self.slope = np.array(w, np.float32).reshape(len(w), x.shape[1] + 1), np.array(slope)
 
     def scores(self, x: np.ndarray) -> np.ndarray:
-        """x: one row of features."""
+        """x: a matrix, one row of features each. A row of scores each, the same whatever rows are beside it (margins are rounded beyond what the order of summation can change)."""
         n = len(self.classes)
         if n == 1:
-            return np.ones(1)
-        p = 1 / (1 + np.exp(-self.slope * (self.w[:, :-1] @ x + self.w[:, -1])))
-        out = np.zeros(n)
-        for (a, b), q in zip(self.pairs, p, strict=True):
-            out[a] += q
-            out[b] += 1 - q
+            return np.ones((len(x), 1))
+        p = 1 / (1 + np.exp(-self.slope * np.round(x.astype(np.float64) @ self.w[:, :-1].T.astype(np.float64) + self.w[:, -1], 9)))
+        out = np.zeros((len(x), n))
+        for k, (a, b) in enumerate(self.pairs):
+            out[:, a] += p[:, k]
+            out[:, b] += 1 - p[:, k]
         return out / len(self.pairs)
 
-    def certainty(self, scores: np.ndarray) -> float:
-        """The winner's mean probability against each other class: from 0.5 to 1 whatever their number, and 1 where it has no rival."""
-        return float(scores.max() * max(1.0, len(self.classes) / 2))
+    def certainty(self, scores: np.ndarray) -> np.ndarray:
+        """The winner's mean probability against each other class, by row: from 0.5 to 1 whatever their number, and 1 where it has no rival."""
+        return scores.max(1) * max(1.0, len(self.classes) / 2)

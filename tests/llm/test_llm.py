@@ -164,10 +164,26 @@ def test_language_id(corpus, edge, empty):
     assert language_id.predict(empty, model).count() == 0
     nothing = language_id.fit(empty)
     assert {r.lang_pred for r in language_id.predict(edge, nothing).collect()} == {"und"}
+    again = language_id.predict(language_id.predict(edge, model), model)
+    assert again.columns == [*edge.columns, "lang_pred", "score", "certainty"]
+    assert sorted(map(str, again.collect())) == sorted(map(str, language_id.predict(edge, model).collect()))
     one = language_id.fit(edge.where("lang = 'fr'"))
     assert {(r.lang_pred, r.score) for r in language_id.predict(edge.where("doc_id = 6"), one).collect()} == {("fr", 1.0)}
 
 
+def test_language_id_knows_every_language(spark):
+    """More languages than rows of the sample would give by themselves: each can be predicted, the rarest too."""
+    rng = random.Random(14)
+    names = [f"x{i:02}" for i in range(60)]
+    words = {k: ["".join(rng.choices(rng.sample("abcdefghijklmnopqrstuvwxyz", 7), k=rng.randint(3, 8))) for _ in range(60)] for k in names}
+    rows = [(1000 * n + i, " ".join(rng.choices(words[k], k=60)), k, "a") for n, k in enumerate(names) for i in range(6 + 40 * (n % 3 == 0))]
+    df = docs(spark, rows)
+    model = language_id.fit(language_id.learnable(df), sample=100)
+    assert 2 <= len(model.families.classes) <= 8 and sum(len(m.classes) for m in model.inside.values()) == 60
+    out = language_id.predict(df, model).collect()
+    assert {r.lang_pred for r in out} == set(names) and np.mean([r.lang == r.lang_pred for r in out]) >= 0.95
+
+
 def test_bpe_equals_library(spark, corpus, edge, empty):
     tokenizers = pytest.importorskip("tokenizers")
     path = bpe.default_path()
