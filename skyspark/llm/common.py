@@ -41,10 +41,26 @@ def stored(df: DataFrame, tag: str, partition_by: list[str] | None = None) -> Da
     return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
 
 
-def delete(spark: SparkSession, df_path: str) -> None:
-    """Remove a table of the shared folder that no later plan reads."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df_path)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def forget(df: DataFrame) -> None:
+    """Remove the files of a table that ``stored`` returned and no later plan reads."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        delete(df.sparkSession, path)
+
+
+def _folder(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def make_dir(spark: SparkSession, path: str) -> None:
+    files, at = _folder(spark, path)
+    files.mkdirs(at)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder of the shared folder that no later plan reads."""
+    files, at = _folder(spark, path)
+    files.delete(at, True)
 
 
 def ascii_lower(c: Column) -> Column:

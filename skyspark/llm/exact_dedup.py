@@ -1,17 +1,21 @@
 """Exact deduplication with a persistent digest index (native: DataFrame and SQL functions only).
 
-The index is a table with one row per distinct digest, bucketed and sorted by digest.
-New documents are reduced to one row per digest before anything is shuffled, dropped if
-the index has the digest already (a sort-merge anti-join on the bucketed side), and the
-rest is appended. A hot digest, such as a text that a third of all rows carry, never meets
-in one task: aggregation combines before its shuffle, and when rows get their group back,
-digests of more than ``total / HOT_PARTS`` rows (there can't be more than HOT_PARTS of
+The index is a table of digests, bucketed by digest and sorted inside its buckets, with one partition per batch of documents. A batch is
+reduced to one row per digest before anything is shuffled. Digests that the index lacks are found by a sort-merge anti-join
+against its bucketed side, which isn't shuffled; they and the counts of those it has already are written as the batch's
+partition. Writing a batch again replaces its partition, so a batch that failed half way is simply appended again. Reading sums
+a digest's rows inside its bucket: the largest doc_id and the count over all batches.
+
+A hot digest, such as a text that a third of all rows carry, never meets in one task: aggregation
+combines before its shuffle (its result is written, as the optimiser would else join before it), and when rows get their group back,
+digests of more than a ``hot_parts``-th of the rows (there can't be more than ``hot_parts`` of
 them) are looked up in a broadcast of at most that many rows.
 
 Defined results: a null text counts as the empty text; texts are equal when identical after
 lower-casing A-Z; among equal texts the largest doc_id stays (null doc_ids sort lowest, and
 of repeated rows with that doc_id all are marked kept in ``annotate``, one is kept by
-``deduplicate``); an empty table gives an empty result; other columns pass through
+``deduplicate``); with an index that holds earlier batches, ``annotate`` gives the state after this batch, and ``deduplicate`` drops
+what an earlier batch has; an empty table gives an empty result; other columns pass through
 ``deduplicate`` untouched, whatever their names.
 """
 
@@ -26,6 +30,8 @@ from skyspark.llm import common as C
 
 #: Digests with more than a HOT_PARTSth of all rows are joined by broadcast; there are fewer than this many.
 HOT_PARTS = 2000
+#: Batches in which a table is appended to the index.
+BATCHES = 2
 
 
 def digest(text):
@@ -34,7 +40,7 @@ def digest(text):
 
 
 class DigestIndex:
-    """A digest index kept at ``path``; opening it again in another session finds what was appended."""
+    """A digest index kept at ``path``; opening it again in another session finds what was appended. The number of buckets is the index's for good: choose it for its final size."""
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
         self.spark = spark
@@ -42,54 +48,83 @@ class DigestIndex:
         self.buckets = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
         self.name = f"digest_index_{uuid.uuid4().hex}"
         spark.sql(
-            f"CREATE TABLE {self.name} (digest BINARY, keep_id BIGINT, group_size BIGINT) USING parquet "
-            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}'"
+            f"CREATE TABLE {self.name} (digest BINARY, keep_id BIGINT, group_size BIGINT, novel BOOLEAN, batch STRING) USING parquet "
+            f"PARTITIONED BY (batch) CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}'"
         )
+        C.make_dir(spark, self.path)
+        spark.sql(f"MSCK REPAIR TABLE {self.name}")
 
-    def read(self) -> DataFrame:
+    def rows(self) -> DataFrame:
+        """(digest, keep_id, group_size, novel, batch): a row per digest and batch that has it."""
         return self.spark.table(self.name)
 
-    def append(self, digests: DataFrame) -> None:
-        """digests: (doc_id, digest) rows. Adds the digests that the index lacks, with the largest doc_id and the count of each."""
-        groups = digests.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-        new = groups.hint("merge").join(self.read().select("digest"), "digest", "left_anti")
-        new.repartition(self.buckets, "digest").sortWithinPartitions("digest").write.insertInto(self.name)
+    def read(self) -> DataFrame:
+        """(digest, keep_id, group_size) over all batches; the bucketed rows are not shuffled."""
+        return self.rows().groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+
+    def append(self, digests: DataFrame, batch: str | None = None) -> str:
+        """Adds (doc_id, digest) rows as a batch, or replaces the batch of that name. Returns its name."""
+        batch = batch or uuid.uuid4().hex
+        groups = C.stored(digests.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "digest-groups")
+        known = self.rows().where(F.col("batch") != batch).select("digest")
+        parts = [groups.hint("merge").join(known, "digest", how).withColumn("novel", F.lit(how == "left_anti")) for how in ("left_anti", "left_semi")]
+        new = C.stored(parts[0].unionByName(parts[1]).select("digest", "keep_id", "group_size", "novel"), "digest-batch")
+        dealt = new.repartition(self.buckets, "digest").sortWithinPartitions("digest")
+        self.spark.sql(f"INSERT OVERWRITE TABLE {self.name} PARTITION (batch = '{batch}') SELECT * FROM {{dealt}}", dealt=dealt)
         self.spark.catalog.refreshTable(self.name)
+        C.forget(groups)
+        C.forget(new)
+        return batch
 
     def novel(self, digests: DataFrame) -> DataFrame:
         """The rows of digests whose digest the index lacks."""
-        return digests.hint("merge").join(self.read().select("digest"), "digest", "left_anti")
+        return digests.hint("merge").join(self.rows().select("digest"), "digest", "left_anti")
+
+    def remove(self) -> None:
+        """Drops the index and its files."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        C.delete(self.spark, self.path)
 
 
-def with_groups(rows: DataFrame, index: DataFrame, total: int) -> DataFrame:
-    """rows with keep_id and group_size of their digest, without ever gathering a hot digest in one task."""
-    hot = index.where(F.col("group_size") * HOT_PARTS > F.lit(total))
-    often = rows.join(F.broadcast(hot), "digest", "left")
-    found = often.where(F.col("group_size").isNotNull())
-    rest = often.where(F.col("group_size").isNull()).drop("keep_id", "group_size")
-    return found.unionByName(rest.join(index.where(F.col("group_size") * HOT_PARTS <= F.lit(total)), "digest"))
+def with_groups(rows: DataFrame, index: DigestIndex, total: int, hot_parts: int = HOT_PARTS) -> DataFrame:
+    """rows with keep_id and group_size of their digest, without ever gathering a hot digest in one task. Hot is what is frequent in these rows, so an index of earlier batches broadcasts no more."""
+    groups = index.read()
+    often = rows.groupBy("digest").count().where(F.col("count") * hot_parts > F.lit(total)).select("digest")
+    hot = C.stored(groups.join(F.broadcast(often), "digest"), "hot")
+    marked = rows.join(F.broadcast(hot), "digest", "left")
+    found = marked.where(F.col("group_size").isNotNull())
+    rest = marked.where(F.col("group_size").isNull()).drop("keep_id", "group_size").hint("merge")
+    return found.unionByName(rest.join(groups, "digest"))
 
 
-def annotate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", index: DigestIndex | None = None) -> DataFrame:
-    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256. Appends to the index (a fresh one by default)."""
-    spark = docs.sparkSession
+def annotate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", index: DigestIndex | None = None, batches: int = BATCHES, hot_parts: int = HOT_PARTS) -> DataFrame:
+    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256. Appends docs to the index in some batches (to a fresh one, removed afterwards, by default)."""
     rows = C.stored(docs.select(F.col(doc_id).alias("doc_id"), digest(F.col(text)).alias("digest")), "digests")
-    index = index or DigestIndex(spark)
-    index.append(rows)
-    out = with_groups(rows, index.read(), rows.count())
-    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
-
-
-def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """docs without the rows whose text another row with a larger doc_id has; of repeated rows (equal doc_id and text) one stays."""
-    names = docs.columns
-    marked = docs.withColumn("__digest", digest(F.col(text)))
-    best = marked.groupBy("__digest").agg(F.max(doc_id).alias("__best"))
-    # The winners are one row per digest, so hardly a row of a hot group survives the semi join.
-    on = marked["__digest"].eqNullSafe(F.col("__d")) & marked[doc_id].eqNullSafe(F.col("__best"))
-    won = marked.join(best.withColumnRenamed("__digest", "__d"), on, "left_semi")
-    once = Window.partitionBy("__digest", doc_id).orderBy(F.lit(0))
-    return won.withColumn("__n", F.row_number().over(once)).where("__n = 1").select(*names)
+    own = index or DigestIndex(docs.sparkSession)
+    name = uuid.uuid4().hex
+    for k in range(batches):
+        own.append(rows.where(F.pmod(F.xxhash64(F.lit("batch"), "doc_id"), F.lit(batches)) == k), f"{name}-{k}")
+    out = with_groups(rows, own, rows.count(), hot_parts)
+    out = C.stored(out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")), "annotated")
+    C.forget(rows)
+    if index is None:
+        own.remove()
+    return out
+
+
+def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", index: DigestIndex | None = None) -> DataFrame:
+    """docs without the rows whose text another row with a larger doc_id or an earlier batch of the index has; of repeated rows (equal doc_id and text) one stays.
+
+    The digests are appended to the index (to a fresh one by default), and those that were new to it bring their document; texts are shuffled once."""
+    names, tag = docs.columns, uuid.uuid4().hex
+    by, key = f"digest_{tag}", f"key_{tag}"
+    own = index or DigestIndex(docs.sparkSession)
+    batch = own.append(docs.select(F.col(doc_id).alias("doc_id"), digest(F.col(text)).alias("digest")))
+    named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    won = own.rows().where((F.col("batch") == batch) & F.col("novel")).select(F.col("digest").alias(by), named("keep_id").alias(key))
+    marked = docs.withColumns({by: digest(F.col(text)), key: named(doc_id)})
+    once = Window.partitionBy(by, key).orderBy(F.lit(0))
+    return marked.hint("merge").join(won, [by, key], "left_semi").withColumn(tag, F.row_number().over(once)).where(F.col(tag) == 1).select(*names)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,19 +41,46 @@ def lower(t):
     return (t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
 
 
-def test_exact_dedup(edge, empty, corpus):
+def groups_of(rows):
+    groups = {}
+    for r in rows:
+        groups.setdefault(lower(r.text), []).append(r.doc_id)
+    most = {k: max((i for i in v if i is not None), default=None) for k, v in groups.items()}
+    return sorted(((r.doc_id, most[lower(r.text)], len(groups[lower(r.text)]), r.doc_id == most[lower(r.text)], hashlib.sha256(lower(r.text).encode()).hexdigest()) for r in rows), key=str)
+
+
+@pytest.mark.parametrize("hot_parts", [2000, 3])  # with 3, hardly a digest of these small tables is looked up in the broadcast
+def test_exact_dedup(edge, empty, corpus, hot_parts):
     for df in (edge, corpus, empty):
         rows = df.select("doc_id", "text").collect()
-        groups = {}
-        for r in rows:
-            groups.setdefault(lower(r.text), []).append(r.doc_id)
-        most = {k: max((i for i in v if i is not None), default=None) for k, v in groups.items()}
-        want = sorted(((r.doc_id, most[lower(r.text)], len(groups[lower(r.text)]), r.doc_id == most[lower(r.text)], hashlib.sha256(lower(r.text).encode()).hexdigest()) for r in rows), key=str)
-        got = sorted((tuple(r) for r in exact_dedup.annotate(df).collect()), key=str)
-        assert got == want
+        got = sorted((tuple(r) for r in exact_dedup.annotate(df, hot_parts=hot_parts).collect()), key=str)
+        assert got == groups_of(rows)
         left = exact_dedup.deduplicate(df)
         assert left.columns == df.columns
-        assert sorted(lower(r.text) for r in left.collect()) == sorted(groups)
+        assert sorted(lower(r.text) for r in left.collect()) == sorted({lower(r.text) for r in rows})
+        kept = {(r.doc_id, lower(r.text)) for r in left.collect()}
+        most = {(r[0], r[4]) for r in got if r[3]}
+        assert {(i, hashlib.sha256(t.encode()).hexdigest()) for i, t in kept} == most
+
+
+def test_exact_index_takes_batches(spark, edge, corpus):
+    """Annotations after a batch are those of all batches together; a batch appended again changes nothing; deduplication drops what earlier batches have."""
+    index = exact_dedup.DigestIndex(spark, buckets=4)
+    first, second = corpus.where("doc_id % 3 = 0"), corpus.where("doc_id % 3 <> 0")
+    exact_dedup.annotate(first, index=index)
+    got = sorted((tuple(r) for r in exact_dedup.annotate(second, index=index, hot_parts=5).collect()), key=str)
+    want = [x for x in groups_of(corpus.collect()) if x[0] % 3]
+    assert got == want
+    digests = edge.select("doc_id", exact_dedup.digest(F.col("text")).alias("digest"))
+    before = index.read().count()
+    index.append(digests, "late")
+    once = sorted(map(str, index.read().collect()))
+    index.append(digests, "late")
+    assert sorted(map(str, index.read().collect())) == once and len(once) > before
+    new = docs(spark, [(90_000, "brand new text", "en", "a"), (90_001, "Brand NEW text", "en", "a")])
+    left = exact_dedup.deduplicate(corpus.select("doc_id", "text").unionByName(new.select("doc_id", "text")), index=index)
+    assert [r.doc_id for r in left.collect()] == [90_001]
+    index.remove()
 
 
 def test_exact_index_persists(spark, edge):
@@ -61,8 +88,7 @@ def test_exact_index_persists(spark, edge):
     rows = edge.select("doc_id", exact_dedup.digest(F.col("text")).alias("digest"))
     index.append(rows)
     n = index.read().count()
-    index.append(rows)
-    assert index.read().count() == n == rows.select("digest").distinct().count()
+    assert n == rows.select("digest").distinct().count() == index.rows().where("novel").count()
     again = exact_dedup.DigestIndex(spark, index.path, 4)
     assert again.read().count() == n
     new = spark.createDataFrame([(99, "brand new")], "doc_id long, text string").select("doc_id", exact_dedup.digest(F.col("text")).alias("digest"))
