@@ -41,6 +41,24 @@ def stored(df: DataFrame, tag: str, partition_by: list[str] | None = None) -> Da
     return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
 
 
+class Scratch:
+    """Tables of the shared folder that go together."""
+
+    def __init__(self):
+        self.held: list[DataFrame] = []
+
+    def stored(self, df: DataFrame, tag: str) -> DataFrame:
+        self.held.append(stored(df, tag))
+        return self.held[-1]
+
+    def clear(self, *keep: DataFrame) -> None:
+        """Removes all but some tables."""
+        for df in self.held:
+            if not any(df is k for k in keep):
+                forget(df)
+        self.held = [k for k in keep if any(df is k for df in self.held)]
+
+
 def forget(df: DataFrame) -> None:
     """Remove the files of a table that ``stored`` returned and no later plan reads."""
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:

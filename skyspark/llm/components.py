@@ -14,19 +14,22 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     Each round every node takes its smallest neighbour (or itself) as label and the edges are contracted to labels, until none is left;
     then labels are followed. Ids are expected to be hashes, so their order is random and each round removes a constant share of the edges; a star
     goes in one. Minima are aggregated before they are joined back, so a node with many edges is no single task's."""
-    now = C.stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    held = C.Scratch()
+    now = held.stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     labels: DataFrame | None = None
     for _ in range(most):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        small = C.stored(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("root")), "labels")
+        small = held.stored(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("root")), "labels")
         if labels is None:
             labels = small
         else:
             step = small.select(F.col("node").alias("root"), F.col("root").alias("next"))
-            labels = C.stored(labels.join(step, "root", "left").select("node", F.coalesce("next", "root").alias("root")), "labels")
+            labels = held.stored(labels.join(step, "root", "left").select("node", F.coalesce("next", "root").alias("root")), "labels")
         a, b = small.select(F.col("node").alias("u"), F.col("root").alias("a")), small.select(F.col("node").alias("v"), F.col("root").alias("b"))
         left = now.join(a, "u").join(b, "v").where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-        now = C.stored(left, "edges")
+        now = held.stored(left, "edges")
         if now.isEmpty():
+            held.clear(labels)
             return labels
+        held.clear(now, labels)
     raise RuntimeError(f"components did not settle in {most} rounds")

@@ -3,19 +3,24 @@
 A document's set is its distinct word shingles; documents with equal sets are one class and are joined
 once. A class is known by minwise values, one of each of ``WIDTH`` random orders. From the root
 of each tree a class branches along chosen coordinates: each is chosen with probability
-1 / (similarity * WIDTH) by a hash of the node, and classes with the same value there share the child. Nodes of
-at most ``LIMIT`` classes are compared exhaustively; larger ones branch again. Independent trees repeat
-this until a pair at the threshold is missed with negligible probability (below 1e-6 where the
-first branch suffices, below 1e-3 at depth ``DEPTH``; in nodes still too large there, pairs of different components have only the 12 trees
-of the second round, and one at the threshold is missed with probability up to about 4e-3).
-
-Nodes still too large at that depth, which happens when their classes are close copies of each other, are handled
-exactly: in the first round of trees in blocks that share a few pivots, which joins close copies into one component;
-in the second, what isn't in a node's main component is compared with the whole node, in blocks.
-
-In a node, minwise values pick candidate pairs (estimates down to ``SLACK`` below the threshold, over four
-standard deviations), most similar first; each is confirmed on the full sets unless its ends are connected
-already. So a group of n copies costs about n confirmations. Equal nodes of different trees are compared
+1 / (BRANCH * similarity * WIDTH) by a hash of the node, and classes with the same value there share the child. Nodes of
+at most ``LIMIT`` classes are compared exhaustively; larger ones branch again, for as long as that makes them smaller.
+Independent trees repeat this until a pair at the threshold is missed with negligible probability.
+
+A pair at the threshold shares 1 / BRANCH children on average. That is more than 1, so a pair that links shares
+nodes at every depth with a probability that doesn't fall to 0 (0.74 after the first branch, at least 0.48 after any
+number), and pairs of less than BRANCH times the threshold come apart. A pair at the threshold is missed by all ``TREES`` with probability below 1e-9 where the first
+branch suffices and about 2e-4 at any depth (over what its ``WIDTH`` minwise values can be, which all trees share).
+
+A node whose classes are close copies of each other doesn't get smaller by branching: one of more than ``TIGHT`` of its parent's classes
+is handled exactly instead: in the first round of trees in blocks that share a few pivots, which joins close copies into one component;
+in the second, what isn't in a node's main component is compared with the whole node, in blocks (a pair that only the
+second round's trees reach there is missed with probability of about 1e-3).
+
+In a node, minwise values pick candidate pairs (estimates down to ``SLACK`` below the threshold, over five
+standard deviations: one pair in 10 million at the threshold falls short), most similar first; each is confirmed on the full sets unless its ends are connected
+already. So a group of n copies costs about n confirmations. Full sets are compared in groups of at most about ``GROUP_BYTES``: a node with more, such as one of
+very long texts, is dealt in blocks, and every pair of blocks is a group. Equal nodes of different trees are compared
 once, and the second round of trees looks only at pairs that the first left apart. Links go
 through distributed connected components; neither links nor sets are collected.
 
@@ -32,7 +37,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skyspark.llm import common as C
@@ -42,12 +47,16 @@ from skyspark.llm.components import components
 WIDTH = 128
 #: Classes that are compared exhaustively at most.
 LIMIT = 1000
-#: Levels of a tree.
-DEPTH = 3
+#: 1 / (BRANCH * threshold) coordinates are chosen on average: pairs less similar than BRANCH * threshold come apart with depth.
+BRANCH = 0.733
+#: A node with more than this share of its parent's classes doesn't get smaller by branching.
+TIGHT = 0.8
 #: Trees of the two rounds.
 TREES = (4, 12)
 #: How far an estimate may be below the threshold.
-SLACK = 0.16
+SLACK = 0.2
+#: Bytes of full sets that are compared in one group, about; a single set may be larger.
+GROUP_BYTES = 128 << 20
 PIVOTS = 8
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -129,15 +138,15 @@ def minwise(s: np.ndarray) -> np.ndarray:
 _orders_kept = _orders()
 
 
-def children(keys: np.ndarray, similarity: float) -> np.ndarray:
+def children(keys: np.ndarray, share: float) -> np.ndarray:
     """Which coordinates each node chooses: a row of WIDTH booleans per key."""
     h = mixed(keys[:, None] * MIX + np.arange(1, WIDTH + 1, dtype=np.uint64)) >> np.uint64(32)
-    return h < np.uint64(int((1 << 32) / (similarity * WIDTH)))
+    return h < np.uint64(int((1 << 32) / (share * WIDTH)))
 
 
-def branch(keys: np.ndarray, sigs: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+def branch(keys: np.ndarray, sigs: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
     """(row, key of the child) of every branch that the classes take from their nodes."""
-    row, at = np.nonzero(children(keys, similarity))
+    row, at = np.nonzero(children(keys, share))
     return row, mixed(mixed(keys[row] * MIX + at.astype(np.uint64)) + sigs[row, at].astype(np.uint64) * MIX).view(np.int64)
 
 
@@ -233,53 +242,68 @@ def distinct_groups(rows: DataFrame) -> DataFrame:
 class Join:
     """The similarity join over the classes of one table."""
 
-    def __init__(self, docs: DataFrame, text: str, doc_id: str, size: int, percent: int, limit: int = LIMIT):
-        self.docs, self.text, self.doc_id, self.size, self.percent, self.limit = docs, text, doc_id, size, percent, limit
+    def __init__(self, docs: DataFrame, text: str, doc_id: str, size: int, percent: int, limit: int = LIMIT, most: int = GROUP_BYTES):
+        self.docs, self.text, self.doc_id, self.size, self.percent, self.limit, self.most = docs, text, doc_id, size, percent, limit, most
         self.similarity = percent / 100
-        self.rows = C.stored(profiles(docs, text, doc_id, size), "profiles")
+        self.held = C.Scratch()
+        self.rows = self.held.stored(profiles(docs, text, doc_id, size), "profiles")
         some = self.rows.where(F.col("class").isNotNull() & F.col("doc_id").isNotNull())
-        self.classes = C.stored(some.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "classes")
-        self.edges: list[DataFrame] = []
-
-    def roots(self) -> DataFrame:
-        return components(self.edges[-1])
+        self.classes = self.held.stored(some.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "classes")
 
     def nodes(self, trees: range) -> tuple[DataFrame, DataFrame | None]:
-        """(node, class) of the nodes to compare exhaustively, and of those too large at the last level."""
-        similarity = self.similarity
+        """(node, class) of the nodes to compare exhaustively, and of those that are too large and tight."""
         seeds = mixed(np.array([*trees], np.uint64) + np.uint64(977))
 
         def plant(batches):
             for b in C.slices(batches, 1000):
                 sigs, ids = _sigs(b.column(1)), b.column(0)
                 for seed in seeds:
-                    row, key = branch(np.full(len(sigs), seed), sigs, similarity)
-                    yield pa.RecordBatch.from_arrays([pa.array(key), ids.take(pa.array(row))], ["node", "class"])
+                    row, key = branch(np.full(len(sigs), seed), sigs, share)
+                    yield pa.RecordBatch.from_arrays([pa.array(key), ids.take(pa.array(row)), pa.array(np.full(len(key), total))], ["node", "class", "above"])
 
         def grow(batches):
             for b in C.slices(batches, 1000):
-                row, key = branch(b.column(0).to_numpy().view(np.uint64), _sigs(b.column(2)), similarity)
-                yield pa.RecordBatch.from_arrays([pa.array(key), b.column(1).take(pa.array(row))], ["node", "class"])
-
-        level = self.classes.select("class", "sig").mapInArrow(plant, "node long, class binary")
-        small, large = [], None
-        for depth in range(DEPTH):
-            level = C.stored(level, "nodes") if depth else level
-            sizes = C.stored(level.groupBy("node").count().where("count > 1"), "sizes")
-            small.append(C.stored(level.join(sizes.where(F.col("count") <= self.limit), "node").select("node", "class"), "small"))
-            big = sizes.where(F.col("count") > self.limit).select("node")
+                row, key = branch(b.column(0).to_numpy().view(np.uint64), _sigs(b.column(3)), share)
+                at = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array(key), b.column(1).take(at), b.column(2).take(at)], ["node", "class", "above"])
+
+        share = self.similarity * BRANCH
+        total, schema = self.classes.count(), "node long, class binary, above long"
+        level = self.classes.select("class", "sig").mapInArrow(plant, schema)
+        small, tight = [], []
+        while True:
+            # The first level is cheaper to make again than to write.
+            level = self.held.stored(level, "nodes") if small else level
+            sizes = self.held.stored(level.groupBy("node").agg(F.count("*").alias("count"), F.first("above").alias("above")).where("count > 1"), "sizes")
+            fits = F.col("count") <= self.limit
+            small.append(self.held.stored(level.join(sizes.where(fits).select("node"), "node").select("node", "class"), "small"))
+            big = self.held.stored(sizes.where(~fits).select("node", "count", (F.col("count") > F.col("above") * TIGHT).alias("tight")), "big")
             if big.isEmpty():
-                large = None
                 break
-            large = C.stored(level.join(big, "node"), "large")
-            level = large.join(self.classes.select("class", "sig"), "class").select("node", "class", "sig").mapInArrow(grow, "node long, class binary")
-        out = small[0]
+            large = self.held.stored(level.select("node", "class").join(big, "node"), "large")
+            tight.append(large.where("tight").select("node", "class"))
+            if big.where("NOT tight").isEmpty():
+                break
+            level = large.where("NOT tight").join(self.classes.select("class", "sig"), "class").select("node", "class", F.col("count").alias("above"), "sig").mapInArrow(grow, schema)
+        out, rest = small[0], tight[0] if tight else None
         for x in small[1:]:
             out = out.unionByName(x)
-        return C.stored(distinct_groups(out), "groups"), large
-
-    def confirm(self, groups: DataFrame, roots: DataFrame | None) -> None:
-        """Adds the links inside groups (node, class); with roots, only those between components."""
+        for x in tight[1:]:
+            rest = rest.unionByName(x)
+        return self.held.stored(distinct_groups(out), "groups"), None if rest is None else self.held.stored(rest, "tight-nodes")
+
+    def by_bytes(self, groups: DataFrame) -> DataFrame:
+        """(node, class) so that no group's full sets have much more than ``most`` bytes together: blocks of half of that, and a group for every two blocks."""
+        run = Window.partitionBy("node").orderBy("class")
+        held = groups.join(self.classes.select("class", "n"), "class").withColumn("block", F.floor((F.sum("n").over(run.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - 1) / max(1, self.most // 16)))
+        held = held.withColumn("blocks", F.max("block").over(Window.partitionBy("node")) + 1)
+        one = held.where("blocks = 1").select("node", "class")
+        # Running sums skip numbers where a set is larger than a block; groups of one class go.
+        two = held.where("blocks > 1").withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)"))).where("other <> block").select(F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other")).alias("node"), "class")
+        return one.unionByName(two)
+
+    def confirm(self, groups: DataFrame, roots: DataFrame | None) -> DataFrame:
+        """The links inside groups (node, class), as many as connect what is linked; with roots, only those between components."""
         similarity, percent = self.similarity, self.percent
 
         def with_roots(rows: DataFrame) -> DataFrame:
@@ -299,8 +323,8 @@ class Join:
             return pa.table({"node": pa.array(key, pa.int64()), "class": t["class"].combine_chunks().take(pa.array(at))})
 
         narrow = with_roots(groups).join(self.classes.select("class", "n", "sig"), "class")
-        tight = C.stored(narrow.groupBy("node").applyInArrow(parts, "node long, class binary"), "parts")
-        tight = C.stored(distinct_groups(tight), "tight")
+        tight = self.held.stored(narrow.groupBy("node").applyInArrow(parts, "node long, class binary"), "parts")
+        tight = self.held.stored(distinct_groups(self.by_bytes(tight)), "tight")
         wanted = tight.select("class").distinct().join(self.classes.select("class", "doc_id"), "class")
         sets = sets_of(self.docs, self.text, self.doc_id, self.size, wanted).join(self.classes.select("class", "n", "sig"), "class")
 
@@ -321,8 +345,7 @@ class Join:
             return pa.table({"u": names.take(pa.array(at)), "v": names.take(pa.array(lead[at]))})
 
         full = with_roots(tight).join(sets, "class")
-        found = C.stored(full.groupBy("node").applyInArrow(links, "u binary, v binary").distinct(), "links")
-        self.edges.append(found)
+        return self.held.stored(full.groupBy("node").applyInArrow(links, "u binary, v binary").distinct(), "links")
 
     def blocks(self, large: DataFrame) -> DataFrame:
         """Groups of at most about ``limit`` classes of each large node, all with the node's pivots."""
@@ -349,17 +372,21 @@ class Join:
         """(class, root) of the classes that have links."""
         first, second = TREES
         groups, large = self.nodes(range(first))
-        self.confirm(groups if large is None else groups.unionByName(C.stored(self.blocks(large), "blocks")), None)
-        roots = self.roots()
+        links = self.confirm(groups if large is None else groups.unionByName(self.held.stored(self.blocks(large), "blocks")), None)
+        roots = components(links)
+        self.held.clear(self.rows, self.classes)
         groups, large = self.nodes(range(first, first + second))
-        self.confirm(groups if large is None else groups.unionByName(C.stored(self.rest(large, roots), "rest")), roots)
+        links = self.confirm(groups if large is None else groups.unionByName(self.held.stored(self.rest(large, roots), "rest")), roots)
         # What the first round joined enters the last as one star each.
-        return components(self.edges[-1].unionByName(roots.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))))
+        out = components(links.unionByName(roots.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))))
+        self.held.clear(self.rows, self.classes)
+        C.forget(roots)
+        return out
 
 
-def annotate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = 5, percent: int = 75, limit: int = LIMIT) -> DataFrame:
+def annotate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = 5, percent: int = 75, limit: int = LIMIT, most: int = GROUP_BYTES) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept, and class (hex; null without words)."""
-    j = Join(docs, text, doc_id, size, percent, limit)
+    j = Join(docs, text, doc_id, size, percent, limit, most)
     roots = j.run().withColumnRenamed("node", "class")
     named = j.classes.select("class", "doc_id").join(roots, "class")
     least = named.groupBy("root").agg(F.min("doc_id").alias("least"))

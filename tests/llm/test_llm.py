@@ -343,15 +343,66 @@ def near_copies(seed=1, families=12):
     return rows
 
 
-@pytest.mark.parametrize("limit", [1000, 4])
-def test_near_dedup(spark, edge, limit):
+@pytest.mark.parametrize(("limit", "most"), [(1000, near_dedup.GROUP_BYTES), (4, near_dedup.GROUP_BYTES), (1000, 16 * 150)])
+def test_near_dedup(spark, edge, limit, most):
     rows = near_copies() + [(None, "a b c d e f"), (900, "a b c d e f"), (901, "A b\tc d e\nf"), (902, None), (903, ""), (904, "one"), (905, "one"), (905, "one")]
     df = docs(spark, [(i, t, "en", "a") for i, t in rows])
-    got = near_dedup.annotate(df, limit=limit).collect()
+    got = near_dedup.annotate(df, limit=limit, most=most).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == sorted(brute_components(rows), key=str)
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_near_dedup_templates(spark):
+    """Pages of one template, half alike, and some copies of them: branching takes the template apart, and the copies are found."""
+    rng = random.Random(15)
+    template = [f"t{i}" for i in range(60)]
+    rows = [(i, " ".join(template + [f"u{rng.randrange(10**6)}" for _ in range(28)])) for i in range(400)]
+    for i in range(0, 400, 8):
+        w = rows[i][1].split()
+        w[70] = "changed"
+        rows.append((1000 + i, " ".join(w)))
+    got = near_dedup.annotate(docs(spark, [(i, t, "en", "a") for i, t in rows]), limit=30).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == sorted(brute_components(rows), key=str)
+
+
+def exact_links(rows, percent=75):
+    """The same as brute_components through the texts' shared shingles; for more rows."""
+    sets, at = [], {}
+    for k, (_, t) in enumerate(rows):
+        w = [x for x in lower(t).replace("\t", " ").replace("\n", " ").replace("\r", " ").replace("\x0b", " ").replace("\x0c", " ").split(" ") if x]
+        n = min(5, len(w))
+        sets.append({tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if w else set())
+        for x in sets[-1]:
+            at.setdefault(x, []).append(k)
+    same = {}
+    for group in at.values():
+        for i, a in enumerate(group):
+            for b in group[:i]:
+                same[b, a] = same.get((b, a), 0) + 1
+    up = list(range(len(rows)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for (a, b), n in same.items():
+        if 100 * n >= percent * (len(sets[a]) + len(sets[b]) - n):
+            up[find(a)] = find(b)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        least[find(k)] = min(least.get(find(k), i), i)
+    return sorted((i, len(s), least[find(k)]) for k, ((i, _), s) in enumerate(zip(rows, sets, strict=True)))
+
+
+@pytest.mark.parametrize("limit", [1000, 25])
+def test_near_dedup_recall(spark, limit):
+    """Every component of the documents at sf0.01."""
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in near_dedup.annotate(df, limit=limit).collect()) == exact_links(rows)
+
+
 def test_near_dedup_edges(edge, empty):
     got = {(r.doc_id, r.n_shingles): r.component_id for r in near_dedup.annotate(edge).collect()}
     assert got[1, 0] == 1 and got[2, 0] == 2 and got[4, 1] == got[5, 1] == 4
