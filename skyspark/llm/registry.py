@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
 from skyspark.llm import bpe, exact_dedup, language_id, mixing, near_dedup, sharding, substring_dedup, toxicity, url_filter, vp_ann
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # beside the package; the operators don't need it
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline,
         "op1_substring_dedup": substring_dedup.query,
         "op2_url_filter": url_filter.query,
         "op3_language_id": language_id.query,
@@ -27,4 +32,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": url_filter.SQL, "op5_mixing": mixing.SQL, "op9_exact_dedup": exact_dedup.SQL}
+    return {"op2_url_filter": url_filter.SQL, "op4_vp_ann": vp_ann.SQL, "op5_mixing": mixing.SQL, "op9_exact_dedup": exact_dedup.SQL}

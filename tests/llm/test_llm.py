@@ -439,30 +439,59 @@ def test_components(spark):
     assert all(len(v) == 1 for v in same.values()) and len(same) == len({find(n) for n in got})
 
 
-@pytest.mark.parametrize(("factor", "shard", "least"), [(1.0, 40, 1.0), (1.0, 10_000, 1.0), (1.3, 60, 0.9)])
-def test_vp_ann(spark, factor, shard, least):
+def true_neighbours(rows, k=5):
+    """Brute force; rows: (id, vector)."""
+    good = [(i, np.array(v) / np.abs(v).max()) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all() and np.any(v)]
+    out = {}
+    for i, v in good:
+        if i % 50 == 0:
+            out[i] = sorted((-float((v * w).sum() / (np.sqrt((v * v).sum()) * np.sqrt((w * w).sum()))), j) for j, w in good if j != i and len(w) == len(v))[:k]
+    return out
+
+
+def found_neighbours(df, **options):
+    got = {}
+    for r in vp_ann.neighbours(df, **options).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    return {q: sorted(own) for q, own in got.items()}
+
+
+@pytest.mark.parametrize(("factor", "shard", "leaf", "top", "least"), [(1.0, 40, 16, 64, 1.0), (1.0, 20, 8, 2, 1.0), (1.0, 10_000, 512, 64, 1.0), (2.5, 10_000, 512, 64, 1.0), (2.5, 60, 16, 2, 0.9)])
+def test_vp_ann(spark, factor, shard, leaf, top, least):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(300, 8)) + 2 * rng.integers(0, 4, size=(300, 1))
-    rows = [(i, [float(v) for v in x[i if i % 7 else 0]]) for i in range(300)]  # a third of a hot vector's copies
+    rows = [(i, [float(v) for v in x[i if i % 7 else 0]]) for i in range(300)]  # a hot vector's copies
     rows += [(300, None), (350, []), (400, [0.0] * 8), (450, [float("nan")] * 8), (500, [None] * 8), (550, [1.0, 2.0]), (551, [2.0, 1.0]), (None, [1.0] * 8)]
-    got = {}
-    for r in vp_ann.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), factor=factor, shard=shard).collect():
-        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
-    good = [(i, np.array(v)) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all() and np.any(v)]
+    rows += [(600, [float(1e200 * v) for v in x[3]]), (601, [float(1e-200 * v) for v in x[5]])]
+    df = spark.createDataFrame([(i, v, 1, 0.5, 2) for i, v in rows], "vec_id long, embedding array<double>, cell int, score double, dim int")
+    got, want = found_neighbours(df, factor=factor, shard=shard, leaf=leaf, top=top), true_neighbours(rows)
+    assert set(got) == set(want)
     hits = total = 0
-    for i, v in good:
-        if i % 50:
-            assert i not in got
-            continue
-        cos = sorted((-float((v * w).sum() / (np.sqrt((v * v).sum()) * np.sqrt((w * w).sum()))), j) for j, w in good if j != i and len(w) == len(v))[:5]
-        own = sorted(got[i])
-        assert [r for r, _, _ in own] == list(range(1, len(own) + 1))
-        hits += len({j for _, j in cos} & {j for _, j, _ in own})
-        total += len(cos)
+    for i, near in want.items():
+        own = got[i]
+        assert [r for r, _, _ in own] == list(range(1, len(own) + 1)) and len(own) == len(near)
+        hits += len({j for _, j in near} & {j for _, j, _ in own})
+        total += len(near)
         if least == 1:
-            assert [(j, pytest.approx(-s, abs=1e-12)) for s, j in cos] == [(j, s) for _, j, s in own]
+            assert [(j, pytest.approx(-s, abs=1e-12)) for s, j in near] == [(j, s) for _, j, s in own]
     assert hits >= least * total
-    assert vp_ann.neighbours(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
+    assert vp_ann.neighbours(df.where("false")).count() == 0
+
+
+def test_vp_ann_repeated_ids(spark):
+    """Rows that share an id: each is a candidate, none is its own query's, and the queries of one id are one."""
+    rows = [(50, [1.0, 0.0]), (50, [0.0, 1.0]), (1, [1.0, 0.1]), (1, [1.0, 0.1]), (2, [0.1, 1.0]), (3, [-1.0, -1.0])]
+    got = found_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    assert [(r, j) for r, j, _ in got[50]] == [(1, 1), (2, 1), (3, 2), (4, 1), (5, 1)]
+
+
+@pytest.mark.parametrize(("sf_dir", "shard"), [("sf0.1", vp_ann.SHARD), ("sf0.1", 150)])
+def test_vp_ann_recall(spark, sf_dir, shard):
+    """At least 0.9 of the true neighbours of the test vectors, with many cells too."""
+    df = spark.read.parquet(f"/root/testdata/{sf_dir}/embeddings.parquet")
+    want = true_neighbours([(r.vec_id, r.embedding) for r in df.collect()])
+    got = found_neighbours(df, shard=shard, leaf=vp_ann.LEAF if shard == vp_ann.SHARD else 32, top=4)
+    assert sum(len({j for _, j in near} & {j for _, j, _ in got[i]}) for i, near in want.items()) >= 0.9 * sum(map(len, want.values()))
 
 
 def test_substring_dedup(spark, edge, empty):
