@@ -409,3 +409,18 @@ def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", siz
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op10: every whole text of documents, five words, similarity 0.75."""
     return annotate(C.table(spark, sf_dir, "documents")).drop("class")
+
+
+#: All pairs that share a shingle, and their components; for tables of some thousand documents.
+SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+t AS (SELECT doc_id, len(w) AS n, unnest(w) AS a, generate_subscripts(w, 1) AS i FROM d WHERE len(w) >= 5),
+g AS (SELECT doc_id, i, n, concat_ws(' ', a, lead(a, 1) OVER o, lead(a, 2) OVER o, lead(a, 3) OVER o, lead(a, 4) OVER o) AS s FROM t WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+s AS (SELECT DISTINCT doc_id, s FROM g WHERE i <= n - 4 UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND 4),
+c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS same FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT u, v FROM p JOIN c x ON x.doc_id = u JOIN c y ON y.doc_id = v WHERE 100 * same >= 75 * (x.n + y.n - same)),
+reach(doc_id, other) AS (SELECT u, v FROM e UNION SELECT r.doc_id, e.v FROM reach r JOIN e ON r.other = e.u),
+m AS (SELECT doc_id, min(other) AS least FROM reach GROUP BY 1)
+SELECT d.doc_id, coalesce(c.n, 0) AS n_shingles, least(d.doc_id, coalesce(m.least, d.doc_id)) AS component_id, m.least IS NULL OR d.doc_id <= m.least AS kept FROM d LEFT JOIN c USING (doc_id) LEFT JOIN m USING (doc_id)
+"""

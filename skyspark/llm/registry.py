@@ -32,4 +32,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": url_filter.SQL, "op4_vp_ann": vp_ann.SQL, "op5_mixing": mixing.SQL, "op9_exact_dedup": exact_dedup.SQL}
+    with_sql = {"op2_url_filter": url_filter, "op4_vp_ann": vp_ann, "op5_mixing": mixing, "op7_sharding": sharding, "op9_exact_dedup": exact_dedup, "op10_near_dedup": near_dedup}
+    return {name: module.SQL for name, module in with_sql.items()}
