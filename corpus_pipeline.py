@@ -19,15 +19,17 @@ LEAST_CERTAINTY = 0.3
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that is recognised; texts without a letter go. Where no language can be learned, that is all that goes."""
+    """Documents in a language that is recognised, with that language as their ``lang``, whatever they were labelled; the others go, and so do texts without a letter.
+    Where no language can be learned, that is all that goes, and ``lang`` stays."""
     model = language_id.fit(language_id.learnable(docs))
     if model.families is None:
         return docs.select(*COLUMNS).where(F.col("text").rlike(r"\p{L}"))
-    return language_id.predict(docs.select(*COLUMNS), model).where((F.col("lang_pred") != "und") & (F.col("certainty") >= LEAST_CERTAINTY)).select(*COLUMNS)
+    found = language_id.predict(docs.select(*COLUMNS), model).where((F.col("lang_pred") != "und") & (F.col("certainty") >= LEAST_CERTAINTY))
+    return found.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text, the one with the largest doc_id."""
+    """One document of each text, the one with the largest doc_id, through a digest index that starts empty."""
     return exact_dedup.deduplicate(docs.select(*COLUMNS))
 
 
