@@ -12,8 +12,9 @@ nodes at every depth with a probability that doesn't fall to 0 (0.74 after the f
 number), and pairs of less than BRANCH times the threshold come apart. A pair at the threshold is missed by all ``TREES`` with probability below 1e-9 where the first
 branch suffices and about 2e-4 at any depth (over what its ``WIDTH`` minwise values can be, which all trees share).
 
-A node whose classes are close copies of each other doesn't get smaller by branching: one of more than ``TIGHT`` of its parent's classes
-is handled exactly instead: in the first round of trees in blocks that share a few pivots, which joins close copies into one component;
+Of two classes of a node with similarity s, both are in s / (BRANCH * threshold) of its children on average. A large node in which that is 1 or more
+in the mean (over a hash sample of about ``PROBE`` classes), or one of more than ``TIGHT`` of its parent's classes, doesn't come apart by branching, as its classes
+are close copies of each other; it is handled exactly instead: in the first round of trees in blocks that share a few pivots, which joins close copies into one component;
 in the second, what isn't in a node's main component is compared with the whole node, in blocks (a pair that only the
 second round's trees reach there is missed with probability of about 1e-3).
 
@@ -51,6 +52,8 @@ LIMIT = 1000
 BRANCH = 0.733
 #: A node with more than this share of its parent's classes doesn't get smaller by branching.
 TIGHT = 0.8
+#: Classes that tell whether a large node's classes are alike, about.
+PROBE = 48
 #: Trees of the two rounds.
 TREES = (4, 12)
 #: How far an estimate may be below the threshold.
@@ -267,8 +270,12 @@ class Join:
                 at = pa.array(row)
                 yield pa.RecordBatch.from_arrays([pa.array(key), b.column(1).take(at), b.column(2).take(at)], ["node", "class", "above"])
 
-        share = self.similarity * BRANCH
-        total, schema = self.classes.count(), "node long, class binary, above long"
+        def alike(t: pa.Table) -> pa.Table:
+            sigs = _sigs(t["sig"])
+            same = sum(int((sigs[i + 1 :] == sigs[i]).sum()) for i in range(len(sigs) - 1))
+            return pa.table({"node": pa.array([t["node"][0].as_py()], pa.int64()), "alike": pa.array([same / (WIDTH * max(1, len(sigs) * (len(sigs) - 1) // 2))])})
+
+        total, share, schema = self.classes.count(), self.similarity * BRANCH, "node long, class binary, above long"
         level = self.classes.select("class", "sig").mapInArrow(plant, schema)
         small, tight = [], []
         while True:
@@ -277,10 +284,15 @@ class Join:
             sizes = self.held.stored(level.groupBy("node").agg(F.count("*").alias("count"), F.first("above").alias("above")).where("count > 1"), "sizes")
             fits = F.col("count") <= self.limit
             small.append(self.held.stored(level.join(sizes.where(fits).select("node"), "node").select("node", "class"), "small"))
-            big = self.held.stored(sizes.where(~fits).select("node", "count", (F.col("count") > F.col("above") * TIGHT).alias("tight")), "big")
-            if big.isEmpty():
+            large = sizes.where(~fits)
+            if large.isEmpty():
                 break
-            large = self.held.stored(level.select("node", "class").join(big, "node"), "large")
+            large = self.held.stored(level.select("node", "class").join(large, "node"), "large")
+            probes = large.where(F.pmod(F.xxhash64("class", F.lit(4)), F.ceil(F.col("count") / PROBE)) == 0).select("node", "class").join(self.classes.select("class", "sig"), "class")
+            found = probes.select("node", "sig").groupBy("node").applyInArrow(alike, "node long, alike double")
+            verdict = (F.col("count") > F.col("above") * TIGHT) | (F.coalesce("alike", F.lit(0.0)) >= share)
+            big = self.held.stored(sizes.where(~fits).join(found, "node", "left").select("node", verdict.alias("tight")), "big")
+            large = self.held.stored(large.select("node", "class", "count").join(big, "node"), "judged")
             tight.append(large.where("tight").select("node", "class"))
             if big.where("NOT tight").isEmpty():
                 break
