@@ -9,9 +9,21 @@ DETECTION = r"^(.*):(\d+)$"
 
 
 def clean_filter(name: Column, last: bool = False) -> Column:
-    """The filter of a ``;`` list without CLEAR elements: the first, or the last."""
+    """The filter of a ``;`` list without CLEAR elements: the first, or the last; the trimmed text itself where nothing is left."""
     kept = F.filter(F.transform(F.split(name, ";"), lambda x: F.trim(x)), lambda x: ~F.upper(x).startswith("CLEAR") & (x != ""))
-    return F.try_element_at(kept, F.lit(-1 if last else 1))
+    return F.coalesce(F.try_element_at(kept, F.lit(-1 if last else 1)), F.trim(name))
+
+
+#: Filter names in calibration files that differ from the archive's (fixed values).
+ALIASES = {"F850L": "F850LP"}
+
+
+def archive_filter(name: Column) -> Column:
+    """The archive's name of a filter named as in calibration files."""
+    out = name
+    for short, full in ALIASES.items():
+        out = F.when(name == short, full).otherwise(out)
+    return out
 
 
 def header_filter(one: Column, first: Column, second: Column) -> Column:
@@ -27,8 +39,8 @@ def detections(text: Column, separators: str = "[;,]") -> Column:
 
 
 def names(text: Column) -> Column:
-    """Distinct non-empty names of a comma list."""
-    return F.array_distinct(F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != ""))
+    """Distinct non-empty names of a list with commas or semicolons."""
+    return F.array_distinct(F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "[;,]"), lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def chi2_map(text: Column) -> Column:
@@ -67,3 +79,9 @@ def box_query(table: str, columns: list[str], ra: float, dec: float, width: floa
 def region_line(ra: Column, dec: Column, radius: float = 0.5) -> Column:
     """A circle of a region file."""
     return F.format_string(f"fk5;circle(%.7f,%.7f,{radius:g}\")", ra, dec)
+
+
+def cache_name(field, ra, dec, width, height, low, high=None) -> Column:
+    """The stem of a field's cached catalogue: position, box and magnitude range. All arguments are columns; a null ``high`` is left out."""
+    head = F.format_string("%s_ra%.4f_dec%+.4f_w%.4f_h%.4f_G%.1f", field, ra, dec, width, height, low)
+    return F.concat(head, F.lit("") if high is None else F.when(high.isNotNull(), F.format_string("_%.1f", high)).otherwise(""), F.lit("_gaia"))

@@ -69,3 +69,19 @@ def oracle(sql: str, *views: str) -> str:
     if body.upper().startswith("WITH"):
         body = ", " + body[len("WITH RECURSIVE" if recursive else "WITH") :].strip()
     return f"WITH {'RECURSIVE ' if recursive else ''}{with_} {body}" if with_ else sql
+
+
+def registry():
+    """(queries, their SQL, decorator): the decorator registers a function of views, given by name, with its SQL."""
+    queries, sqls = {}, {}
+
+    def query(*views: str, sql: str | None = None):
+        def add(f):
+            queries[f.__name__] = lambda spark, d: f(*[view(spark, d, v) for v in views])
+            if sql:
+                sqls[f.__name__] = oracle(sql, *views)
+            return f
+
+        return add
+
+    return queries, sqls, query

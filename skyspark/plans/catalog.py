@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyspark.plans import scalar, solving, sources, tables
+from skyspark.plans import comparisons, instruments, matches, photometry, scalar, solving, sources, tables
 
-MODULES = (scalar, tables, solving, sources)
+MODULES = (scalar, instruments, tables, comparisons, matches, photometry, solving, sources)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

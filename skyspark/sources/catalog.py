@@ -18,16 +18,25 @@ GAIA = T.StructType([T.StructField("source_id", T.LongType()), *[T.StructField(c
 
 
 def read_catalogue(spark: SparkSession, path: str, complete: bool = True) -> DataFrame:
-    """Stars of all CSV files below path, one row per source_id, with bp_rp derived where it is missing; complete: only with finite position and magnitude."""
-    raw = conform(spark.read.option("header", "true").csv(path, pathGlobFilter="*.csv", recursiveFileLookup=True), GAIA)
-    stars = first_per(raw.where("source_id IS NOT NULL"), ["source_id"], ["ra", "dec", "gmag"]).withColumn("bp_rp", F.coalesce("bp_rp", F.col("bpmag") - F.col("rpmag")))
-    return stars.where("ra IS NOT NULL AND dec IS NOT NULL AND gmag IS NOT NULL") if complete else stars
+    """Stars of all CSV files below path, one row per source_id, with bp_rp derived where it is missing; complete: only rows with finite position, magnitude and colour count
+    (colour only where the files have one), so an id with an incomplete and a complete row keeps the complete one."""
+    files = spark.read.option("header", "true").csv(path, pathGlobFilter="*.csv", recursiveFileLookup=True)
+    have = {c.lower() for c in files.columns}
+    rows = conform(files, GAIA).where("source_id IS NOT NULL").withColumn("bp_rp", F.coalesce("bp_rp", F.col("bpmag") - F.col("rpmag")))
+    if complete:
+        needed = ["ra", "dec", "gmag", *(["bp_rp"] if "bp_rp" in have or {"bpmag", "rpmag"} <= have else [])]
+        rows = rows.dropna(subset=needed)
+    return first_per(rows, ["source_id"], [F.col(c).asc_nulls_last() for c in ("ra", "dec", "gmag")])
 
 
 def magnitude_slices(low: float, high: float, area: float) -> list[tuple[float, float]]:
-    """Log-spaced magnitude intervals, more of them for deeper and larger queries; each is a partition of the scan."""
+    """Magnitude intervals, narrow at the faint end where the stars are, more of them for deeper and larger queries; each is a partition of the scan.
+
+    The edges' distances from one magnitude beyond the faint limit are spaced evenly in the logarithm."""
     n = max(2, round((high - low) * high**2 * area * 5e-5))
-    edges = [low * (high / low) ** (k / n) for k in range(n + 1)] if low > 0 else [low + (high - low) * k / n for k in range(n + 1)]
+    span = math.log10(high - low + 1)
+    edges = [high + 1 - 10 ** (span * k / (n - 1)) for k in range(n)][::-1]
+    edges[0], edges[-1] = low, high
     return list(zip(edges[:-1], edges[1:], strict=True))
 
 
