@@ -38,12 +38,12 @@ MOMENTS = [f"g{a}{b}{w}" for w in ("xx", "xy", "yy") for a in range(3) for b in
 
 
 def affine_moments(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Per group the weighted sums of an affine fit. df: keys, xs, ys, xt, yt and the covariance cxx, cxy, cyy of a pair."""
+    """Per group the weighted sums of an affine fit's deviation from the identity (small numbers, so that chi2 keeps its digits). df: keys, xs, ys, xt, yt and the covariance cxx, cxy, cyy of a pair."""
     c = df.groupBy(*keys).agg(F.count("*").alias("n"), *[F.avg(v).alias(f"{v}_o") for v in ("xs", "ys", "xt", "yt")])
     wxx, wxy, wyy = V.inverse((F.col("cxx"), F.col("cxy"), F.col("cyy")))
     d = df.join(c, keys)
     g = (F.col("xs") - F.col("xs_o"), F.col("ys") - F.col("ys_o"), F.lit(1.0))
-    u, v, weights = F.col("xt") - F.col("xt_o"), F.col("yt") - F.col("yt_o"), {"xx": wxx, "xy": wxy, "yy": wyy}
+    u, v, weights = F.col("xt") - F.col("xt_o") - g[0], F.col("yt") - F.col("yt_o") - g[1], {"xx": wxx, "xy": wxy, "yy": wyy}
     sums = [F.sum(g[a] * g[b] * w).alias(f"g{a}{b}{k}") for k, w in weights.items() for a in range(3) for b in range(a, 3)]
     sums += [F.sum(g[a] * (wxx * u + wxy * v)).alias(f"rx{a}") for a in range(3)] + [F.sum(g[a] * (wxy * u + wyy * v)).alias(f"ry{a}") for a in range(3)]
     sums.append(F.sum(wxx * u * u + 2 * wxy * u * v + wyy * v * v).alias("uu"))
@@ -66,7 +66,7 @@ AFFINE_SCHEMA = "n long, a double, b double, c double, d double, xs_o double, ys
 
 
 def _solved(p: pd.DataFrame, names: list[str], least: int, basis: np.ndarray, prior: np.ndarray, target: np.ndarray) -> pd.DataFrame:
-    """Solves for the parameters q of p = basis q; chi2 is that of the data without the prior."""
+    """Solves for the parameters q of p = basis q, deviations from the identity; chi2 is that of the data without the prior."""
     lhs, rhs = _blocks(p)
     few = (p["n"] < least).to_numpy()
     small = np.einsum("ki,nkl,lj->nij", basis, lhs, basis) + prior
@@ -74,7 +74,8 @@ def _solved(p: pd.DataFrame, names: list[str], least: int, basis: np.ndarray, pr
     q = np.linalg.solve(small, (rhs @ basis + target)[..., None])[..., 0]
     full = q @ basis.T
     chi2 = p["uu"].to_numpy() - 2 * (full * rhs).sum(1) + np.einsum("ni,nij,nj->n", full, lhs, full)
-    full[few], chi2[few] = [1, 0, 0, 0, 1, 0], 1e10
+    full[few], chi2[few] = 0, 1e10
+    full[:, [0, 4]] += 1
     out = p[names].copy()
     out["n"] = p["n"]
     for k, v in (("a", full[:, 0]), ("b", full[:, 1]), ("c", full[:, 3]), ("d", full[:, 4])):
@@ -113,7 +114,7 @@ def similarity(df: DataFrame, keys: list[str], scale: float | None = None, scale
     basis[1, 1] = -1
     prior, target = np.zeros((4, 4)), np.zeros(4)
     if scale is not None:
-        prior[0, 0], prior[1, 1], target[0] = scale_sigma**-2, turn_sigma**-2, scale * scale_sigma**-2
+        prior[0, 0], prior[1, 1], target[0] = scale_sigma**-2, turn_sigma**-2, (scale - 1) * scale_sigma**-2
 
     def run(batches):
         for p in batches:

@@ -56,9 +56,9 @@ def offset_peaks(left: DataFrame, right: DataFrame, keys: tuple[str, ...], reach
 
     Both sides are cut beforehand (see brightest), so a key's pairs are bounded. scales: an array of scale changes to try about
     (0, 0); weight: a pair's weight over the joined columns (1). Returns keys, scale, dx, dy, votes."""
-    r = right.withColumnsRenamed({"x": "__bx", "y": "__by"})
-    rows = left.withColumnsRenamed({"x": "__ax", "y": "__ay"}).withColumn("scale", F.explode(scales if scales is not None else F.array(F.lit(0.0))))
-    d = rows.join(r, list(keys)).withColumn("dx", F.col("__bx") - F.col("__ax") * (F.col("scale") + 1)).withColumn("dy", F.col("__by") - F.col("__ay") * (F.col("scale") + 1))
+    rows = left.withColumn("scale", F.explode(scales if scales is not None else F.array(F.lit(0.0)))).withColumns({"__ax": F.col("x") * (F.col("scale") + 1), "__ay": F.col("y") * (F.col("scale") + 1)}).drop("x", "y")
+    r = _cells(right.withColumnsRenamed({"x": "__bx", "y": "__by"}), "__bx", "__by", reach, False)
+    d = _cells(rows, "__ax", "__ay", reach, True).join(r, [*keys, "__cx", "__cy"]).withColumns({"dx": F.col("__bx") - F.col("__ax"), "dy": F.col("__by") - F.col("__ay")})
     d = d.where((F.abs("dx") <= reach) & (F.abs("dy") <= reach))
     bins = d.groupBy(*keys, "scale", F.floor(F.col("dx") / width).cast("long").alias("i"), F.floor(F.col("dy") / width).cast("long").alias("j")).agg(F.sum(weight if weight is not None else F.lit(1.0)).alias("w"))
     around = F.array(*[F.struct((F.col("i") + a).alias("i"), (F.col("j") + b).alias("j")) for a in (-1, 0, 1) for b in (-1, 0, 1)])

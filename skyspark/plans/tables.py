@@ -159,11 +159,6 @@ def zp_bfs(matched):
     return rounded(_zp(matched))
 
 
-@query("matched", sql="SELECT m.image_id, count(*) AS n_shared, round(median(f.mag - m.mag), 6) AS residual FROM matched m JOIN matched f ON f.source_id = m.source_id AND f.image_id = 1 GROUP BY 1")
-def image_vs_reference(matched):
-    return rounded(relational.against_reference(matched, "image_id", "source_id", "mag", 1))
-
-
 @query("matched", sql="SELECT a.image_id AS a, b.image_id AS b, count(*) AS n FROM matched a JOIN matched b ON a.source_id = b.source_id AND a.image_id < b.image_id GROUP BY 1, 2")
 def image_pair_shared_counts(matched):
     a, b = matched.select("source_id", F.col("image_id").alias("a")), matched.select("source_id", F.col("image_id").alias("b"))
@@ -255,10 +250,13 @@ def union_catalogues(stars, det):
     return a.unionByName(det.where("qfit < 0.04").select((F.col("source_id") + 1000000).alias("source_id"), F.lit("hst").alias("origin")).distinct(), allowMissingColumns=True)
 
 
-@query("detections", sql="SELECT source_id FROM (SELECT source_id FROM detections WHERE image_id = 1 INTERSECT SELECT source_id FROM detections WHERE image_id = 2 EXCEPT SELECT source_id FROM detections WHERE image_id = 3)")
-def set_operations(det):
-    one = lambda i: det.where(F.col("image_id") == i).select("source_id")
-    return one(1).intersect(one(2)).subtract(one(3))
+@query("matched", "images", sql="""WITH f AS (SELECT source_id, filter FROM matched JOIN images USING (image_id) WHERE qfit > 0.9)
+SELECT source_id FROM (SELECT source_id FROM f WHERE filter = 'F606W' INTERSECT SELECT source_id FROM f WHERE filter = 'F814W' EXCEPT SELECT source_id FROM f WHERE filter = 'F475W')""")
+def set_operations(matched, images):
+    """Stars that two filters have well, and a third one hasn't."""
+    f = matched.where("qfit > 0.9").join(images.select("image_id", "filter"), "image_id")
+    one = lambda name: f.where(F.col("filter") == name).select("source_id")
+    return one("F606W").intersect(one("F814W")).subtract(one("F475W"))
 
 
 @query("stars", sql="SELECT source_id, -row_number() OVER (ORDER BY pmra_error, source_id) AS hst_id FROM stars")
@@ -302,15 +300,18 @@ def two_step_dedup(det):
     return rounded(out.select("image_id", "a", "b", "distance"))
 
 
-@query("detections")
+@query("detections", sql=f"""WITH RECURSIVE {SIDES}, o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY d, a, b) AS k FROM p),
+g(image_id, k, a, b, d, won, ta, tb) AS (SELECT image_id, k, a, b, d, true, [a], [b] FROM o WHERE k = 1 UNION ALL SELECT image_id, k, a, b, d, free, CASE WHEN free THEN list_append(ta, a) ELSE ta END, CASE WHEN free THEN list_append(tb, b) ELSE tb END
+ FROM (SELECT o.*, g.ta, g.tb, NOT list_contains(g.ta, o.a) AND NOT list_contains(g.tb, o.b) AS free FROM g JOIN o ON o.image_id = g.image_id AND o.k = g.k + 1)) SELECT image_id, a, b, round(d, 6) AS distance FROM g WHERE won""")
 def greedy_match(det):
-    """One-to-one pairs; checked against a sequential version in the tests."""
+    """One-to-one pairs, nearest first; the SQL takes an image's pairs one after the other."""
     a, b = _sides(det)
     p = spatial.pairs_within(a, b, 200.0, ("image_id",)).select("image_id", "a", "b", "distance")
     return rounded(matching.greedy(p, "a", "b", "distance", ("image_id",)))
 
 
-@query("detections", sql="SELECT p.image_id, p.catalog_index AS a, q.catalog_index AS b, round(sqrt((p.x-q.x)*(p.x-q.x) + (p.y-q.y)*(p.y-q.y)), 6) AS distance FROM detections p JOIN detections q ON p.image_id = q.image_id AND p.catalog_index < q.catalog_index WHERE (p.x-q.x)*(p.x-q.x) + (p.y-q.y)*(p.y-q.y) <= 2500.0")
+@query("detections", sql="""WITH g AS (SELECT image_id, catalog_index AS i, x, y, floor(x/50)::BIGINT AS cx, floor(y/50)::BIGINT AS cy FROM detections), n AS (SELECT *, cx + u AS nx, cy + v AS ny FROM g, (VALUES (-1),(0),(1)) p(u), (VALUES (-1),(0),(1)) q(v))
+SELECT n.image_id, n.i AS a, g.i AS b, round(sqrt((n.x-g.x)*(n.x-g.x) + (n.y-g.y)*(n.y-g.y)), 6) AS distance FROM n JOIN g ON n.image_id = g.image_id AND nx = g.cx AND ny = g.cy WHERE n.i < g.i AND (n.x-g.x)*(n.x-g.x) + (n.y-g.y)*(n.y-g.y) <= 2500.0""")
 def close_pairs(det):
     return rounded(spatial.close_pairs(det, 50.0, "catalog_index", ("image_id",)))
 
@@ -321,11 +322,12 @@ def neighbour_stats(det):
     return rounded(spatial.neighbour_stats(det, 100.0, "catalog_index", "mag", ("image_id",)))
 
 
-@query("detections", sql="""WITH t AS (SELECT image_id, catalog_index, mag, x, y FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY mag, catalog_index) AS k FROM detections) WHERE k <= 60), d AS (SELECT a.image_id, floor((b.x + 47 - a.x)/2)::BIGINT AS i, floor((b.y - 31 - a.y)/2)::BIGINT AS j FROM t a JOIN t b USING (image_id) WHERE abs(b.x + 47 - a.x) <= 100 AND abs(b.y - 31 - a.y) <= 100),
+@query("detections", sql="""WITH t AS (SELECT image_id, catalog_index, mag, x, y FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY mag, catalog_index) AS k FROM detections) WHERE k <= 1000), a AS (SELECT image_id, x, y, floor(x/100)::BIGINT + u AS cx, floor(y/100)::BIGINT + v AS cy FROM t, (VALUES (-1),(0),(1)) p(u), (VALUES (-1),(0),(1)) q(v)),
+b AS (SELECT image_id, x + 47 AS x, y - 31 AS y, floor((x + 47)/100)::BIGINT AS cx, floor((y - 31)/100)::BIGINT AS cy FROM t), d AS (SELECT image_id, floor((b.x - a.x)/2)::BIGINT AS i, floor((b.y - a.y)/2)::BIGINT AS j FROM a JOIN b USING (image_id, cx, cy) WHERE abs(b.x - a.x) <= 100 AND abs(b.y - a.y) <= 100),
 h AS (SELECT image_id, i, j, count(*) AS w FROM d GROUP BY 1, 2, 3), s AS (SELECT image_id, i + u AS i, j + v AS j, sum(w)::BIGINT AS votes FROM h, (VALUES (-1),(0),(1)) p(u), (VALUES (-1),(0),(1)) q(v) GROUP BY 1, 2, 3)
 SELECT image_id, round((i+0.5e0)*2, 6) AS dx, round((j+0.5e0)*2, 6) AS dy, round(votes::DOUBLE, 6) AS votes FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY votes DESC, i, j) AS k FROM s) WHERE k = 1""")
 def offset_histogram_peak(det):
-    t = spatial.brightest(det, ("image_id",), "mag", "catalog_index", 60)
+    t = spatial.brightest(det, ("image_id",), "mag", "catalog_index", 1000)
     a = t.select("image_id", "x", "y")
     b = t.select("image_id", (F.col("x") + 47).alias("x"), (F.col("y") - 31).alias("y"))
     return rounded(spatial.offset_peaks(a, b, ("image_id",), 100.0, 2.0).drop("scale"))
@@ -367,16 +369,52 @@ def normal_equation_moments(det):
     return m.select("image_id", "n", r(F.col("xs_o")).alias("xs_o"), r(F.col("g22xx"), 3).alias("w"), r(F.col("g02xx") / 1000, 3).alias("wx"), r(F.col("g01xx") / 1e6, 3).alias("wxy"))
 
 
-@query("detections")
+def _fit_sql(basis: list[list[int]], prior: dict[tuple[int, int], str], target: dict[int, str]) -> str:
+    """SQL of a weighted affine fit's deviation from the identity: sums, normal equations of the parameters that ``basis`` (6 x p) leaves, and their elimination step by step."""
+    n = len(basis[0])
+    g, w = ("p", "q", "1.0e0"), {(0, 0): "wx", (0, 1): "w", (1, 1): "wy"}
+    entry = lambda k, m: (min(k // 3, m // 3), max(k // 3, m // 3), min(k % 3, m % 3), max(k % 3, m % 3))
+    sums = {(*h, a, b): f"sum({g[a]}*{g[b]}*{c}) AS g{h[0]}{h[1]}{a}{b}" for h, c in w.items() for a in range(3) for b in range(a, 3)}
+    right = [f"sum({g[k % 3]}*({'wx*u + w*v' if k < 3 else 'w*u + wy*v'})) AS r{k}" for k in range(6)]
+
+    def linear(pairs):
+        return " + ".join(f"({f})*{c}" for f, c in pairs if f) or "0.0e0"
+
+    lhs = [[linear([(basis[k][i] * basis[m][j], "g{}{}{}{}".format(*entry(k, m))) for k in range(6) for m in range(6)]) + (f" + {prior[i, j]}" if (i, j) in prior else "") for j in range(n)] for i in range(n)]
+    rhs = [linear([(basis[k][i], f"r{k}") for k in range(6)]) + (f" + {target[i]}" if i in target else "") for i in range(n)]
+    rows = ", ".join("[" + ", ".join([*lhs[i], rhs[i]]) + "]" for i in range(n))
+    keep = "image_id, n, xo, yo, uo, vo, uu, lhs"
+    steps = [f"e{k} AS (SELECT {keep}, list_transform(range(1, {n + 1}), lambda i: list_transform(range(1, {n + 2}), lambda j: CASE WHEN i = {k} THEN m[i][j]/m[{k}][{k}] ELSE m[i][j] - m[i][{k}]*m[{k}][j]/m[{k}][{k}] END)) AS m FROM e{k - 1})" for k in range(1, n + 1)]
+    full = [linear([(basis[k][i], f"m[{i + 1}][{n + 1}]") for i in range(n)]) for k in range(6)]
+    quad = " + ".join(f"f{k}*f{m}*lhs[{6 * k + m + 1}]" for k in range(6) for m in range(6))
+    return f"""WITH d AS (SELECT image_id, x AS xs, y AS ys, x*1.001e0 + y*0.002e0 + 3 + mag*0.01e0 AS xt, y*1.001e0 - x*0.002e0 - 5 + qfit*0.1e0 AS yt, cov_xx, cov_xy, cov_yy, cov_xx*cov_yy - cov_xy*cov_xy AS det FROM detections),
+c AS (SELECT image_id, count(*) AS n, avg(xs) AS xo, avg(ys) AS yo, avg(xt) AS uo, avg(yt) AS vo FROM d GROUP BY 1),
+t AS (SELECT image_id, n, xo, yo, uo, vo, xs - xo AS p, ys - yo AS q, xt - uo - (xs - xo) AS u, yt - vo - (ys - yo) AS v, cov_yy/det AS wx, -cov_xy/det AS w, cov_xx/det AS wy FROM d JOIN c USING (image_id)),
+s AS (SELECT image_id, n, xo, yo, uo, vo, {", ".join(sums.values())}, {", ".join(right)}, sum(wx*u*u + 2*w*u*v + wy*v*v) AS uu FROM t GROUP BY ALL),
+e0 AS (SELECT image_id, n, xo, yo, uo, vo, uu, [{", ".join("g{}{}{}{}".format(*entry(k, m)) for k in range(6) for m in range(6))}, {", ".join(f"r{k}" for k in range(6))}] AS lhs, [{rows}] AS m FROM s), {", ".join(steps)},
+f AS (SELECT *, {", ".join(f"{x} AS f{k}" for k, x in enumerate(full))} FROM e{n})
+SELECT image_id, n, round(1 + f0, 5) AS a, round(f1, 5) AS b, round(f3, 5) AS c, round(1 + f4, 5) AS d, round(xo, 5) AS xs_o, round(yo, 5) AS ys_o, round(uo + f2, 5) AS xt_o, round(vo + f5, 5) AS yt_o,
+ round(uu - 2*({" + ".join(f"f{k}*lhs[{37 + k}]" for k in range(6))}) + ({quad}), 4) AS chi2 FROM f"""
+
+
+SIX = [[int(i == j) for j in range(6)] for i in range(6)]
+FOUR = [[1, 0, 0, 0], [0, -1, 0, 0], [0, 0, 1, 0], [0, 1, 0, 0], [1, 0, 0, 0], [0, 0, 0, 1]]
+
+
+@query("detections", sql=_fit_sql(SIX, {(0, 0): "1e8", (4, 4): "1e8", (0, 4): "-1e8", (4, 0): "-1e8", (1, 1): "1e8", (3, 3): "1e8", (1, 3): "1e8", (3, 1): "1e8"}, {}))
 def affine_six(det):
-    """Weighted affine fit of each image; tested against a dense least-squares solution."""
-    return rounded(fits.affine(_affine_rows(det), ["image_id"]), 5)
+    """Weighted affine fit of each image."""
+    return _fitted(fits.affine(_affine_rows(det), ["image_id"]))
 
 
-@query("detections")
+@query("detections", sql=_fit_sql(FOUR, {(0, 0): "1/(0.02e0*0.02e0)", (1, 1): "1/(0.0035e0*0.0035e0)"}, {}))
 def affine_four(det):
-    """Weighted similarity fit of each image; tested against a dense least-squares solution."""
-    return rounded(fits.similarity(_affine_rows(det), ["image_id"], scale=1.0), 5)
+    """Weighted similarity fit of each image."""
+    return _fitted(fits.similarity(_affine_rows(det), ["image_id"], scale=1.0))
+
+
+def _fitted(f):
+    return rounded(f.drop("chi2"), 5).join(rounded(f.select("image_id", "chi2"), 4), "image_id")
 
 
 @query("detections", sql="""WITH d AS (SELECT image_id, floor(x/512)::BIGINT AS i, floor(y/512)::BIGINT AS j, x/512 - floor(x/512) AS u, y/512 - floor(y/512) AS v, flux FROM detections)
