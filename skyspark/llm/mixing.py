@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from skyspark.llm import common as C
 
 #: Rows of a bucket inside which a running sum is formed, on average.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 
 
 def random_key(doc_id, seed: int = 0):
