@@ -28,8 +28,9 @@ from skyspark.llm import common as C
 
 #: Bytes of a chunk at least and at most; boundaries come once in 2 ** BITS bytes.
 LEAST, MOST, BITS = 8, 96, 5
-#: Words of a passage, counted in whole chunks; what is left at its two ends is up to a chunk each.
-WORDS = 20
+#: Words of a passage, counted in whole chunks. What is left at its two ends, up to a chunk each, doesn't count, so passages of over 50 words are asked for by fewer:
+#: of 2,080 documents of sf0.1 that share 51 words with another one, 28 finds 0.993 (20: 0.997, 36: 0.982), and a repeat of less than about 30 words is left alone.
+WORDS = 28
 GEAR = np.random.default_rng(20240301).integers(0, 1 << 16, 256, dtype=np.uint16)
 
 
@@ -71,23 +72,27 @@ def chunks(text: str | None) -> tuple[list[int], np.ndarray, np.ndarray, np.ndar
 
 
 def chunked(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, copy, digest, start, end, words): one row per chunk; copy tells texts with one id apart."""
+    """(doc_id, copy, digest, place): one row per chunk. copy tells texts with one id apart (32 bits of their digest); place is start << 16 | bytes << 8 | words, so what is shuffled per chunk is narrow."""
 
     def run(batches):
         for b in C.slices(batches):
-            ids, copies, hashes, cols = [], [], [], ([], [], [])
+            ids, copies, hashes, places = [], [], [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                h, *three, own = chunks(t.as_py())
+                h, start, end, words, own = chunks(t.as_py())
                 hashes += h
                 ids.append(np.full(len(h), i, np.int64))
-                copies.append(np.full(len(h), own, np.uint64).view(np.int64))
-                for c, x in zip(cols, three, strict=True):
-                    c.append(x)
+                copies.append(np.full(len(h), short(own), np.int32))
+                places.append((start.astype(np.int64) << 16) | (end - start) << 8 | words)
             if hashes:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(copies)), pa.array(np.array(hashes, np.uint64).view(np.int64)), *[pa.array(np.concatenate(c)) for c in cols]], ["doc_id", "copy", "digest", "start", "end", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(copies)), pa.array(np.array(hashes, np.uint64).view(np.int64)), pa.array(np.concatenate(places))], ["doc_id", "copy", "digest", "place"])
 
     given = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return given.mapInArrow(run, "doc_id long, copy long, digest long, start int, end int, words int")
+    return given.mapInArrow(run, "doc_id long, copy int, digest long, place long")
+
+
+def short(digest: int) -> int:
+    """The lower 32 bits, with a sign."""
+    return ((digest + (1 << 31)) & 0xFFFFFFFF) - (1 << 31)
 
 
 def passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = WORDS) -> DataFrame:
@@ -97,10 +102,10 @@ def passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words:
     repeats are removed; in the others every chunk has its first copy in an earlier document."""
     every = C.stored(chunked(docs, text, doc_id), "chunks")
     seen = every.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    own = every.join(seen.select("digest", "first"), "digest").select("doc_id", "copy", "start", "end", "words", "first")
-    by = Window.partitionBy("doc_id", "copy").orderBy("start")
+    by = Window.partitionBy("doc_id", "copy").orderBy("place")
     # Repeated rows give equal chunks at one place; the first of them counts.
-    once = own.withColumn("place", F.row_number().over(Window.partitionBy("doc_id", "copy", "start").orderBy("end"))).where("place = 1")
+    own = every.join(seen.select("digest", "first"), "digest").select("doc_id", "copy", "place", "first").withColumn("again", F.lag("place").over(by)).where("again IS NULL OR again <> place")
+    once = own.select("doc_id", "copy", "first", "place", F.shiftright("place", 16).alias("start"), (F.shiftright("place", 16) + F.shiftright("place", 8).bitwiseAND(255)).alias("end"), F.col("place").bitwiseAND(255).alias("words"))
     mine, apart = F.col("first") == F.col("doc_id"), F.coalesce(F.lag("end").over(by) != F.col("start"), F.lit(True))
     turn = F.coalesce(apart | (F.lag("mine").over(by) != F.col("mine")), F.lit(True))
     upto = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -125,7 +130,7 @@ def removed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words:
             for t, cuts in zip(b.column(at).to_pylist(), b.column(len(names)).to_pylist(), strict=True):
                 if cuts and t:
                     raw = t.encode("utf-8", "surrogatepass")
-                    own = int(np.uint64(xxhash.xxh3_64_intdigest(raw)).view(np.int64))
+                    own = short(xxhash.xxh3_64_intdigest(raw))
                     parts, last = [], 0
                     for c in cuts:
                         if c["copy"] == own:
