@@ -76,8 +76,8 @@ def table(raw: bytes, header: dict, start: int) -> pd.DataFrame:
     return pd.DataFrame(out)
 
 
-def read_table(spark: SparkSession, path: str, schema: str, pattern: str = "*.fits") -> DataFrame:
-    """Rows of the first binary table of every file below path, with the file's name. Only the columns of the schema are made."""
+def read_table(spark: SparkSession, path: str, schema: str, pattern: str = "*.fits", index: str | None = None) -> DataFrame:
+    """Rows of the first binary table of every file below path, with the file's name. Only the columns of the schema are made; ``index`` names one that gets the row's number in its file, from 0."""
     names = [c.strip().split()[0] for c in schema.split(",")]
 
     def run(batches):
@@ -86,6 +86,8 @@ def read_table(spark: SparkSession, path: str, schema: str, pattern: str = "*.fi
                 for header, start, _ in units(raw):
                     if header.get("XTENSION") == "BINTABLE":
                         t = table(raw, header, start)
+                        if index:
+                            t[index] = np.arange(len(t))
                         yield t.reindex(columns=names).assign(file=file.rsplit("/", 1)[-1])
                         break
 

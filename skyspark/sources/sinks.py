@@ -26,6 +26,11 @@ def parameters_hash(parameters: dict) -> str:
     return hashlib.sha256(json.dumps(parameters, sort_keys=True, default=str).encode()).hexdigest()
 
 
+def write_status(spark: SparkSession, path: str, status: dict) -> None:
+    """The status beside a result, written after it."""
+    spark.createDataFrame([(json.dumps(status),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}_status")
+
+
 def status_of(spark: SparkSession, path: str) -> dict | None:
     try:
         return json.loads(spark.read.text(f"{path}_status").first()[0])
@@ -40,5 +45,5 @@ def cached(spark: SparkSession, path: str, parameters: dict, build) -> DataFrame
     want = parameters_hash(parameters)
     if (status_of(spark, path) or {}).get("parameters") != want:
         write_result(build(), path)
-        spark.createDataFrame([(json.dumps({"status": "success", "parameters": want}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}_status")
+        write_status(spark, path, {"status": "success", "parameters": want})
     return spark.read.parquet(path)
