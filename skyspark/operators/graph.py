@@ -7,27 +7,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyspark.operators.matching import _set_checkpoint
-
-
-def _ready(df: DataFrame) -> None:
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        _set_checkpoint(spark)
+from skyspark.operators.rounds import Rounds
 
 
 def components(nodes: DataFrame, edges: DataFrame, rounds: int = 100) -> DataFrame:
     """nodes (node), edges (a, b) in both directions: (node, component), the smallest node that can be reached. Labels spread along edges and jump to their label's label."""
-    _ready(nodes)
-    label = nodes.select("node", F.col("node").alias("component")).checkpoint()
+    held = Rounds(nodes.sparkSession)
+    label = held.keep(nodes.select("node", F.col("node").alias("component")), "label")
     for _ in range(rounds):
         near = edges.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         spread = label.join(near, "node", "left").select("node", F.col("component").alias("was"), F.least("component", "near").alias("component"))
         jump = spread.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        new = spread.join(jump, "component", "left").select("node", "was", F.least("component", "further").alias("component")).checkpoint()
-        changed = new.where("was <> component").isEmpty()
+        new = held.keep(spread.join(jump, "component", "left").select("node", "was", F.least("component", "further").alias("component")), "label")
         label = new.drop("was")
-        if changed:
+        if new.where("was <> component").isEmpty():
             return label
     raise RuntimeError("components did not settle")
 
@@ -39,13 +32,13 @@ def references(sizes: DataFrame, labels: DataFrame) -> DataFrame:
 
 def propagate_zero_points(labels: DataFrame, refs: DataFrame, edges: DataFrame, rounds: int = 1000) -> DataFrame:
     """(node, zp, depth): zero points added along edges from each component's reference, level by level; of several parents at one level the smallest name counts."""
-    _ready(edges)
-    done = refs.select(F.col("reference").alias("node"), F.lit(0.0).alias("zp"), F.lit(0).alias("depth")).checkpoint()
-    front = done
+    held = Rounds(edges.sparkSession)
+    edges = held.keep(edges.select("a", "b", "zp"), "edges")
+    front = held.add(refs.select(F.col("reference").alias("node"), F.lit(0.0).alias("zp"), F.lit(0).alias("depth")), "done")
     for depth in range(1, rounds):
-        reach = edges.join(front.select(F.col("node").alias("a"), F.col("zp").alias("base")), "a").join(done.select(F.col("node").alias("b")), "b", "left_anti")
-        front = reach.groupBy(F.col("b").alias("node")).agg(F.min_by(F.col("base") + F.col("zp"), "a").alias("zp")).withColumn("depth", F.lit(depth)).checkpoint()
+        reach = edges.join(front.select(F.col("node").alias("a"), F.col("zp").alias("base")), "a").join(held.all("done").select(F.col("node").alias("b")), "b", "left_anti")
+        front = held.add(reach.groupBy(F.col("b").alias("node")).agg(F.min_by(F.col("base") + F.col("zp"), "a").alias("zp")).withColumn("depth", F.lit(depth)), "done")
         if front.isEmpty():
-            return done
-        done = done.unionByName(front).checkpoint()
+            held.drop()
+            return held.all("done")
     raise RuntimeError("zero points did not settle")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skyspark.operators.rounds import Rounds
+
 
 def first_per(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
     """The first row of each key."""
@@ -20,33 +22,20 @@ def greedy(pairs: DataFrame, left: str, right: str, score: str, within: tuple[st
     """One-to-one pairs as if taken in ascending (score, left, right) order whenever both ends are free.
 
     Each round takes the pairs that are first at both ends and drops what they block; that is the sequential result for a total
-    order. Rounds are cut by checkpoint(); their number is the length of the longest chain of displacements, not the size of the data."""
-    spark = pairs.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        _set_checkpoint(spark)
-    order, keep = [score, left, right], list(within)
-    rest, out = pairs.dropDuplicates([*keep, left, right]).checkpoint(), None
+    order. The number of rounds is the length of the longest chain of displacements, not the size of the data; a round's winners are written once and read at the end."""
+    held, order, keep = Rounds(pairs.sparkSession), [score, left, right], list(within)
+    rest = held.keep(pairs.dropDuplicates([*keep, left, right]), "rest")
     for _ in range(rounds):
         a = F.row_number().over(Window.partitionBy(*keep, left).orderBy(*order))
         b = F.row_number().over(Window.partitionBy(*keep, right).orderBy(*order))
-        won = rest.withColumn("__a", a).withColumn("__b", b).where("__a = 1 AND __b = 1").drop("__a", "__b").checkpoint()
-        out = won if out is None else out.unionByName(won)
-        rest = rest.join(won.select(*keep, left), [*keep, left], "left_anti").join(won.select(*keep, right), [*keep, right], "left_anti").checkpoint()
+        won = held.add(rest.withColumn("__a", a).withColumn("__b", b).where("__a = 1 AND __b = 1").drop("__a", "__b"), "won")
+        rest = held.keep(rest.join(won.select(*keep, left), [*keep, left], "left_anti").join(won.select(*keep, right), [*keep, right], "left_anti"), "rest")
         if rest.isEmpty():
-            return out
+            held.drop()
+            return held.all("won")
     raise RuntimeError(f"greedy did not end in {rounds} rounds")
 
 
-def _set_checkpoint(spark) -> None:
-    """The folder of spark.checkpoint.dir; a temporary one only in a local session that names none."""
-    import tempfile
-
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    spark.sparkContext.setCheckpointDir(path or tempfile.mkdtemp(prefix="skyspark-"))
-
-
 def first_owner(claims: DataFrame, item: list[str], owner: str, order: list[Column | str], least: int = 2) -> DataFrame:
     """Each item goes to its first claimant; owners left with fewer than ``least`` items lose them."""
     won = first_per(claims, item, order)

@@ -86,12 +86,41 @@ def reject_outliers(df: DataFrame, star: str, mag: str, err: str, factor: float
     return out.select(star, "n", F.when(enough, F.col("n_ok")).otherwise(F.col("n")).alias("n_used"), F.when(enough, F.col("wmk") / F.col("wk")).otherwise(F.col("wm") / F.col("w")).alias("mag"))
 
 
+def global_median(df: DataFrame, value: Column, accuracy: int = 20_000) -> float | None:
+    """The exact median of all rows' finite values; None without any.
+
+    No task holds all values: a mergeable sketch first brackets the middle, rows outside the bracket are counted, and only those inside, about a ``accuracy`` / 4-th of them, are sorted, in range partitions."""
+    d = df.select(value.cast("double").alias("v")).where(finite(F.col("v")))
+    n, low, high = d.agg(F.count("*"), F.percentile_approx("v", 0.5 - 2 / accuracy, accuracy), F.percentile_approx("v", 0.5 + 2 / accuracy, accuracy)).first()
+    if not n:
+        return None
+    wanted = sorted({(n - 1) // 2, n // 2})
+    below, inside = d.agg(F.count_if(F.col("v") < low), F.count_if(F.col("v").between(low, high))).first()
+    if below > wanted[0] or below + inside <= wanted[-1]:  # the sketch erred by more than its accuracy
+        low, high, below = float("-inf"), float("inf"), 0
+    counts = d.where(F.col("v").between(low, high)).groupBy("v").count()
+    run = Window.partitionBy("part").orderBy("v")
+    ranged = counts.repartitionByRange("v").withColumn("part", F.spark_partition_id()).persist()
+    try:
+        found, passed = [], below
+        for part, total in sorted(map(tuple, ranged.groupBy("part").agg(F.sum("count")).collect())):  # a row per partition
+            for k in wanted:
+                if passed <= k < passed + total:
+                    upto = ranged.where(F.col("part") == part).withColumn("upto", F.sum("count").over(run))
+                    found.append(upto.where(F.col("upto") > k - passed).agg(F.min("v")).first()[0])
+            passed += total
+    finally:
+        ranged.unpersist()
+    return sum(found) / len(found)
+
+
 def limits(df: DataFrame, x: str, y: str, sigma: float = 4.0, least: float = 0.1) -> DataFrame:
     """One row: plot limits about the medians of two columns, with one half-width."""
-    m = df.agg(F.median(x).alias("mx"), F.median(y).alias("my"))
-    s = df.crossJoin(F.broadcast(m)).agg(F.first("mx").alias("mx"), F.first("my").alias("my"), F.median(F.abs(F.col(x) - F.col("mx"))).alias("sx"), F.median(F.abs(F.col(y) - F.col("my"))).alias("sy"))
-    half = F.greatest(F.col("sx") * SCALE, F.col("sy") * SCALE, F.lit(least)) * sigma
-    return s.select((F.col("mx") - half).alias("x_low"), (F.col("mx") + half).alias("x_high"), (F.col("my") - half).alias("y_low"), (F.col("my") + half).alias("y_high"))
+    mx, my = (global_median(df, F.col(c)) for c in (x, y))
+    spread = [0.0 if m is None else global_median(df, F.abs(F.col(c) - m)) * SCALE for c, m in ((x, mx), (y, my))]
+    half = max(*spread, least) * sigma
+    edges = [None if m is None else m + s * half for m in (mx, my) for s in (-1, 1)]
+    return df.sparkSession.createDataFrame([tuple(edges)], "x_low double, x_high double, y_low double, y_high double")
 
 
 def extent(df: DataFrame, ra: str, dec: str, pad: float = 0.05) -> DataFrame:

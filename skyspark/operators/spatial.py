@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skyspark.operators.rounds import Rounds
+
 
 def _cells(df: DataFrame, x: str, y: str, radius: float, around: bool) -> DataFrame:
     cx, cy = F.floor(F.col(x) / radius).cast("long"), F.floor(F.col(y) / radius).cast("long")
@@ -90,20 +92,17 @@ def isolated(df: DataFrame, radius: float, keys: tuple[str, ...], key: str, mag:
     """Rows that stay when, brightest first, each row removes fainter ones within radius.
 
     Each round keeps what is brightest among what is left around it and drops its neighbours."""
-    from skyspark.operators.matching import _set_checkpoint
-
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        _set_checkpoint(spark)
+    held, k = Rounds(df.sparkSession), [*keys, "a"]
     a = df.select(*keys, F.col(key).alias("a"), F.col(mag).alias("ma"), "x", "y")
-    links = pairs_within(a, a.withColumnsRenamed({"a": "b", "ma": "mb"}), radius, keys).where("a <> b").select(*keys, "a", "b", (F.struct("mb", "b") < F.struct("ma", "a")).alias("loses")).checkpoint()
-    left, kept, k = df.select(*keys, F.col(key).alias("a")).checkpoint(), None, [*keys, "a"]
+    links = held.keep(pairs_within(a, a.withColumnsRenamed({"a": "b", "ma": "mb"}), radius, keys).where("a <> b").select(*k, "b", (F.struct("mb", "b") < F.struct("ma", "a")).alias("loses")), "links")
+    left = held.keep(df.select(*keys, F.col(key).alias("a")), "left")
     for _ in range(rounds):
-        alive = links.join(left, k, "left_semi").join(left.withColumnRenamed("a", "b"), [*keys, "b"], "left_semi")
-        won = left.join(alive.where("loses"), k, "left_anti").checkpoint()
-        kept = won if kept is None else kept.unionByName(won)
+        alive = held.keep(links.join(left, k, "left_semi").join(left.withColumnRenamed("a", "b"), [*keys, "b"], "left_semi"), "links")
+        won = held.add(left.join(alive.where("loses"), k, "left_anti"), "won")
         gone = alive.join(won, k, "left_semi").select(*keys, F.col("b").alias("a")).distinct()
-        left = left.join(won, k, "left_anti").join(gone, k, "left_anti").checkpoint()
+        left = held.keep(left.join(won, k, "left_anti").join(gone, k, "left_anti"), "left")
+        links = alive
         if left.isEmpty():
-            return df.join(kept.withColumnRenamed("a", key), [*keys, key], "left_semi")
+            held.drop()
+            return df.join(held.all("won").withColumnRenamed("a", key), [*keys, key], "left_semi")
     raise RuntimeError(f"isolated did not end in {rounds} rounds")

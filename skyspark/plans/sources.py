@@ -30,10 +30,10 @@ def positions(matched, stars, images):
 
 @query("matched", "stars", "images")
 def source_association(matched, stars, images):
-    """Master list of each filter, image after image; tested for what must hold of it."""
+    """Master list of each filter, tile by tile and image after image; tested for what must hold of it."""
     d = positions(matched, stars, images)
-    out = association.associate(d, ["filter"], 40.0, 0.5)
-    return out.join(d.select("filter", "image", "det", "mag", "sigma"), ["filter", "image", "det"]).groupBy("filter", "source").agg(F.count("*").alias("n_detect"), r(F.sum(F.col("mag") / F.col("sigma") / F.col("sigma")) / F.sum(1 / F.col("sigma") / F.col("sigma"))).alias("mag_wmean"))
+    out = association.associate_tiles(d, ["filter"], 40.0, 0.5, 60_000.0)
+    return out.join(d.select("filter", "image", "det", "mag", "sigma"), ["filter", "image", "det"]).groupBy("filter", "first_image", "first_det").agg(F.count("*").alias("n_detect"), r(F.sum(F.col("mag") / F.col("sigma") / F.col("sigma")) / F.sum(1 / F.col("sigma") / F.col("sigma"))).alias("mag_wmean"))
 
 
 @query("detections", sql="""WITH a AS (SELECT image_id, catalog_index AS a, x AS ax, y AS ay, 20 + 100*mag_err AS sa, mag AS ma, mag_err AS sma FROM detections WHERE qfit <= 0.5), b AS (SELECT image_id, catalog_index AS b, x AS bx, y AS by_, 100*mag_err AS sb, mag AS mb, mag_err AS smb FROM detections WHERE qfit > 0.5),

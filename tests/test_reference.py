@@ -228,6 +228,18 @@ def test_association_is_one_to_one(spark):
     out = association.associate(df, ["filter"], 20.0, 0.5).toPandas()
     assert len(out) == len(rows) and not out.duplicated(["image", "source"]).any()
     assert out.groupby("source")["det"].nunique().max() == 1 and out["source"].nunique() == len({r[3] for r in rows})
+    tiles = association.associate_tiles(df, ["filter"], 20.0, 0.5, 900.0).toPandas()
+    first = out.merge(df.toPandas(), on=["filter", "image", "det"]).sort_values(["image_order", "image", "det"]).groupby("source").first()[["image", "det"]]
+    want = {(i, d): tuple(first.loc[s]) for i, d, s in zip(out.image, out.det, out.source, strict=True)}
+    assert {(r.image, r.det): (r.first_image, r.first_det) for r in tiles.itertuples()} == want and len(tiles) == len(rows)
+
+
+def test_global_median(spark):
+    rng = np.random.default_rng(1)
+    for values in (rng.normal(size=5001), rng.normal(size=5000), np.repeat([1.0, 2.0, 3.0], [2000, 1, 2001]), np.array([4.0]), np.array([])):
+        df = spark.createDataFrame([(float(v),) for v in values] + [(None,), (float("nan"),)], "v double")
+        got = robust.global_median(df, F.col("v"), accuracy=500)
+        assert got == (pytest.approx(np.median(values), abs=1e-12) if len(values) else None)
 
 
 def test_distortion(spark):
