@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from skyspark.functions import instrument as I
 from skyspark.functions.text import header_filter
+from skyspark.operators.blocks import Blocks
 from skyspark.operators.relational import pivot_parameters, trusted_detections
 from skyspark.operators.solver import N_R, Alignment
 from skyspark.sources import catalog, fits, sinks
@@ -119,9 +120,7 @@ def load_inputs(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 def save_results(path: str, spark: SparkSession, solution: Alignment, stars: DataFrame) -> None:
     """A solution: its images with their terms, the blocks of their covariance (row by row), and the stars' posteriors."""
-    n = len(solution.images)
-    blocks = solution.cov.reshape(n, N_R, n, N_R).transpose(0, 2, 1, 3)
-    rows = [(int(solution.images[i]), int(solution.images[j]), [float(x) for x in blocks[i, j].ravel()]) for i in range(n) for j in range(i, n)]
+    rows = [(int(solution.images[i]), int(solution.images[j]), [float(v) for v in x.ravel()]) for (i, j), x in solution.blocks.held.items()]
     sinks.write_result(spark.createDataFrame([(int(i), [float(x) for x in solution.r[i]]) for i in solution.images], "image_id long, r array<double>"), f"{path}/images")
     sinks.write_result(spark.createDataFrame(rows, "i long, j long, block array<double>"), f"{path}/covariance")
     sinks.write_result(stars, f"{path}/posteriors")
@@ -135,11 +134,9 @@ def load_results(spark: SparkSession, path: str) -> tuple[Alignment, DataFrame]:
         raise FileNotFoundError(f"no whole results at {path}")
     r = {x.image_id: np.array(x.r) for x in spark.read.parquet(f"{path}/images").collect()}
     order = sorted(r)
-    at, cov = {i: n for n, i in enumerate(order)}, np.zeros((len(order), N_R, len(order), N_R))
-    for x in spark.read.parquet(f"{path}/covariance").collect():  # as many as the solver's own matrix has
-        block = np.array(x.block).reshape(N_R, N_R)
-        cov[at[x.i], :, at[x.j], :], cov[at[x.j], :, at[x.i], :] = block, block.T
-    return Alignment(order, r, cov.reshape(len(order) * N_R, -1), status["steps"], status["converged"]), spark.read.parquet(f"{path}/posteriors")
+    at, n = {i: k for k, i in enumerate(order)}, len(r[order[0]]) if order else N_R
+    held = {(at[x.i], at[x.j]): np.array(x.block).reshape(n, n) for x in spark.read.parquet(f"{path}/covariance").collect()}  # as many as the solver's own matrix has
+    return Alignment(order, r, Blocks(len(order), n, held), status["steps"], status["converged"]), spark.read.parquet(f"{path}/posteriors")
 
 
 def write_quality(df: DataFrame, path: str) -> None:

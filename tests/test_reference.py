@@ -136,6 +136,68 @@ def test_alignment_recovers_truth(spark):
     assert wrong <= out and len(out - wrong) <= 0.05 * n_star * n_image, (len(out), len(out & wrong))
 
 
+def test_blocks():
+    """Sparse elimination and the inverse on the pattern against dense ones."""
+    from skyspark.operators.blocks import Blocks
+
+    rng = np.random.default_rng(3)
+    m, n = 40, 3
+    pairs = {(i, i) for i in range(m)} | {(i, i + 1) for i in range(m - 1)} | {tuple(sorted(map(int, rng.choice(m, 2, replace=False)))) for _ in range(15)}
+    a = Blocks(m, n, {(i, j): rng.normal(size=(n, n)) for i, j in pairs})
+    for i in range(m):
+        a.held[i, i] = a.held[i, i] @ a.held[i, i].T + 30 * np.eye(n)
+    b = rng.normal(size=(m, n))
+    x, inverse = a._sparse(b)
+    dense = np.linalg.inv(a.dense())
+    assert np.allclose(x.ravel(), dense @ b.ravel()) and set(inverse.held) == set(a.held)
+    assert all(np.allclose(v, dense[i * n : i * n + n, j * n : j * n + n]) for (i, j), v in inverse.held.items())
+    y, again = Blocks(m, n, {**a.held, **{(i, j): a[i, j] for i in range(m) for j in range(i, m)}}).solve(b)
+    assert np.allclose(x, y) and all(np.allclose(again.held[k], v) for k, v in inverse.held.items())
+
+
+def test_polynomial_alignment(spark):
+    """Images with second-order terms, solved with them; small batches; conditional fits and tests of stars."""
+    rng = np.random.default_rng(12)
+    n_star, n_image = 60, 4
+    stars = pd.DataFrame({"source_id": np.arange(n_star), "ra": 150 + rng.uniform(-0.02, 0.02, n_star), "dec": 2 + rng.uniform(-0.02, 0.02, n_star), "pmra": rng.normal(0, 1, n_star), "pmdec": rng.normal(0, 1, n_star), "parallax": 0.2, "pseudocolour": np.nan} | {f"{a}_error": 0.05 for a in V.AXES})
+    obs = pd.DataFrame({"image_id": range(n_image), "ra0": 150.0, "dec0": 2.0, "pixel_scale_mas": 50.0, "dt": [-9.0, -3.0, 1.0, 5.0], "ex": [1.0, 0.0, -1.0, 0.3], "ey": [0.0, 1.0, 0.2, -1.0], "ez": 0.1})
+    table, images_ = spark.createDataFrame(stars), spark.createDataFrame(obs)
+    grid = table.select("source_id").crossJoin(images_.select("image_id")).withColumns({"x": F.lit(2048.0), "y": F.lit(2048.0), "cov_xx": F.lit(1e-4), "cov_xy": F.lit(0.0), "cov_yy": F.lit(4e-4)})
+    g = solver.geometry(grid, table, images_).toPandas()
+    v0 = stars[["pmra", "pmdec", "parallax"]].to_numpy()
+    terms = {i: np.array([1 + 1e-4 * i, 1e-4, -1e-4, 1, 0.5 * i, -0.2 * i, 0, 0, 0.03, -0.02, 0.01 * i, 0.01, 0.02, -0.03]) for i in range(n_image)}
+    rows = []
+    for t in g.itertuples():
+        b = np.array([t.bx, t.by]) + np.array([t.jx, t.jy]) @ np.r_[0, 0, v0[t.star]]
+        r, p = terms[t.image], b.copy()
+        for _ in range(30):  # the position whose transform is b
+            x, y = p
+            q = np.array([x * x, x * y, y * y]) / 2048
+            f = np.array([r[0] * x + r[1] * y + r[4] + q @ r[8:11], r[2] * x + r[3] * y + r[5] + q @ r[11:14]])
+            p = p + (b - f)
+        rows.append((t.star, t.image, *map(float, p + 2048 + rng.normal(0, [0.01, 0.02])), 1e-4, 0.0, 4e-4))
+    det = spark.createDataFrame(rows, "source_id long, image_id long, x double, y double, cov_xx double, cov_xy double, cov_yy double")
+    geo, prior = solver.geometry(det, table, images_, order=2), solver.priors(table)
+    sol = solver.align(geo, prior)
+    assert sol.converged
+    g2 = geo.toPandas()
+    model = lambda r: np.array([np.array([t.x_row, t.y_row]) @ r[t.image] for t in g2.itertuples()])
+    assert np.sqrt(((model(sol.r) - model(terms)) ** 2).mean()) < 0.02  # pixels; without the second order it is:
+    linear = solver.align(solver.geometry(det, table, images_), prior)
+    assert np.sqrt(((model({i: np.r_[r, np.zeros(6)] for i, r in linear.r.items()}) - model(terms)) ** 2).mean()) > 0.1
+    assert len(sol.table(spark).columns) == 1 + 2 * 14 + 2
+    post = solver.posteriors(geo, prior, sol)
+    fixed = solver.conditional(geo, prior, sol.r).toPandas().set_index("star")
+    both = post.toPandas().set_index("star")
+    assert np.allclose(np.array(both.v.tolist()), np.array(fixed.v.tolist()[: len(both)]) if list(both.index) == list(fixed.index) else np.array(fixed.loc[both.index].v.tolist()))
+    diag = [0, 5, 9, 12, 14]
+    assert (np.array(both["cov"].tolist())[:, diag] >= np.array(fixed.loc[both.index]["cov"].tolist())[:, diag] - 1e-15).all()
+    out = solver.star_tests(post, prior, table.select(F.col("source_id").alias("star"), (F.col("source_id") % 3 != 0).alias("has_pm"))).toPandas()
+    assert len(out) == n_star and out.ok.mean() > 0.9 and (out.chi2 >= 0).all()
+    back = solver.influence(geo, prior, sol).toPandas()
+    assert np.allclose(np.hypot(back.detector_x, back.detector_y), np.hypot(back.resid_x, back.resid_y), rtol=0.1)
+
+
 def test_solver_queries_converge(spark, sf, monkeypatch):
     """The registered queries let the solver end by its tolerance; a solution says whether it did."""
     from skyspark.plans import solving
