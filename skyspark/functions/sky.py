@@ -79,6 +79,20 @@ def unproject(x, y, ra0, dec0, scale) -> tuple[Column, Column]:
     return F.when(here, lit(ra0)).otherwise(ra), F.when(here, lit(dec0)).otherwise(dec)
 
 
+def wcs_sky(x, y, crpix: tuple, crval: tuple, cd: tuple) -> tuple[Column, Column]:
+    """(ra, dec) of a pixel, counted from 0, under a tangential WCS: crpix counted from 1, crval in degrees, cd = (11, 12, 21, 22) in degrees per pixel."""
+    dx, dy = lit(x) + 1.0 - lit(crpix[0]), lit(y) + 1.0 - lit(crpix[1])
+    xi, eta = lit(cd[0]) * dx + lit(cd[1]) * dy, lit(cd[2]) * dx + lit(cd[3]) * dy
+    return unproject(-xi, eta, crval[0], crval[1], MAS_PER_DEG)
+
+
+def wcs_jacobian(x, y, crpix: tuple, crval: tuple, cd: tuple, step: float = 0.1) -> tuple[Column, Column, Column, Column]:
+    """dra/dx, dra/dy, ddec/dx, ddec/dy in degrees per pixel, by central differences."""
+    at = lambda i, j: wcs_sky(lit(x) + i * step, lit(y) + j * step, crpix, crval, cd)
+    (a, b, c, d) = at(1, 0), at(-1, 0), at(0, 1), at(0, -1)
+    return tuple((p[k] - q[k]) / (2 * step) for k in (0, 1) for p, q in ((a, b), (c, d)))
+
+
 def standard_coordinates(ra, dec, ra0, dec0) -> tuple[Column, Column]:
     """(xi, eta) in degrees; 90 for both behind the plane."""
     t = Tangent(ra, dec, ra0, dec0, 1.0)

@@ -100,3 +100,23 @@ def failed_manifest(selected: DataFrame, succeeded: DataFrame, key: str) -> Data
     """Selected keys with status ok or failed."""
     done = succeeded.select(key).distinct().withColumn("__done", F.lit(True))
     return selected.select(key).distinct().join(done, key, "left").select(key, F.when(F.col("__done"), "ok").otherwise("failed").alias("status"))
+
+
+def master_sources(sources: DataFrame, most_per_image: int = 1000, least: int = 2) -> DataFrame:
+    """The sources of a master list and the detections they own: gaia_id (negative without a catalogue star), src, sub_name, catalog_index.
+
+    sources: src, gaia_id (null without a star), sigma, n_detect, and detections, an array of (sub_name, catalog_index); those without a star have passed the cut on plausibility. In each image only the ``most_per_image`` of
+    these with the smallest sigma keep their detections. Then sources claim detections in order: with a star first, more detections first, smaller sigma first, src; the first claim counts. Without a star a source
+    needs ``least`` detections after either step. Ids -1, -2, ... are given in the order of claims."""
+    d = sources.select("src", "gaia_id", "sigma", "n_detect", F.explode("detections").alias("d")).select("src", "gaia_id", "sigma", "n_detect", "d.sub_name", "d.catalog_index")
+    free = F.col("gaia_id").isNull()
+    ranked = d.where(free).select("sub_name", "src", "sigma").distinct()
+    kept = top_per_group(ranked, ["sub_name"], [F.col("sigma").asc_nulls_last(), F.col("src")], most_per_image).select("sub_name", "src")
+    capped = d.where(free).join(kept, ["sub_name", "src"], "left_semi")
+    enough = lambda rows: rows.join(rows.groupBy("src").agg(F.count("*").alias("__n")).where(F.col("__n") >= least).select("src"), "src", "left_semi")
+    claims = d.where(~free).unionByName(enough(capped))
+    order = [free.cast("int"), F.coalesce("n_detect", F.lit(0)).desc(), F.col("sigma").asc_nulls_last(), F.col("src")]
+    owned = claims.withColumn("__r", F.row_number().over(Window.partitionBy("sub_name", "catalog_index").orderBy(*order))).where("__r = 1").drop("__r")
+    ids = negative_ids(claims.where(free).select("src", "n_detect", "sigma").distinct(), [F.coalesce("n_detect", F.lit(0)).desc(), F.col("sigma").asc_nulls_last(), F.col("src")]).select("src", "hst_id")
+    final = owned.where(~free).unionByName(enough(owned.where(free))).join(ids, "src", "left")
+    return final.select(F.coalesce("gaia_id", "hst_id").alias("gaia_id"), "src", "sub_name", "catalog_index")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from skyspark.operators import compare, robust
+from skyspark.operators import compare, relational, robust
 from skyspark.plans.adapters import registry
 from skyspark.plans.scalar import r
 from skyspark.plans.tables import STATS, rounded
@@ -122,3 +122,16 @@ def image_vs_best_reference(matched):
     best = matched.groupBy("image_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "image_id").limit(1).select(F.col("image_id").alias("ref"))
     ref = matched.join(F.broadcast(best), F.col("image_id") == F.col("ref")).select("source_id", F.col("mag").alias("fm"))  # one row is broadcast
     return rounded(matched.join(ref, "source_id").groupBy("image_id").agg(F.count("*").alias("n_shared"), F.median(F.col("fm") - F.col("mag")).alias("residual")))
+
+
+@query("matched", "images", sql="""WITH s AS (SELECT source_id % 500 AS src, min(source_id) FILTER (source_id % 3 = 0) AS star, min(mag_err) AS sigma, count(*) AS n FROM matched GROUP BY 1), d AS (SELECT DISTINCT m.source_id % 500 AS src, image_name AS sub_name, catalog_index // 2 AS c FROM matched m JOIN images USING (image_id)),
+a AS (SELECT d.*, CASE WHEN src % 4 = 0 THEN star END AS g, sigma, n FROM d JOIN s USING (src)), k AS (SELECT sub_name, src, row_number() OVER (PARTITION BY sub_name ORDER BY sigma, src) AS r FROM (SELECT DISTINCT sub_name, src, sigma FROM a WHERE g IS NULL)),
+f AS (SELECT a.* FROM a JOIN k USING (sub_name, src) WHERE g IS NULL AND r <= 60), f2 AS (SELECT * FROM f WHERE src IN (SELECT src FROM f GROUP BY 1 HAVING count(*) >= 2)), c AS (SELECT * FROM a WHERE g IS NOT NULL UNION ALL SELECT * FROM f2),
+o AS (SELECT *, row_number() OVER (PARTITION BY sub_name, c ORDER BY CASE WHEN g IS NULL THEN 1 ELSE 0 END, n DESC, sigma, src) AS r FROM c), w AS (SELECT * FROM o WHERE r = 1), i AS (SELECT src, -row_number() OVER (ORDER BY n DESC, sigma, src) AS h FROM (SELECT DISTINCT src, n, sigma FROM f2))
+SELECT coalesce(g, h) AS gaia_id, src, sub_name, c AS catalog_index FROM w LEFT JOIN i USING (src) WHERE g IS NOT NULL OR src IN (SELECT src FROM w WHERE g IS NULL GROUP BY 1 HAVING count(*) >= 2)""")
+def master_sources(matched, images):
+    """Sources of a master list and the detections they own after caps and claims."""
+    d = matched.join(images.select("image_id", "image_name"), "image_id").withColumn("src", F.col("source_id") % 500)
+    item = F.struct(F.col("image_name").alias("sub_name"), F.expr("catalog_index div 2").alias("catalog_index"))
+    s = d.groupBy("src").agg(F.min(F.when(F.col("source_id") % 3 == 0, F.col("source_id"))).alias("star"), F.min("mag_err").alias("sigma"), F.count("*").alias("n_detect"), F.array_distinct(F.collect_list(item)).alias("detections"))
+    return relational.master_sources(s.select("src", F.when(F.col("src") % 4 == 0, F.col("star")).alias("gaia_id"), "sigma", "n_detect", "detections"), 60, 2)

@@ -131,3 +131,18 @@ def names_and_stems(images):
     n = F.col("image_id")
     stem = T.cache_name(F.col("image_name"), n * 0.01 + 150.1, F.lit(2.09) - n * 0.1, F.lit(0.25), F.lit(0.5), F.lit(5.0), F.when(n % 2 == 0, F.lit(21.0)))
     return images.select("image_name", stem.alias("stem"), T.archive_filter(F.when(n % 4 == 0, "F850L").otherwise(F.col("filter"))).alias("archive"), T.clean_filter(F.lit(" CLEAR1L; CLEAR2L ")).alias("all_clear"), F.array_join(T.names(F.lit("img1; img2,img1,,img3;")), "|").alias("names"))
+
+
+@query("detections", sql="""WITH p AS (SELECT image_id, catalog_index, x + 1 - 2048 AS dx, y + 1 - 1024 AS dy FROM detections), o AS (SELECT *, radians(-1.39e-5*dx + 2e-7*dy) AS xi, radians(1e-7*dx + 1.4e-5*dy) AS eta, radians(2.09e0) AS d0 FROM p),
+t AS (SELECT *, atan2(xi, cos(d0) - eta*sin(d0)) AS t FROM o) SELECT image_id, catalog_index, round(150.1e0 + degrees(t), 9) AS ra, round(degrees(atan2(cos(t)*(sin(d0) + eta*cos(d0)), cos(d0) - eta*sin(d0))), 9) AS dec FROM t""")
+def wcs_positions(det):
+    ra, dec = S.wcs_sky(F.col("x"), F.col("y"), (2048.0, 1024.0), (150.1, 2.09), (-1.39e-5, 2e-7, 1e-7, 1.4e-5))
+    return det.select("image_id", "catalog_index", r(ra, 9).alias("ra"), r(dec, 9).alias("dec"))
+
+
+@query("detections", sql="""WITH s(i, j) AS (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)), p AS (SELECT image_id, catalog_index, i, j, x + i*0.1e0 + 1 - 2048 AS dx, y + j*0.1e0 + 1 - 1024 AS dy FROM detections, s), o AS (SELECT *, radians(-1.39e-5*dx + 2e-7*dy) AS xi, radians(1e-7*dx + 1.4e-5*dy) AS eta, radians(0.01e0) AS d0 FROM p),
+t AS (SELECT *, atan2(xi, cos(d0) - eta*sin(d0)) AS t FROM o), q AS (SELECT image_id, catalog_index, i, j, degrees(t) AS ra, degrees(atan2(cos(t)*(sin(d0) + eta*cos(d0)), cos(d0) - eta*sin(d0))) AS dec FROM t)
+SELECT image_id, catalog_index, round((sum(ra) FILTER (i = 1) - sum(ra) FILTER (i = -1))/0.2e0*3.6e6, 4) AS ra_x, round((sum(ra) FILTER (j = 1) - sum(ra) FILTER (j = -1))/0.2e0*3.6e6, 4) AS ra_y, round((sum(dec) FILTER (i = 1) - sum(dec) FILTER (i = -1))/0.2e0*3.6e6, 4) AS dec_x, round((sum(dec) FILTER (j = 1) - sum(dec) FILTER (j = -1))/0.2e0*3.6e6, 4) AS dec_y FROM q GROUP BY 1, 2""")
+def wcs_jacobian(det):
+    out = S.wcs_jacobian(F.col("x"), F.col("y"), (2048.0, 1024.0), (0.0, 0.01), (-1.39e-5, 2e-7, 1e-7, 1.4e-5))
+    return det.select("image_id", "catalog_index", *[r(c * 3.6e6, 4).alias(k) for c, k in zip(out, ("ra_x", "ra_y", "dec_x", "dec_y"), strict=True)])

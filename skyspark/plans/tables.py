@@ -449,3 +449,14 @@ def residual_dump(matched, images):
     s = Window.partitionBy("source_id")
     d = matched.join(images.select("image_id", "epoch_mjd"), "image_id")
     return d.select("image_id", "source_id", r((F.col("mag") - F.avg("mag").over(s)) / 1.7).alias("residual"), F.count("*").over(s).alias("n_images"), F.row_number().over(s.orderBy("epoch_mjd", "image_id")).alias("visit"))
+
+
+@query("detections", sql="""WITH t AS (SELECT image_id, x, y FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY mag, catalog_index) AS k FROM detections) WHERE k <= 200), a AS (SELECT image_id, s AS scale, x*(s + 1) AS x, y*(s + 1) AS y FROM t, (VALUES (-0.01e0), (0.0e0), (0.01e0)) v(s)), b AS (SELECT image_id, x*1.01e0 + 20 AS x, y*1.01e0 - 10 AS y FROM t),
+d AS (SELECT image_id, scale, floor((b.x - a.x)/4)::BIGINT AS i, floor((b.y - a.y)/4)::BIGINT AS j FROM a JOIN b USING (image_id) WHERE abs(b.x - a.x) <= 60 AND abs(b.y - a.y) <= 60), h AS (SELECT image_id, scale, i, j, count(*) AS w FROM d GROUP BY 1, 2, 3, 4),
+s AS (SELECT image_id, scale, i + u AS i, j + v AS j, sum(w)::BIGINT AS votes FROM h, (VALUES (-1),(0),(1)) p(u), (VALUES (-1),(0),(1)) q(v) GROUP BY 1, 2, 3, 4)
+SELECT image_id, scale, round((i+0.5e0)*4, 6) AS dx, round((j+0.5e0)*4, 6) AS dy, round(votes::DOUBLE, 6) AS votes FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY votes DESC, abs(scale), scale, i, j) AS k FROM s) WHERE k = 1""")
+def scale_offset_sweep(det):
+    """The change of scale and the shift that most pairs share, over trial scales."""
+    t = spatial.brightest(det, ("image_id",), "mag", "catalog_index", 200)
+    b = t.select("image_id", (F.col("x") * 1.01 + 20).alias("x"), (F.col("y") * 1.01 - 10).alias("y"))
+    return rounded(spatial.offset_peaks(t.select("image_id", "x", "y"), b, ("image_id",), 60.0, 4.0, F.array(F.lit(-0.01), F.lit(0.0), F.lit(0.01))))

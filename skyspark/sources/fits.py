@@ -128,6 +128,51 @@ def read_tiles(spark: SparkSession, path: str, unit: str = "SCI", core: int = 12
     return _files(spark, path, pattern).mapInPandas(run, TILE_SCHEMA)
 
 
+def _whole(spark: SparkSession, path: str) -> bytes:
+    """One file's bytes, for what the driver broadcasts: a library's grid, some megabytes."""
+    return bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
+
+
+def read_psf(spark: SparkSession, path: str, offset: tuple[float, float] = (0.0, 0.0)):
+    """The point-spread functions of a library file: a cube, with the nodes' positions in its header (IPSFX01.., JPSFY01..), or on a regular grid over 4096 pixels where it names none. Marks of missing data (below -0.001) count as 0."""
+    from skyspark.operators.images import PsfGrid
+
+    raw = _whole(spark, path)
+    header, start, size = next(u for u in units(raw) if u[0].get("NAXIS", 0) >= 2)
+    shape = [header[f"NAXIS{k}"] for k in range(header["NAXIS"], 0, -1)]
+    cube = pixels(raw, header, start, shape).reshape(-1, *shape[-2:])
+    cube = np.where(cube < -0.001, 0.0, cube)
+    over, n = int(float(header.get("PSFSCALE", header.get("OVERSAMP", 4)))), len(cube)
+    nx, ny = (header.get(f"N{a}PSFS", header.get(f"N{a}PSF")) for a in "XY")
+    if n == 1:
+        return PsfGrid(cube, [0.0], [0.0], over, offset)
+    if nx is not None and ny is not None:
+        nodes = [[next((float(header[k]) for k in (f"{name}{i:02d}", f"{name}{i:04d}") if k in header), None) for i in range(1, int(m) + 1)] for name, m in (("IPSFX", nx), ("JPSFY", ny))]
+        if None not in nodes[0] and None not in nodes[1]:
+            return PsfGrid(cube, nodes[0], nodes[1], over, offset)
+    nx = int(np.ceil(np.sqrt(n)))
+    ny = -(-n // nx)
+    if nx * ny > n:  # the last row isn't whole
+        ny -= 1
+    return PsfGrid(cube[: nx * ny], np.linspace(0, 4096, nx), np.linspace(0, 4096, ny), over, offset)
+
+
+def read_distortion(spark: SparkSession, path: str):
+    """The distortion grid of a library file: its first three image units are corrected x, corrected y and the magnitude correction, as scaled integers or floats."""
+    from skyspark.operators.distortion import Grid
+
+    raw = _whole(spark, path)
+    planes = [pixels(raw, h, start, (h["NAXIS2"], h["NAXIS1"])) for h, start, _ in units(raw) if h.get("NAXIS", 0) == 2 and h.get("XTENSION", "IMAGE") == "IMAGE"][:3]
+    return Grid(*planes)
+
+
+def pixels(raw: bytes, header: dict, start: int, shape) -> np.ndarray:
+    """An array of a unit, scaled by BSCALE and BZERO."""
+    kind = {8: ">u1", 16: ">i2", 32: ">i4", 64: ">i8", -32: ">f4", -64: ">f8"}[header["BITPIX"]]
+    a = np.frombuffer(raw, kind, int(np.prod(shape)), start).astype(float).reshape(shape)
+    return a * float(header.get("BSCALE", 1)) + float(header.get("BZERO", 0))
+
+
 def _files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path).select("path", "content")
 

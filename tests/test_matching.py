@@ -267,6 +267,43 @@ def test_field_round_trip(spark, tmp_path, telescope):
     assert field.write_catalogue(f["images"], str(tmp_path / "text")).endswith(".csv")
 
 
+def test_psf_grid_and_library(spark, tmp_path):
+    """Functions that change over the detector, read from a library's file, and found for an image; photometry with them; a scaled distortion grid."""
+    from skyspark.operators import images
+
+    base = images.gaussian_psf(1.8).grid
+    wide = images.gaussian_psf(2.4).grid
+    cube = np.stack([base, wide, base, wide])
+    grid = images.PsfGrid(cube, [0.0, 256.0], [0.0, 256.0])
+    assert np.allclose(grid.mixed(0, 100), base) and np.allclose(grid.mixed(300, 0), wide)
+    middle = grid.mixed(128, 128)
+    assert (middle.max() < base.max()) and (middle.max() > wide.max()) and middle.sum() == pytest.approx(16, rel=1e-6)
+    for kind, name in (("STDPSFs", "STDPSF_ACSWFC_F814W"), ("STDPSFs", "STDPSF_ACSWFC_F814W_SM4"), ("STDPSFs", "STDPSF_ACSWFC_F850L_SM3"), ("STDGDCs", "STDGDC_ACSWFC_F814W"), ("STDGDCs", "STDGDC_OFFICIAL_JFRAME_ACSWFC_F814W")):
+        (tmp_path / "lib" / kind).mkdir(parents=True, exist_ok=True)
+        fits_files.write(str(tmp_path / "lib" / kind / f"{name}.fits"), [(np.arange(12.0).reshape(3, 4) + k, {}) for k in range(3)])
+    ask = spark.createDataFrame([("a", "ACSWFC", "F814W", 56000.0), ("b", "ACSWFC", "F814W", 53000.0), ("c", "ACSWFC", "F850LP", 56000.0), ("d", "WFC3UV", "F814W", 56000.0)], "image_name string, detector string, filter string, epoch_mjd double")
+    got = {r.image_name: tuple(None if v is None else v.rsplit("/", 1)[-1] for v in (r.psf, r.gdc)) for r in catalog.best_files(ask, catalog.library_files(spark, str(tmp_path / "lib"))).collect()}
+    assert got == {"a": ("STDPSF_ACSWFC_F814W_SM4.fits", "STDGDC_OFFICIAL_JFRAME_ACSWFC_F814W.fits"), "b": ("STDPSF_ACSWFC_F814W.fits", "STDGDC_OFFICIAL_JFRAME_ACSWFC_F814W.fits"), "c": ("STDPSF_ACSWFC_F850L_SM3.fits", None), "d": (None, None)}
+    d = fits_files.read_distortion(spark, str(tmp_path / "lib" / "STDGDCs" / "STDGDC_ACSWFC_F814W.fits"))
+    assert d.apply(np.array([1.0]), np.array([1.0]))[0][0] == 5.0 and d.mag[0, 0] == 2.0
+    cards = [("SIMPLE", True), ("BITPIX", -64), ("NAXIS", 3), ("NAXIS1", 101), ("NAXIS2", 101), ("NAXIS3", 4), ("NXPSFS", 2), ("NYPSFS", 2), ("IPSFX01", 0.0), ("IPSFX02", 256.0), ("JPSFY01", 0.0), ("JPSFY02", 256.0)]
+    (tmp_path / "psf.fits").write_bytes(fits_files._cards(cards) + cube.astype(">f8").tobytes())
+    read = fits_files.read_psf(spark, str(tmp_path / "psf.fits"))
+    assert np.allclose(read.cube, cube) and list(read.xs) == [0.0, 256.0]
+    truth = [(30.3, 50.7, 20000.0), (128.2, 128.4, 50000.0), (225.6, 60.1, 30000.0)]
+    ys, xs = np.mgrid[0:256, 0:256]
+    img = np.full((256, 256), 100.0)
+    for x, y, f in truth:
+        img += f * grid.near(x, y).at(xs - x, ys - y)[0]
+    fits_files.write(str(tmp_path / "img_flc.fits"), [(img, {"EXTNAME": "SCI", "EXTVER": 1})])
+    tiles = fits_files.read_tiles(spark, str(tmp_path), pattern="img_flc.fits")
+    fit, plain = images.photometry(tiles, read, 300.0).toPandas(), images.photometry(tiles, images.gaussian_psf(1.8), 300.0).toPandas()
+    for x, y, f in truth:
+        near = lambda t: t[(t.x - x) ** 2 + (t.y - y) ** 2 < 1].iloc[0]
+        assert abs(near(fit).flux / f - 1) < 0.01 and abs(near(fit).x - x) < 0.01
+    assert abs(near(plain).flux / f - 1) > 0.05  # the last star lies where the function is wide
+
+
 def test_queries_equal_their_sql(spark, sf):
     """Every query of the reference's operators against its SQL at the smallest scale."""
     import duckdb
