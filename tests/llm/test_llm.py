@@ -557,6 +557,55 @@ def test_substring_dedup_keeps_one_copy(spark):
     assert {(r.doc_id, r.kept) for r in found} == {(1, True), (5, True), (5, False), (6, True), (6, False), (9, False), (10, False), (12, False)}
 
 
+def slow_chunks(raw):
+    """Chunks byte by byte: the hash of the last eight bytes, each shifted by two bits more than the next."""
+    out, start = [], 0
+    for i in range(len(raw)):
+        h = sum(int(substring_dedup.GEAR[raw[i - k]]) << (2 * k) for k in range(min(8, i + 1))) & 0xFFFF
+        size = i + 1 - start
+        if size == substring_dedup.MOST and i + 1 < len(raw) or h >> (16 - substring_dedup.BITS) == 0 and size >= substring_dedup.LEAST or i + 1 == len(raw):
+            out.append((start, i + 1))
+            start = i + 1
+    return out
+
+
+def test_substring_dedup_equals_brute_force(spark, corpus, edge):
+    """Every stretch of the test documents, from chunks found byte by byte and digests compared in a dictionary."""
+    for df in (corpus, edge.where("length(text) < 1000")):
+        texts = sorted({(r.doc_id, r.text) for r in df.select("doc_id", "text").collect() if r.doc_id is not None and r.text})
+        parts = {t: [(a, b, t.encode()[a:b]) for a, b in slow_chunks(t.encode())] for _, t in texts}
+        owners = {}
+        for i, t in texts:
+            for _, _, c in parts[t]:
+                owners.setdefault(c, set()).add(i)
+        want = []
+        for i, t in texts:
+            raw, run = t.encode(), []
+
+            def close(run, i=i, raw=raw):
+                starts = [k for k in range(len(raw)) if raw[k] not in b" \t\n\v\f\r" and (k == 0 or raw[k - 1] in b" \t\n\v\f\r")]
+                words = lambda a, b: sum(a <= k < b for k in starts)
+                if run and words(run[0][0], run[-1][1]) >= substring_dedup.WORDS:
+                    at = 0
+                    while at < len(run):
+                        to = at
+                        while to < len(run) and (run[to][2] == i) == (run[at][2] == i):
+                            to += 1
+                        a, b = run[at][0], run[to - 1][1]
+                        want.append((i, a, b, words(a, b), to - at, min(x[2] for x in run[at:to]), run[at][2] == i))
+                        at = to
+
+            for a, b, c in parts[t]:
+                if len(owners[c]) > 1:
+                    run.append((a, b, min(owners[c])))
+                else:
+                    close(run)
+                    run = []
+            close(run)
+        got = [(r.doc_id, r.start, r.end, r.words, r.chunks, r.first_doc_id, r.kept) for r in substring_dedup.passages(df).collect()]
+        assert sorted(got) == sorted(want) and (df is not corpus or len(got) > 20)
+
+
 def test_chunks_resist_insertions():
     rng = random.Random(7)
     t = " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(2000))
