@@ -42,11 +42,11 @@ from skyspark.llm import common as C
 
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
 #: Words that a Python worker remembers at most.
-WORDS = 200_000
+WORDS = 100_000
 #: Labels of a page of the table.
 PAGE = 256
 #: Rows of the table that the driver writes out at a time.
-ROWS = 512
+ROWS = 64
 
 
 def byte_symbols() -> list[str]:
@@ -131,13 +131,15 @@ class Automaton:
         states = [t for t in alive if t not in ends]
         rows, columns = Numbering({t: g.right[t] for t in states if t in g.right}, g.born, states), Numbering({t: g.left[t] for t in alive if t in g.left}, g.born, alive)
         wide = -(-len(alive) // PAGE)
-        cleared = sorted((*rows.range(u, rank + 1), *columns.range(v, rank)) for (u, v), rank in g.split.items())
+        cleared = np.array([(*rows.range(u, rank + 1), *columns.range(v, rank)) for (u, v), rank in g.split.items()], np.int32).reshape(-1, 4)
+        cleared = cleared[np.argsort(cleared[:, 0], kind="stable")]
+        del g
         known: dict[bytes, int] = {}
-        self.page, begun = array("I"), [c[0] for c in cleared]
-        tallest = max((c[1] - c[0] for c in cleared), default=0)
+        self.page = array("I")
+        tallest = int((cleared[:, 1] - cleared[:, 0]).max()) if len(cleared) else 0
         for top in range(0, len(states) + 1, ROWS):
             block = np.zeros((min(ROWS, len(states) + 1 - top), wide * PAGE), bool)
-            for r0, r1, c0, c1 in cleared[bisect.bisect_left(begun, top - tallest) : bisect.bisect_left(begun, top + ROWS)]:
+            for r0, r1, c0, c1 in cleared[np.searchsorted(cleared[:, 0], top - tallest) : np.searchsorted(cleared[:, 0], top + ROWS)].tolist():
                 block[max(0, r0 - top) : max(0, r1 - top), c0:c1] = True
             raw = block.tobytes()
             self.page.extend([known.setdefault(raw[k : k + PAGE], len(known)) * PAGE for k in range(0, len(raw), PAGE)])
@@ -263,7 +265,7 @@ def tokenizer(spec: str) -> Tokenizer:
 def _sent(df: DataFrame, path: str):
     """The compiled tokenizer of the file, which the driver reads, as a broadcast of about 20 MB (bounded by the vocabulary, not by the data)."""
     with open(path, encoding="utf-8") as f:
-        return df.sparkSession.sparkContext.broadcast(tokenizer(f.read()))
+        return df.sparkSession.sparkContext.broadcast(Tokenizer(f.read()))  # not kept by the driver
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

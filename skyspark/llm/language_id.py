@@ -139,8 +139,12 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.string()), pa.array([v.tobytes() for _, v in rows], pa.binary())], ["lang", "x"])
 
     rows = sorted((r["lang"], bytes(r["x"])) for r in chosen.select("text", "lang").mapInArrow(run, "lang string, x binary").toLocalIterator())
-    x = np.array([np.frombuffer(v, np.float32) for _, v in rows], np.float32).reshape(len(rows), WIDTH)
-    return Model(x, [k for k, _ in rows])
+    x = np.empty((len(rows), WIDTH), np.float32)
+    for i, (_, v) in enumerate(rows):
+        x[i] = np.frombuffer(v, np.float32)
+    langs = [k for k, _ in rows]
+    del rows
+    return Model(x, langs)
 
 
 RESULTS = ("lang_pred", "score", "certainty")
@@ -154,7 +158,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
 
     def run(batches):
         m = sent.value
-        for b in C.slices(batches):
+        for b in C.slices(batches, 100):  # a hundred profiles at a time
             lang, *two = m.predict([t.as_py() for t in b.column(0)])
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(lang, pa.string()), *[pa.array(x, pa.float64()) for x in two]], [*names, *RESULTS])
 

@@ -59,7 +59,7 @@ TREES = (4, 12)
 #: How far an estimate may be below the threshold.
 SLACK = 0.2
 #: Bytes of full sets that are compared in one group, about; a single set may be larger.
-GROUP_BYTES = 128 << 20
+GROUP_BYTES = 64 << 20
 PIVOTS = 8
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
