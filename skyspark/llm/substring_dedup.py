@@ -101,10 +101,11 @@ def passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words:
     A passage has at least ``words`` words in all its stretches. kept: the stretch's chunks are all here for the first time, so this copy stays when
     repeats are removed; in the others every chunk has its first copy in an earlier document."""
     every = C.stored(chunked(docs, text, doc_id), "chunks")
-    seen = every.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    # Written, so that the join reads two plain shuffles, which the engine can split where a digest is hot.
+    seen = C.stored(every.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("digest", "first"), "repeated")
     by = Window.partitionBy("doc_id", "copy").orderBy("place")
     # Repeated rows give equal chunks at one place; the first of them counts.
-    own = every.join(seen.select("digest", "first"), "digest").select("doc_id", "copy", "place", "first").withColumn("again", F.lag("place").over(by)).where("again IS NULL OR again <> place")
+    own = every.join(seen, "digest").select("doc_id", "copy", "place", "first").withColumn("again", F.lag("place").over(by)).where("again IS NULL OR again <> place")
     once = own.select("doc_id", "copy", "first", "place", F.shiftright("place", 16).alias("start"), (F.shiftright("place", 16) + F.shiftright("place", 8).bitwiseAND(255)).alias("end"), F.col("place").bitwiseAND(255).alias("words"))
     mine, apart = F.col("first") == F.col("doc_id"), F.coalesce(F.lag("end").over(by) != F.col("start"), F.lit(True))
     turn = F.coalesce(apart | (F.lag("mine").over(by) != F.col("mine")), F.lit(True))
