@@ -277,7 +277,7 @@ def test_entry_has_oracles():
     import __spark_entry__ as e
 
     q, o = e.queries(), e.oracle_sql()
-    assert len(q) >= 70 and set(o) <= set(q)
+    assert len(q) >= 120 and len(o) >= 110 and set(o) <= set(q)
 
 
 def test_association_is_one_to_one(spark):
