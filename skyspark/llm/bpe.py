@@ -42,7 +42,7 @@ from skyspark.llm import common as C
 
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
 #: Words that a Python worker remembers at most.
-WORDS = 100_000
+WORDS = 200_000
 #: Labels of a page of the table.
 PAGE = 256
 #: Rows of the table that the driver writes out at a time.
