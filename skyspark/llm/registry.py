@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyspark.llm import bpe, exact_dedup, language_id, mixing, near_dedup, sharding, substring_dedup, toxicity, url_filter, vp_ann
+from skyspark.llm import bpe, conversations, exact_dedup, language_id, mixing, near_dedup, quality, resampling, sharding, substring_dedup, toxicity, url_filter, vp_ann
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,9 +28,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": toxicity.query,
         "op9_exact_dedup": exact_dedup.query,
         "op10_near_dedup": near_dedup.query,
+        "op11_quality": quality.query,
+        "op12_resampling": resampling.query,
+        "op13_conversations": conversations.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    with_sql = {"op2_url_filter": url_filter, "op4_vp_ann": vp_ann, "op5_mixing": mixing, "op7_sharding": sharding, "op9_exact_dedup": exact_dedup, "op10_near_dedup": near_dedup}
+    with_sql = {"op2_url_filter": url_filter, "op4_vp_ann": vp_ann, "op5_mixing": mixing, "op7_sharding": sharding, "op9_exact_dedup": exact_dedup, "op10_near_dedup": near_dedup, "op12_resampling": resampling, "op13_conversations": conversations}
     return {name: module.SQL for name, module in with_sql.items()}

@@ -71,7 +71,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign(C.table(spark, sf_dir, "documents"), 40)
 
 
-def _crc_step() -> str:
+def crc_step() -> str:
     """One byte v of a reflected CRC-32 with the register a, in SQL: the table of 256 is linear in the byte's bits."""
     out = "a >> 8"
     for bit in range(8):
@@ -85,7 +85,7 @@ def _crc_step() -> str:
 SQL = f"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 b AS (SELECT doc_id, t, list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda p: ('0x' || p)::BIGINT) AS l FROM t),
-d AS (SELECT doc_id, (len(l) + {OVERHEAD})::BIGINT AS size, xor(list_reduce(list_prepend(4294967295, l), lambda a, v: {_crc_step()}), 4294967295) AS text_crc32, ('0x' || substr(md5(t), 1, 15))::BIGINT AS h FROM b),
+d AS (SELECT doc_id, (len(l) + {OVERHEAD})::BIGINT AS size, xor(list_reduce(list_prepend(4294967295, l), lambda a, v: {crc_step()}), 4294967295) AS text_crc32, ('0x' || substr(md5(t), 1, 15))::BIGINT AS h FROM b),
 o AS (SELECT *, (sum(size) OVER w)::BIGINT - size AS "offset", (sum(size) OVER ())::BIGINT AS total, row_number() OVER w AS k FROM d WINDOW w AS (ORDER BY h, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING)),
 s AS (SELECT *, least(39, ((2 * "offset" + size)::HUGEINT * 40) // (2 * total))::INT AS shard FROM o)
 SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, k - min(k) OVER (PARTITION BY shard) AS slot, NULL::INT AS grown_shard, "offset" FROM s
