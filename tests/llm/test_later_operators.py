@@ -125,6 +125,9 @@ def test_quality_equals_pairwise_descent():
     weight = np.where(y == 1, 3.0, 1.0)
     wrong = lambda c: weight[(s >= c) != (y == 1)].sum()
     assert math.isclose(wrong(quality.cut(s, y, weight)), min(wrong(c) for c in (s[:, None] + [-1e-9, 1e-9]).ravel()))
+    for apart in range(1, 60):  # labels that the scores part, with weights whose sums are rounded
+        y = (np.arange(100) >= apart).astype(int)
+        assert apart - 1 < quality.cut(np.arange(100.0), y, np.where(y == 1, 19.3 / 3, 1.1)) < apart
 
 
 def test_quality(spark, sf):
