@@ -70,7 +70,7 @@ def plausible_sources(stars):
 TURN = "WITH h AS (SELECT image_name, radians(image_id*3.7e0 - 170) AS t, 1 + image_id*1e-4::DOUBLE AS s, image_id*1e-5::DOUBLE AS e, image_id*-2e-5::DOUBLE AS f FROM images)"
 
 
-@query("images", sql=f"{TURN} SELECT image_name, round(s*cos(t) + e, 9) AS a, round(s*sin(t) + f, 9) AS b, round(f - s*sin(t), 9) AS c, round(s*cos(t) - e, 9) AS d, round(sqrt(s*s - e*e - f*f), 9) AS ratio, round(degrees(t), 6) AS rotation FROM h")
+@query("images", sql=f"{TURN} SELECT image_name, round(s*cos(t) + e, 9) AS a, round(s*sin(t) + f, 9) AS b, round(f - s*sin(t), 9) AS c, round(s*cos(t) - e, 9) AS d, round(sqrt(s*s - e*e - f*f), 9) AS ratio, round(degrees(atan2(sin(t), cos(t))), 6) AS rotation FROM h")
 def linear_conventions(images):
     n = F.col("image_id")
     a, b, c, d = I.linear_terms(n * 3.7 - 170.0, n * 1e-4 + 1.0, n * 1e-5, n * -2e-5)

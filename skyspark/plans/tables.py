@@ -310,8 +310,10 @@ def greedy_match(det):
     return rounded(matching.greedy(p, "a", "b", "distance", ("image_id",)))
 
 
-@query("detections", sql="""WITH g AS (SELECT image_id, catalog_index AS i, x, y, floor(x/50)::BIGINT AS cx, floor(y/50)::BIGINT AS cy FROM detections), n AS (SELECT *, cx + u AS nx, cy + v AS ny FROM g, (VALUES (-1),(0),(1)) p(u), (VALUES (-1),(0),(1)) q(v))
-SELECT n.image_id, n.i AS a, g.i AS b, round(sqrt((n.x-g.x)*(n.x-g.x) + (n.y-g.y)*(n.y-g.y)), 6) AS distance FROM n JOIN g ON n.image_id = g.image_id AND nx = g.cx AND ny = g.cy WHERE n.i < g.i AND (n.x-g.x)*(n.x-g.x) + (n.y-g.y)*(n.y-g.y) <= 2500.0""")
+@query("detections", sql="""WITH g AS MATERIALIZED (SELECT image_id, catalog_index AS i, x, y, image_id || ':' || floor(x/50)::BIGINT || ':' || floor(y/50)::BIGINT AS cell FROM detections),
+n AS MATERIALIZED (SELECT image_id, catalog_index AS i, x, y, image_id || ':' || (floor(x/50)::BIGINT + u) || ':' || (floor(y/50)::BIGINT + v) AS cell FROM detections, (VALUES (-1),(0),(1)) p(u), (VALUES (-1),(0),(1)) q(v)),
+j AS MATERIALIZED (SELECT n.image_id, n.i AS a, g.i AS b, (n.x-g.x)*(n.x-g.x) + (n.y-g.y)*(n.y-g.y) AS d FROM n JOIN g USING (cell))
+SELECT image_id, a, b, round(sqrt(d), 6) AS distance FROM j WHERE a < b AND d <= 2500.0""")
 def close_pairs(det):
     return rounded(spatial.close_pairs(det, 50.0, "catalog_index", ("image_id",)))
 
