@@ -1,9 +1,10 @@
 """Exact deduplication with a persistent digest index (native: DataFrame and SQL functions only).
 
-The index is a table of digests, bucketed by digest and sorted inside its buckets, with one partition per batch of documents. A batch is
-reduced to one row per digest before anything is shuffled. Digests that the index lacks are found by a sort-merge anti-join
-against its bucketed side, which isn't shuffled; they and the counts of those it has already are written as the batch's
-partition. Writing a batch again replaces its partition, so a batch that failed half way is simply appended again. Reading sums
+The index is a table of digests, bucketed by digest and sorted inside its buckets, with one partition per batch of documents, under the batch's number and name. A batch is
+reduced to one row per digest before anything is shuffled. Digests that earlier batches lack are found by a sort-merge anti-join
+against their bucketed side, which isn't shuffled; they and the counts of those that are known already are written as the batch's
+partition. What is new in a batch depends on the batches of smaller numbers alone, so a batch that is appended again, under its name, keeps its number and becomes
+what it was, whatever came after it; one that failed half way is simply appended again. Reading sums
 a digest's rows inside its bucket: the largest doc_id and the count over all batches.
 
 A hot digest, such as a text that a third of all rows carry, never meets in one task: aggregation
@@ -15,7 +16,8 @@ Defined results: a null text counts as the empty text; texts are equal when iden
 lower-casing A-Z; among equal texts the largest doc_id stays (null doc_ids sort lowest, and
 of repeated rows with that doc_id all are marked kept in ``annotate``, one is kept by
 ``deduplicate``); with an index that holds earlier batches, ``annotate`` gives the state after this batch, and ``deduplicate`` drops
-what an earlier batch has; an empty table gives an empty result; other columns pass through
+what an earlier batch has. A batch may be run again in any order: it brings the same rows as before, and of equal texts in several batches one stays. A batch is known by the name
+that the caller gives it, or else by its rows; an empty table gives an empty result; other columns pass through
 ``deduplicate`` untouched, whatever their names.
 """
 
@@ -62,19 +64,30 @@ class DigestIndex:
         """(digest, keep_id, group_size) over all batches; the bucketed rows are not shuffled."""
         return self.rows().groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
 
+    def numbers(self) -> dict[str, int]:
+        """The batches by name and the numbers under which they were first appended. Read from the partitions' names, some bytes a batch."""
+        found = [r[0].removeprefix("batch=").split("-", 1) for r in self.spark.sql(f"SHOW PARTITIONS {self.name}").collect()]
+        return {name: int(n) for n, name in found}
+
     def append(self, digests: DataFrame, batch: str | None = None) -> str:
-        """Adds (doc_id, digest) rows as a batch, or replaces the batch of that name. Returns its name."""
-        batch = batch or uuid.uuid4().hex
+        """Adds (doc_id, digest) rows as a batch, or replaces the batch of that name (by default one that follows from the rows). Returns its partition, its number and name."""
+        if batch is not None and not batch.replace("-", "").replace("_", "").isalnum():
+            raise ValueError(f"a batch's name has letters, digits, - and _ only, not {batch!r}")
         groups = C.stored(digests.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "digest-groups")
-        known = self.rows().where(F.col("batch") != batch).select("digest")
+        if batch is None:
+            n, one, two = groups.agg(F.count("*"), *[F.bit_xor(F.xxhash64(F.lit(k), "digest", "keep_id", "group_size")) for k in (1, 2)]).first()
+            batch = f"{n}-{(one or 0) % (1 << 64):016x}{(two or 0) % (1 << 64):016x}"
+        known_as = self.numbers()
+        part = f"{known_as.get(batch, max(known_as.values(), default=0) + 1):09d}-{batch}"
+        known = self.rows().where(F.col("batch") < part).select("digest")
         parts = [groups.hint("merge").join(known, "digest", how).withColumn("novel", F.lit(how == "left_anti")) for how in ("left_anti", "left_semi")]
         new = C.stored(parts[0].unionByName(parts[1]).select("digest", "keep_id", "group_size", "novel"), "digest-batch")
         dealt = new.repartition(self.buckets, "digest").sortWithinPartitions("digest")
-        self.spark.sql(f"INSERT OVERWRITE TABLE {self.name} PARTITION (batch = '{batch}') SELECT * FROM {{dealt}}", dealt=dealt)
+        self.spark.sql(f"INSERT OVERWRITE TABLE {self.name} PARTITION (batch = '{part}') SELECT * FROM {{dealt}}", dealt=dealt)
         self.spark.catalog.refreshTable(self.name)
         C.forget(groups)
         C.forget(new)
-        return batch
+        return part
 
     def novel(self, digests: DataFrame) -> DataFrame:
         """The rows of digests whose digest the index lacks."""
@@ -112,16 +125,18 @@ def annotate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", index:
     return out
 
 
-def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", index: DigestIndex | None = None) -> DataFrame:
+def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", index: DigestIndex | None = None, batch: str | None = None) -> DataFrame:
     """docs without the rows whose text another row with a larger doc_id or an earlier batch of the index has; of repeated rows (equal doc_id and text) one stays.
 
-    The digests are appended to the index (to a fresh one by default), and those that were new to it bring their document; texts are shuffled once."""
+    The digests are appended to the index under the batch's name, by default one that follows from its rows, so that a rerun brings the same rows (to a fresh index by default, which is removed again), and those that were new to it bring their document; texts are shuffled once."""
     names, tag = docs.columns, uuid.uuid4().hex
     by, key = f"digest_{tag}", f"key_{tag}"
     own = index or DigestIndex(docs.sparkSession)
-    batch = own.append(docs.select(F.col(doc_id).alias("doc_id"), digest(F.col(text)).alias("digest")))
+    part = own.append(docs.select(F.col(doc_id).alias("doc_id"), digest(F.col(text)).alias("digest")), batch)
     named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    won = own.rows().where((F.col("batch") == batch) & F.col("novel")).select(F.col("digest").alias(by), named("keep_id").alias(key))
+    won = C.stored(own.rows().where((F.col("batch") == part) & F.col("novel")).select(F.col("digest").alias(by), named("keep_id").alias(key)), "digests-won")
+    if index is None:
+        own.remove()
     marked = docs.withColumns({by: digest(F.col(text)), key: named(doc_id)})
     once = Window.partitionBy(by, key).orderBy(F.lit(0))
     return marked.hint("merge").join(won, [by, key], "left_semi").withColumn(tag, F.row_number().over(once)).where(F.col(tag) == 1).select(*names)

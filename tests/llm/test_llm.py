@@ -83,6 +83,27 @@ def test_exact_index_takes_batches(spark, edge, corpus):
     index.remove()
 
 
+def test_exact_dedup_reruns(spark, edge, corpus):
+    """The same batch three times brings the same rows; so do A, B, A and B again, and of each text one copy stays."""
+    for name in (None, "a"):
+        index = exact_dedup.DigestIndex(spark, buckets=4)
+        one = corpus.where("doc_id % 3 <> 0").select("doc_id", "text")
+        two = corpus.where("doc_id % 2 = 0").select("doc_id", "text")
+        kept = lambda df, n: sorted(r.doc_id for r in exact_dedup.deduplicate(df, index=index, batch=n).collect())
+        first = kept(one, name)
+        assert first and kept(one, name) == first == kept(one.repartition(3), name)
+        second = kept(two, name and "b")
+        assert second and kept(one, name) == first and kept(two, name and "b") == second
+        texts = {r.doc_id: lower(r.text) for r in corpus.collect()}
+        both = [texts[i] for i in first + second]
+        want = {lower(r.text) for df in (one, two) for r in df.collect()}
+        assert len(both) == len(set(both)) and set(both) == want
+        assert sorted(index.numbers().values()) == [1, 2]
+        index.remove()
+    with pytest.raises(ValueError, match="name"):
+        exact_dedup.DigestIndex(spark, buckets=4).append(edge.select("doc_id", exact_dedup.digest(F.col("text")).alias("digest")), "a b")
+
+
 def test_exact_index_persists(spark, edge):
     index = exact_dedup.DigestIndex(spark, buckets=4)
     rows = edge.select("doc_id", exact_dedup.digest(F.col("text")).alias("digest"))
