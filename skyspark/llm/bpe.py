@@ -20,7 +20,7 @@ the labels of the arcs, as this tokenizer file (it names no decoder) joins them:
 
 Defined results: a null text is empty and has no tokens; special tokens in a text are themselves
 (the library's default); characters outside Unicode scalar values don't occur in Spark strings;
-extra columns are ignored. Unicode classes are those of the installed ``regex``.
+extra columns are ignored; a file that normalises or splits otherwise is refused. Unicode classes and small letters are the library's, on every code point.
 """
 
 from __future__ import annotations
@@ -41,6 +41,37 @@ from pyspark.sql import functions as F
 from skyspark.llm import common as C
 
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
+#: What the tokenizer file must say of normalisation and splitting, as that is written out here.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+#: Ranges of characters that the installed ``regex`` knows as letters or numbers and the tokenizers library, whose tables are older, does not.
+UNKNOWN = """0558 058B-058C 088F 0C5C 0CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7 10ED9-10EEE 11B0A 11DB0-11DDB
+11DE0-11DE9 11DF1 1246F 12475-1247F 12550-12686 16EA0-16EB8 16EBB-16ED3 16FF2-16FF6 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128 1B168
+1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F"""
+#: Ranges of capitals that the library lower-cases and Python does not, with their first small letter.
+CAPITALS = "1C89:1C8A A7CB:0264 A7CC:A7CD A7CE:A7CF A7D2:A7D3 A7D4:A7D5 A7DA:A7DB A7DC:019B 10D50-10D65:10D70 16EA0-16EB8:16EBB"
+
+
+def _ranges(text: str) -> list[tuple[int, int]]:
+    return [(int(a, 16), int(b or a, 16)) for a, _, b in (r.partition("-") for r in text.split())]
+
+
+def _class(ranges: list[tuple[int, int]]) -> str:
+    return "".join(f"\\U{a:08X}-\\U{b:08X}" for a, b in ranges)
+
+
+_CAPITALS = [(*_ranges(a)[0], int(b, 16)) for a, _, b in (r.partition(":") for r in CAPITALS.split())]
+SMALL = {a + k: chr(b + k) for a, end, b in _CAPITALS for k in range(end - a + 1)}
+_UNKNOWN = _class(_ranges(UNKNOWN))
+RARE = regex.compile(f"[{_UNKNOWN}{_class([(a, b) for a, b, _ in _CAPITALS])}]")
+#: SPLIT for texts that hold such characters.
+RARE_SPLIT = regex.compile(rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}--[{_UNKNOWN}]]+|[\p{{N}}--[{_UNKNOWN}]]|(?:[^\p{{White_Space}}\p{{L}}\p{{N}}]|[{_UNKNOWN}])+")
 #: Words that a Python worker remembers at most.
 WORDS = 200_000
 #: Labels of a page of the table.
@@ -214,6 +245,8 @@ class Tokenizer:
 
     def __init__(self, spec: str):
         given = json.loads(spec)
+        if given.get("normalizer") != NORMALIZER or given.get("pre_tokenizer") != PRE_TOKENIZER:
+            raise ValueError("this tokenizer file normalises or splits texts otherwise than is written out here")
         model = given["model"]
         self.automaton = Automaton(model["vocab"], model["merges"], model["end_of_word_suffix"])
         self.words = Words(self.automaton)
@@ -223,20 +256,28 @@ class Tokenizer:
         self.at = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.split = regex.compile(SPLIT)
 
-    def normal(self, text: str) -> str:
+    def parts(self, text: str) -> list[str]:
+        """The words of a text, normalised."""
         text = unicodedata.normalize("NFC", text)
-        # str.lower() looks at a final sigma's neighbours; the file's normaliser takes single characters.
-        return text.lower() if "Σ" not in text else "".join([c.lower() for c in text])
+        split = self.split
+        try:
+            text.encode("latin-1")  # a copy of its bytes where it holds no character beyond; such texts have nothing rare
+        except UnicodeEncodeError:
+            if RARE.search(text):
+                text, split = text.translate(SMALL), RARE_SPLIT
+            if "Σ" in text:  # str.lower() looks at a final sigma's neighbours; the file's normaliser takes single characters
+                return split.findall("".join([c.lower() for c in text]))
+        return split.findall(text.lower())
 
     def encode(self, text: str | None) -> list[int]:
         if not text:
             return []
         look = self.words.__getitem__
         if not any(map(text.__contains__, self.special)):
-            return list(chain.from_iterable(map(look, self.split.findall(self.normal(text)))))
+            return list(chain.from_iterable(map(look, self.parts(text))))
         out = []
         for k, part in enumerate(self.at.split(text)):
-            out += [self.special[part]] if k % 2 else chain.from_iterable(map(look, self.split.findall(self.normal(part))))
+            out += [self.special[part]] if k % 2 else chain.from_iterable(map(look, self.parts(part)))
         return out
 
     def decode(self, ids: list[int]) -> str:

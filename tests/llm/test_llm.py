@@ -250,6 +250,26 @@ def test_bpe_equals_library(spark, corpus, edge, empty):
     assert bpe.round_trip(empty, path).count() == 0
 
 
+def test_bpe_every_code_point():
+    """Every character by itself, beside a letter and doubled, is what the library makes of it; other files are refused."""
+    import json
+
+    tokenizers = pytest.importorskip("tokenizers")
+    path = bpe.default_path()
+    lib = tokenizers.Tokenizer.from_file(path)
+    with open(path, encoding="utf-8") as f:
+        spec = f.read()
+    t = bpe.tokenizer(spec)
+    points = [i for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    texts = [" ".join(f"a{chr(i)}b {chr(i)}{chr(i)}1" for i in points[at : at + 64]) for at in range(0, len(points), 64)]
+    for at in range(0, len(texts), 1000):
+        some = texts[at : at + 1000]
+        assert [t.encode(x) for x in some] == [e.ids for e in lib.encode_batch(some, add_special_tokens=False)]
+    for k in ("normalizer", "pre_tokenizer"):
+        with pytest.raises(ValueError, match="otherwise"):
+            bpe.Tokenizer(json.dumps(json.loads(spec) | {k: None}))
+
+
 def test_bpe_long_words():
     """Words of any length are read once: equal to the library, and 5 MB in seconds."""
     import time
