@@ -104,34 +104,44 @@ def load_field(spark: SparkSession, root: str, gaia: str, telescope: Telescope =
 
 
 def save_inputs(path: str, field: dict[str, DataFrame]) -> None:
-    """A checkpoint of a fit's inputs; its status is written last."""
+    """A checkpoint of a fit's inputs, in the folder ``inputs`` of path; its status is written last."""
+    spark, at = field["stars"].sparkSession, f"{path}/inputs"
+    sinks.clear_status(spark, at)
     observed = field["stars"].join(field["detections"], "source_id", "left_semi")
     for name, df in (field | {"stars": observed}).items():
-        sinks.write_result(df, f"{path}/{name}", ["image_name"] if name == "detections" else None)
-    sinks.write_status(field["stars"].sparkSession, path, {"status": "inputs"})
+        sinks.write_result(df, f"{at}/{name}", ["image_name"] if name == "detections" else None)
+    sinks.write_status(spark, at, {"status": "inputs"})
+
+
+def _whole(spark: SparkSession, at: str, kind: str) -> dict:
+    """The status of a checkpoint that was written whole, and is of that kind."""
+    status = sinks.status_of(spark, at)
+    if status is None or status.get("status") != kind:
+        raise FileNotFoundError(f"no whole {kind} at {at}")
+    return status
 
 
 def load_inputs(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """The inputs of a checkpoint that was written whole."""
-    if sinks.status_of(spark, path) is None:
-        raise FileNotFoundError(f"no whole checkpoint at {path}")
-    return {name: spark.read.parquet(f"{path}/{name}") for name in ("stars", "images", "detections")}
+    _whole(spark, f"{path}/inputs", "inputs")
+    return {name: spark.read.parquet(f"{path}/inputs/{name}") for name in ("stars", "images", "detections")}
 
 
 def save_results(path: str, spark: SparkSession, solution: Alignment, stars: DataFrame) -> None:
-    """A solution: its images with their terms, the blocks of their covariance (row by row), and the stars' posteriors."""
+    """A solution, in the folder ``results`` of path: its images with their terms, the blocks of their covariance (row by row), and the stars' posteriors."""
+    at = f"{path}/results"
+    sinks.clear_status(spark, at)
     rows = [(int(solution.images[i]), int(solution.images[j]), [float(v) for v in x.ravel()]) for (i, j), x in solution.blocks.held.items()]
-    sinks.write_result(spark.createDataFrame([(int(i), [float(x) for x in solution.r[i]]) for i in solution.images], "image_id long, r array<double>"), f"{path}/images")
-    sinks.write_result(spark.createDataFrame(rows, "i long, j long, block array<double>"), f"{path}/covariance")
-    sinks.write_result(stars, f"{path}/posteriors")
-    sinks.write_status(spark, path, {"status": "results", "steps": solution.steps, "converged": solution.converged})
+    sinks.write_result(spark.createDataFrame([(int(i), [float(x) for x in solution.r[i]]) for i in solution.images], "image_id long, r array<double>"), f"{at}/images")
+    sinks.write_result(spark.createDataFrame(rows, "i long, j long, block array<double>"), f"{at}/covariance")
+    sinks.write_result(stars, f"{at}/posteriors")
+    sinks.write_status(spark, at, {"status": "results", "steps": solution.steps, "converged": solution.converged})
 
 
 def load_results(spark: SparkSession, path: str) -> tuple[Alignment, DataFrame]:
     """(solution, posteriors) as saved."""
-    status = sinks.status_of(spark, path)
-    if status is None:
-        raise FileNotFoundError(f"no whole results at {path}")
+    path = f"{path}/results"
+    status = _whole(spark, path, "results")
     r = {x.image_id: np.array(x.r) for x in spark.read.parquet(f"{path}/images").collect()}
     order = sorted(r)
     at, n = {i: k for k, i in enumerate(order)}, len(r[order[0]]) if order else N_R
@@ -144,12 +154,18 @@ def write_quality(df: DataFrame, path: str) -> None:
     sinks.write_result(df, path, ["image_name"])
 
 
-def write_catalogue(df: DataFrame, path: str, most: int = 1_000_000) -> str:
-    """A catalogue of numbers and flags as one FITS table at ``path`` + .fits if it has ``most`` rows at most, which the driver then holds; else, or with texts, as CSV files in ``path`` + .csv. Returns the path written."""
-    plain = all(t in ("tinyint", "smallint", "int", "bigint", "float", "double", "boolean") for _, t in df.dtypes)
-    if plain and df.limit(most + 1).count() <= most:
-        rows = df.select(*[F.col(c).cast({"boolean": "boolean", "float": "double", "double": "double"}.get(t, "long")).alias(c) for c, t in df.dtypes])
-        fits.write(f"{path}.fits", rows=rows.toPandas())
-        return f"{path}.fits"
-    df.write.mode("overwrite").option("header", "true").csv(f"{path}.csv")
-    return f"{path}.csv"
+def write_catalogue(df: DataFrame, path: str, form: str = "fits", most: int = 1_000_000) -> str:
+    """A catalogue in the form that is asked for. fits: one FITS table of numbers and flags at ``path`` + .fits; the driver holds it, so one of more than ``most`` rows is refused. csv: files in ``path`` + .csv, of any size. Returns the path written."""
+    if form == "csv":
+        df.write.mode("overwrite").option("header", "true").csv(f"{path}.csv")
+        return f"{path}.csv"
+    if form != "fits":
+        raise ValueError(f"a catalogue is written as fits or csv, not as {form!r}")
+    other = [c for c, t in df.dtypes if t not in ("tinyint", "smallint", "int", "bigint", "float", "double", "boolean")]
+    if other:
+        raise ValueError(f"a FITS catalogue has numbers and flags only, not {other}: write csv")
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"a FITS catalogue of more than {most} rows would not fit the driver: write csv")
+    rows = df.select(*[F.col(c).cast({"boolean": "boolean", "float": "double", "double": "double"}.get(t, "long")).alias(c) for c, t in df.dtypes])
+    fits.write(f"{path}.fits", rows=rows.toPandas())
+    return f"{path}.fits"

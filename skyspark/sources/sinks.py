@@ -1,4 +1,4 @@
-"""Writers of results. Data is written before its status, so a status always names whole data."""
+"""Writers of results. The old status goes before data is written and the new one comes after it, so a status always names whole data."""
 
 from __future__ import annotations
 
@@ -31,6 +31,12 @@ def write_status(spark: SparkSession, path: str, status: dict) -> None:
     spark.createDataFrame([(json.dumps(status),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}_status")
 
 
+def clear_status(spark: SparkSession, path: str) -> None:
+    """Takes a result's status away, before the result is written anew: what fails half way then has none."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}_status")
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def status_of(spark: SparkSession, path: str) -> dict | None:
     try:
         return json.loads(spark.read.text(f"{path}_status").first()[0])
@@ -44,6 +50,7 @@ def cached(spark: SparkSession, path: str, parameters: dict, build) -> DataFrame
     """The table at path if it was built with these parameters, else built, written and read again."""
     want = parameters_hash(parameters)
     if (status_of(spark, path) or {}).get("parameters") != want:
+        clear_status(spark, path)
         write_result(build(), path)
         write_status(spark, path, {"status": "success", "parameters": want})
     return spark.read.parquet(path)

@@ -264,7 +264,15 @@ def test_field_round_trip(spark, tmp_path, telescope):
     assert np.allclose(back.cov, one.cov) and (back.r[2] == one.r[2]).all() and back.converged and posteriors.count() == again["stars"].count()
     path = field.write_catalogue(f["detections"].select("source_id", "x", "use_for_fit"), str(tmp_path / "cat"))
     assert path.endswith(".fits") and fits_files.read_table(spark, path, "source_id long, x double").agg(F.max("source_id")).first()[0] == int(det.source_id.max())
-    assert field.write_catalogue(f["images"], str(tmp_path / "text")).endswith(".csv")
+    assert field.write_catalogue(f["images"], str(tmp_path / "text"), "csv").endswith(".csv")
+    with pytest.raises(ValueError, match="write csv"):
+        field.write_catalogue(f["images"], str(tmp_path / "text"))
+    with pytest.raises(ValueError, match="more than 1 rows"):
+        field.write_catalogue(f["detections"].select("x"), str(tmp_path / "large"), most=1)
+    field.save_results(str(tmp_path / "saved"), spark, one, again["stars"].select("source_id"))  # beside the inputs
+    assert field.load_inputs(spark, str(tmp_path / "saved"))["images"].columns == again["images"].columns
+    with pytest.raises(FileNotFoundError):
+        field.load_results(spark, str(tmp_path / "none"))
 
 
 def test_psf_grid_and_library(spark, tmp_path):
