@@ -20,6 +20,8 @@ rows are interchangeable; the one document at a source's cut is taken in part.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -75,9 +77,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit: int = 3, s
 
 def repeated(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents: each row as often as it is taken. The document at a source's cut stays whole."""
-    key = options.get("doc_id", "doc_id")
-    once = mix(docs, **options).where("taken > 0").groupBy("doc_id").agg(F.max(F.expr("(taken + size - 1) div size")).alias("__copies")).withColumnRenamed("doc_id", "__id")
-    return docs.join(once, F.col(key).eqNullSafe(F.col("__id"))).withColumn("__copy", F.explode(F.expr("sequence(1, __copies)"))).select(*docs.columns)
+    key, tag = options.get("doc_id", "doc_id"), uuid.uuid4().hex
+    own, copies = f"id_{tag}", f"copies_{tag}"
+    once = mix(docs, **options).where("taken > 0").groupBy(F.col("doc_id").alias(own)).agg(F.max(F.expr("(taken + size - 1) div size")).alias(copies))
+    return docs.join(once, F.col(key).eqNullSafe(F.col(own))).withColumn(tag, F.explode(F.expr(f"sequence(1, {copies})"))).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
