@@ -192,7 +192,7 @@ def align_phased(rows: DataFrame, star_priors: DataFrame, kinds: DataFrame, rule
     """Rounds of solving and judging, until a round changes nothing. kinds: star, has_pm, anchored (its detections may move images from the start) of every star.
 
     In a round the images are solved with the detections in use; stars are judged by their values (judged_stars), detections by their residuals (judged_detections); where neither changes a detection, the most influential go for
-    good (ratchet); then the callback has its turn. With prefilter the first round judges detections only, so that a star isn't blamed for one gross error. Flags of the last kind only grow and the others have a dead band, so rounds end; at least ``least_rounds`` are made."""
+    good (ratchet); then the callback has its turn. With prefilter the first round judges detections only, so that a star isn't blamed for one gross error, and the callback has no turn. Flags of the last kind only grow and the others have a dead band, so rounds end; at least ``least_rounds`` are made."""
     held, key = Rounds(rows.sparkSession), ["star", "image"]
     rows = held.keep(rows, "rows")
     stars = held.keep(kinds.select("star", "has_pm", "anchored").withColumn("ok", F.lit(True)), "stars")
@@ -212,7 +212,7 @@ def align_phased(rows: DataFrame, star_priors: DataFrame, kinds: DataFrame, rule
             changed = after.where("out").count() != new.where("out").count()
             new = after
         state.marks = held.keep(new.select(*plain), "marks")
-        if callback is not None:
+        if callback is not None and (state.round > 1 or not prefilter):  # the first solution still holds gross errors
             before = state.marks
             callback(state)
             changed = changed or state.marks is not before

@@ -218,12 +218,13 @@ def test_phased_equals_dense(spark):
     det["y"] += np.where(gross, far * np.sin(turn), 0)
     kinds = pd.DataFrame({"star": np.arange(n_star), "has_pm": np.arange(n_star) % 5 != 0, "anchored": np.arange(n_star) >= 8})
     rows, prior, rules = solver.geometry(spark.createDataFrame(det), stars, images), solver.priors(stars), phases.Rules()
-    state = phases.align_phased(rows, prior, spark.createDataFrame(kinds), rules, callback=phases.LaterStars(enable=2))
+    state = phases.align_phased(rows, prior, spark.createDataFrame(kinds), rules, callback=phases.LaterStars(enable=3), least_rounds=3)
     got = state.marks.toPandas().sort_values(["star", "image"])
     seq = Dense(rows.toPandas().sort_values(["star", "image"]), prior.toPandas(), kinds, rules)
     for k in range(1, state.round + 1):
         seq.round(k == 1)
-        seq.later(k, 2, 5.0)
+        if k > 1:
+            seq.later(k, 3, 5.0)
     assert np.array_equal(got.used, seq.used) and np.array_equal(got.measured, seq.measured) and np.array_equal(got.out, seq.out) and np.array_equal(got.soft, seq.soft)
     assert np.allclose([state.solution.r[i] for i in range(n_image)], seq.r, atol=2e-5)
     bad = gross[np.lexsort((det.image_id, det.source_id))]
