@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from skyspark.operators import association, spatial
+from skyspark.functions import sky as S
+from skyspark.operators import association, masterlist, rounds, spatial
 from skyspark.plans.adapters import oracle, view
 from skyspark.plans.scalar import r
+from skyspark.plans.tables import rounded
 
 QUERIES, ORACLE = {}, {}
 
@@ -36,6 +40,28 @@ def source_association(matched, stars, images):
     return out.join(d.select("filter", "image", "det", "mag", "sigma"), ["filter", "image", "det"]).groupBy("filter", "first_image", "first_det").agg(F.count("*").alias("n_detect"), r(F.sum(F.col("mag") / F.col("sigma") / F.col("sigma")) / F.sum(1 / F.col("sigma") / F.col("sigma"))).alias("mag_wmean"))
 
 
+@query("matched", "stars", "images")
+def master_list(matched, stars, images):
+    """Master list of each filter that grows in two runs, of the earlier images and of the later ones; tested against a sequential version over the whole table."""
+    spark, c = matched.sparkSession, F.col
+    d = master_input(matched, stars, images)
+    master = masterlist.Master(spark, f"{rounds.shared_folder(spark)}/master-{uuid.uuid4().hex}", {"filter": "string"}, 60_000.0, 1_000.0, MASTER_RULES)
+    master.grow(d.where(c("epoch") < 2010))
+    master.grow(d.where(c("epoch") >= 2010))
+    return rounded(master.sources().select("filter", "first_order", "first_det", "n_detect", "star", "x", "y", "mag", "epoch"))
+
+
+MASTER_RULES = masterlist.Rules(motion=1.0)
+
+
+def master_input(matched, stars, images):
+    """Detections as the master list takes them: images in order of their epochs."""
+    c = F.col
+    d = positions(matched, stars, images).join(matched.select(c("image_id").alias("image"), c("catalog_index").alias("det"), "mag_err", "is_star"), ["image", "det"])
+    year = S.mjd_to_year(c("image_order"))
+    return d.select("filter", (c("image_order").cast("long") * 1_000_000_000 + c("image")).alias("image_order"), "det", "x", "y", c("sigma").alias("sigma_x"), c("sigma").alias("sigma_y"), "mag", "mag_err", year.alias("epoch"), c("is_star").alias("star"))
+
+
 @query("detections", sql="""WITH a AS (SELECT image_id, catalog_index AS a, x AS ax, y AS ay, 20 + 100*mag_err AS sa, mag AS ma, mag_err AS sma FROM detections WHERE qfit <= 0.5), b AS (SELECT image_id, catalog_index AS b, x AS bx, y AS by_, 100*mag_err AS sb, mag AS mb, mag_err AS smb FROM detections WHERE qfit > 0.5),
 p AS (SELECT *, sqrt((bx-ax)*(bx-ax) + (by_-ay)*(by_-ay)) AS d FROM a JOIN b USING (image_id) WHERE (bx-ax)*(bx-ax) + (by_-ay)*(by_-ay) <= 22500.0), k AS (SELECT *, row_number() OVER (PARTITION BY image_id, a ORDER BY d, b) AS k FROM p)
 SELECT image_id, a, b, round(d, 6) AS distance FROM k WHERE k <= 5 AND d <= 3*sqrt(sa*sa + sb*sb + 100) AND abs(ma - mb) <= 3*sqrt(sma*sma + smb*smb + 0.01e0)""")
