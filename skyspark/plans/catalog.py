@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyspark.plans import comparisons, floors, instruments, matches, photometry, pixels, scalar, solving, sources, tables
+from skyspark.plans import comparisons, fields, floors, instruments, matches, photometry, pixels, scalar, solving, sources, tables
 
-MODULES = (scalar, instruments, tables, comparisons, matches, photometry, floors, pixels, solving, sources)
+MODULES = (scalar, instruments, tables, comparisons, matches, photometry, floors, fields, pixels, solving, sources)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
