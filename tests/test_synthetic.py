@@ -35,7 +35,7 @@ def test_modes(spark, sf):
 def test_linear_truth(spark):
     rng = np.random.default_rng(2)
     x, y = rng.uniform(0, 4096, (2, 50))
-    rows = [(k, float(a), float(b), (1 + k * 1e-3) * (a - 2048) + 0.02 * (b - 2048) + 7, -0.01 * (a - 2048) + 0.99 * (b - 2048) - k) for k in range(3) for a, b in zip(x, y, strict=True)]
+    rows = [(k, float(a), float(b), (1 + k * 1e-3) * (a - 2048) + 0.02 * (b - 2048) + 7, -0.01 * (a - 2048) + 0.99 * (b - 2048) - k) for k in range(3) for a, b in zip(x.tolist(), y.tolist(), strict=True)]
     rows += [(9, float(k), 2.0 * k, 1.0, 1.0) for k in range(5)]  # in a line
     got = {r["image"]: r for r in synthetic.linear_truth(spark.createDataFrame(rows, "image int, x double, y double, u double, v double"), "image", "x", "y", "u", "v").collect()}
     for k in range(3):
