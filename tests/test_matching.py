@@ -334,3 +334,22 @@ def test_queries_equal_their_sql(spark, sf):
         if key != sorted(df.columns) or sorted(map(repr, script.rows_of(got, key))) != sorted(map(repr, script.rows_of(want, key))):
             bad.append(name)
     assert not bad and len(plans.oracle_sql()) >= 100
+
+
+def test_discovery_takes_all_stars_in_a_crowded_field():
+    rng, n, k = np.random.default_rng(5), 3000, 60
+    x, y, mag = rng.uniform(100, 3900, n), rng.uniform(100, 3900, n), rng.uniform(16, 22, n)
+    cov = lambda m: np.tile([1e-4, 0.0, 1e-4], (m, 1))
+    star = imagematch.Points(x, y, mag, cov(n), np.full(n, 1e-2), None, np.ones(n, bool))
+    at = slice(n - k, n)  # the image's stars come after more than a thousand others that are measured as well
+    det = imagematch.Points(x[at] + 12.0, y[at] - 9.0, mag[at], cov(k), np.full(k, 0.05), np.ones(k), np.ones(k, bool))
+    t, _, i, j, *_ = imagematch.match(det, star, imagematch.Options())
+    assert len(i) == k and (j == i + n - k).all() and abs(t.ratio - 1) < 1e-6
+
+
+def test_offset_histogram_in_parts(monkeypatch):
+    rng = np.random.default_rng(6)
+    ax, ay = rng.uniform(0, 500, (2, 300))
+    whole = imagematch.peak_offset(ax, ay, ax + 7.3, ay - 4.1, 40.0, 1.0, (0.0, 0.01))
+    monkeypatch.setattr(imagematch, "PAIRS", 1000)
+    assert imagematch.peak_offset(ax, ay, ax + 7.3, ay - 4.1, 40.0, 1.0, (0.0, 0.01)) == whole and whole[3] >= 300
