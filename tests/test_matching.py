@@ -353,3 +353,20 @@ def test_offset_histogram_in_parts(monkeypatch):
     whole = imagematch.peak_offset(ax, ay, ax + 7.3, ay - 4.1, 40.0, 1.0, (0.0, 0.01))
     monkeypatch.setattr(imagematch, "PAIRS", 1000)
     assert imagematch.peak_offset(ax, ay, ax + 7.3, ay - 4.1, 40.0, 1.0, (0.0, 0.01)) == whole and whole[3] >= 300
+
+
+def test_near_predicted_equals_every_star_in_every_image(spark):
+    """Against all stars in all images, with stars of a hundred cells' motion, at rest, without motions, and out of a footprint; and no row is made of a star and an image alone."""
+    rng, n = np.random.default_rng(8), 60
+    pm = np.where(np.arange(n) % 3 == 0, 0.0, rng.uniform(-900, 900, n))
+    star = pd.DataFrame({"star": np.arange(n), "x": rng.uniform(-4000, 4000, n), "y": rng.uniform(-4000, 4000, n), "pm_x": pm, "pm_y": rng.permutation(pm)})
+    star.loc[5, "pm_x"] = np.nan
+    image = pd.DataFrame({"image": range(5), "dt": [-6.0, -1.5, 0.0, 3.25, 7.0], "x_low": -3500.0, "x_high": 3000.0, "y_low": -9000.0, "y_high": 9000.0})
+    rows = [(int(i), int(200 * i + k), a, b) for i in range(5) for k, (a, b) in enumerate(rng.uniform(-6000, 6000, (200, 2)))]
+    det = pd.DataFrame(rows, columns=["image", "det", "x", "y"])
+    far = star.merge(image, how="cross").merge(det, on="image", suffixes=("", "_d"))
+    far["distance"] = np.hypot(far.x_d - far.x - far.pm_x * far.dt, far.y_d - far.y - far.pm_y * far.dt)
+    far = far[(far.distance <= 300) & far.x.between(far.x_low, far.x_high)]
+    out = association.near_predicted(*[spark.createDataFrame(t) for t in (star, image, det)], 300.0)
+    got = sorted((r.image, r.star, r.det, round(r.distance, 6)) for r in out.collect())
+    assert len(got) > 50 and got == sorted((r.image, r.star, r.det, round(r.distance, 6)) for r in far.itertuples())
