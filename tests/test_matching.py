@@ -370,3 +370,17 @@ def test_near_predicted_equals_every_star_in_every_image(spark):
     out = association.near_predicted(*[spark.createDataFrame(t) for t in (star, image, det)], 300.0)
     got = sorted((r.image, r.star, r.det, round(r.distance, 6)) for r in out.collect())
     assert len(got) > 50 and got == sorted((r.image, r.star, r.det, round(r.distance, 6)) for r in far.itertuples())
+
+
+def test_second_pass_of_moving_stars(spark):
+    """The same pairs as from a row per star and image."""
+    rng, n = np.random.default_rng(9), 80
+    star = pd.DataFrame({"star": np.arange(n), "x": rng.uniform(0, 4000, n), "y": rng.uniform(0, 4000, n), "pm_x": rng.normal(0, 200, n), "pm_y": rng.normal(0, 200, n), "sx": 20.0, "sy": 30.0, "spm_x": 5.0, "spm_y": 4.0, "m": rng.uniform(18, 19, n), "sm": 0.1})
+    image = pd.DataFrame({"image": range(4), "dt": [-5.0, 0.0, 2.0, 9.0], "x_low": 0.0, "x_high": 3500.0, "y_low": -1e5, "y_high": 1e5})
+    det = pd.DataFrame([(i, 300 * i + k, *p) for i in range(4) for k, p in enumerate(rng.uniform((-500, -500, 18), (4500, 4500, 19), (300, 3)))], columns=["image", "det", "x", "y", "mag"]).assign(smag=0.1)
+    s, i, d = (spark.createDataFrame(t) for t in (star, image, det))
+    zp = i.select("image", F.lit(0.05).alias("zp"))
+    p = association.predicted(association.in_view(s, i)).drop("x", "y").withColumnsRenamed({"px": "x", "py": "y"})
+    rows = lambda t: sorted((r.image, r.star, r.det, round(r.score, 6)) for r in t.collect())
+    want = rows(association.second_pass(p, d, zp))
+    assert len(want) > 20 and rows(association.propagated_pass(s, i, d, zp)) == want
