@@ -384,3 +384,18 @@ def test_second_pass_of_moving_stars(spark):
     rows = lambda t: sorted((r.image, r.star, r.det, round(r.score, 6)) for r in t.collect())
     want = rows(association.second_pass(p, d, zp))
     assert len(want) > 20 and rows(association.propagated_pass(s, i, d, zp)) == want
+
+
+def test_zero_points_of_moving_stars(spark):
+    """The same medians as from a row per star and image; of two stars as near, the smaller id counts."""
+    rng, n = np.random.default_rng(10), 300
+    star = pd.DataFrame({"star": np.arange(n), "x": rng.uniform(0, 4000, n).round(-2), "y": rng.uniform(0, 4000, n).round(-2), "pm_x": 0.0, "pm_y": rng.normal(0, 50, n).round(-1), "m": rng.uniform(18, 19, n)})
+    image = pd.DataFrame({"image": range(3), "dt": [-5.0, 0.0, 10.0], "x_low": 0.0, "x_high": 3500.0, "y_low": -1e5, "y_high": 1e5})
+    det = pd.DataFrame([(i, k, *p) for i in range(3) for k, p in enumerate(rng.uniform((-500, -500, 18), (4500, 4500, 19), (300, 3)))], columns=["image", "det", "x", "y", "mag"]).round({"x": -2, "y": -2})
+    s, i, d = (spark.createDataFrame(t) for t in (star, image, det))
+    p = association.predicted(association.in_view(s, i), False).drop("x", "y").withColumnsRenamed({"px": "x", "py": "y"})
+    rows = lambda t: sorted((r.image, round(r.zp, 9)) for r in t.collect())
+    want = rows(association.rough_zero_points(p, d, 250.0))
+    assert all(z for _, z in want) and rows(association.propagated_zero_points(s, i, d, 250.0)) == want
+    plan = association.propagated_zero_points(s, i, d, 250.0)._jdf.queryExecution().toString()
+    assert "Window" not in plan
