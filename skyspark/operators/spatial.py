@@ -70,11 +70,20 @@ def offset_peaks(left: DataFrame, right: DataFrame, keys: tuple[str, ...], reach
 
 
 def footprint_counts(boxes: DataFrame, points: DataFrame, cell: float = 0.1) -> DataFrame:
-    """boxes: (id, ra_min, ra_max, dec_min, dec_max); points: (ra, dec). Points in each box, by a grid in degrees."""
-    span = lambda low, high: F.sequence(F.floor(F.col(low) / cell).cast("long"), F.floor(F.col(high) / cell).cast("long"))
-    b = boxes.withColumn("__cx", F.explode(span("ra_min", "ra_max"))).withColumn("__cy", F.explode(span("dec_min", "dec_max")))
-    p = points.select("ra", "dec", F.floor(F.col("ra") / cell).cast("long").alias("__cx"), F.floor(F.col("dec") / cell).cast("long").alias("__cy"))
-    inside = b.join(p, ["__cx", "__cy"]).where("ra BETWEEN ra_min AND ra_max AND dec BETWEEN dec_min AND dec_max").groupBy("id").agg(F.count("*").alias("n"))
+    """boxes: (id, ra_min, ra_max, dec_min, dec_max); points: (ra, dec). Points in each box, by a grid in degrees.
+
+    Boxes meet only cells between the points' outermost ones. A cell inside a box, not on its edge, adds its number of points; only on the edge are points compared."""
+    at = lambda c: F.floor(F.col(c) / cell).cast("long")
+    p = points.select("ra", "dec").where((F.abs("ra") < float("inf")) & (F.abs("dec") < float("inf"))).withColumns({"__cx": at("ra"), "__cy": at("dec")})
+    counts = p.groupBy("__cx", "__cy").agg(F.count("*").alias("n"))
+    ends = counts.agg(*[f(f"__c{k}").alias(f"__{k}{e}") for k in "xy" for e, f in ((0, F.min), (1, F.max))])
+    b = boxes.withColumns({"__l": at("ra_min"), "__r": at("ra_max"), "__b": at("dec_min"), "__t": at("dec_max")}).crossJoin(F.broadcast(ends))
+    b = b.where("ra_min <= ra_max AND dec_min <= dec_max AND __l <= __x1 AND __r >= __x0 AND __b <= __y1 AND __t >= __y0")
+    b = b.withColumn("__cx", F.explode(F.expr("sequence(greatest(__l, __x0), least(__r, __x1))"))).withColumn("__cy", F.explode(F.expr("sequence(greatest(__b, __y0), least(__t, __y1))")))
+    inner = F.expr("__cx > __l AND __cx < __r AND __cy > __b AND __cy < __t")
+    whole = b.where(inner).join(counts, ["__cx", "__cy"]).select("id", "n")
+    part = b.where(~inner).join(p, ["__cx", "__cy"]).where("ra BETWEEN ra_min AND ra_max AND dec BETWEEN dec_min AND dec_max").groupBy("id").agg(F.count("*").alias("n"))
+    inside = whole.unionByName(part).groupBy("id").agg(F.sum("n").alias("n"))
     return boxes.select("id").join(inside, "id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 

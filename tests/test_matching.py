@@ -399,3 +399,16 @@ def test_zero_points_of_moving_stars(spark):
     assert all(z for _, z in want) and rows(association.propagated_zero_points(s, i, d, 250.0)) == want
     plan = association.propagated_zero_points(s, i, d, 250.0)._jdf.queryExecution().toString()
     assert "Window" not in plan
+
+
+def test_footprint_counts_of_boxes_far_beyond_the_points(spark):
+    from skyspark.operators import spatial
+
+    rng = np.random.default_rng(11)
+    points = pd.DataFrame(rng.uniform(0, 1, (500, 2)).round(2), columns=["ra", "dec"])
+    low, high = rng.uniform(-1, 1, (40, 2)).round(1), rng.uniform(0, 2, (40, 2)).round(1)
+    low[0], high[0], low[1], high[1] = -1e12, 1e12, 5, 9
+    boxes = pd.DataFrame({"id": range(40), "ra_min": low[:, 0], "ra_max": high[:, 0], "dec_min": low[:, 1], "dec_max": high[:, 1]})
+    want = {b.id: int((points.ra.between(b.ra_min, b.ra_max) & points.dec.between(b.dec_min, b.dec_max)).sum()) for b in boxes.itertuples()}
+    got = {r.id: r.n for r in spatial.footprint_counts(spark.createDataFrame(boxes), spark.createDataFrame(points), 0.1).collect()}
+    assert got == want and got[0] == 500 and got[1] == 0
