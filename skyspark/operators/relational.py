@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skyspark.operators.rounds import Rounds
+
 
 def conform(df: DataFrame, schema) -> DataFrame:
     """df with exactly the columns of a schema: names matched without case, missing ones null, NaN and infinities null in doubles."""
@@ -109,12 +111,19 @@ def master_sources(sources: DataFrame, most_per_image: int = 1000, least: int =
     these with the smallest sigma keep their detections. Then sources claim detections in order: with a star first, more detections first, smaller sigma first, src; the first claim counts. Without a star a source
     needs ``least`` detections after either step. Ids -1, -2, ... are given in the order of claims."""
     d = sources.select("src", "gaia_id", "sigma", "n_detect", F.explode("detections").alias("d")).select("src", "gaia_id", "sigma", "n_detect", "d.sub_name", "d.catalog_index")
+    return master_claims(d, most_per_image, least)
+
+
+def master_claims(rows: DataFrame, most_per_image: int = 1000, least: int = 2) -> DataFrame:
+    """master_sources() of a row per source and detection: src, gaia_id, sigma, n_detect, sub_name, catalog_index, so that no source's detections need fit in one row."""
+    held = Rounds(rows.sparkSession)
+    d = held.keep(rows, "rows")
     free = F.col("gaia_id").isNull()
     ranked = d.where(free).select("sub_name", "src", "sigma").distinct()
     kept = top_per_group(ranked, ["sub_name"], [F.col("sigma").asc_nulls_last(), F.col("src")], most_per_image).select("sub_name", "src")
     capped = d.where(free).join(kept, ["sub_name", "src"], "left_semi")
     enough = lambda rows: rows.join(rows.groupBy("src").agg(F.count("*").alias("__n")).where(F.col("__n") >= least).select("src"), "src", "left_semi")
-    claims = d.where(~free).unionByName(enough(capped))
+    claims = held.keep(d.where(~free).unionByName(enough(capped)), "claims")
     order = [free.cast("int"), F.coalesce("n_detect", F.lit(0)).desc(), F.col("sigma").asc_nulls_last(), F.col("src")]
     owned = claims.withColumn("__r", F.row_number().over(Window.partitionBy("sub_name", "catalog_index").orderBy(*order))).where("__r = 1").drop("__r")
     ids = negative_ids(claims.where(free).select("src", "n_detect", "sigma").distinct(), [F.coalesce("n_detect", F.lit(0)).desc(), F.col("sigma").asc_nulls_last(), F.col("src")]).select("src", "hst_id")

@@ -132,6 +132,8 @@ SELECT coalesce(g, h) AS gaia_id, src, sub_name, c AS catalog_index FROM w LEFT
 def master_sources(matched, images):
     """Sources of a master list and the detections they own after caps and claims."""
     d = matched.join(images.select("image_id", "image_name"), "image_id").withColumn("src", F.col("source_id") % 500)
-    item = F.struct(F.col("image_name").alias("sub_name"), F.expr("catalog_index div 2").alias("catalog_index"))
-    s = d.groupBy("src").agg(F.min(F.when(F.col("source_id") % 3 == 0, F.col("source_id"))).alias("star"), F.min("mag_err").alias("sigma"), F.count("*").alias("n_detect"), F.array_distinct(F.collect_list(item)).alias("detections"))
-    return relational.master_sources(s.select("src", F.when(F.col("src") % 4 == 0, F.col("star")).alias("gaia_id"), "sigma", "n_detect", "detections"), 60, 2)
+    star = F.min(F.when(F.col("source_id") % 3 == 0, F.col("source_id")))
+    s = d.groupBy("src").agg(star.alias("star"), F.min("mag_err").alias("sigma"), F.count("*").alias("n_detect"))
+    items = d.select("src", F.col("image_name").alias("sub_name"), F.expr("catalog_index div 2").alias("catalog_index")).distinct()
+    rows = items.join(s, "src").select("src", F.when(F.col("src") % 4 == 0, F.col("star")).alias("gaia_id"), "sigma", "n_detect", "sub_name", "catalog_index")
+    return relational.master_claims(rows, 60, 2)

@@ -412,3 +412,15 @@ def test_footprint_counts_of_boxes_far_beyond_the_points(spark):
     want = {b.id: int((points.ra.between(b.ra_min, b.ra_max) & points.dec.between(b.dec_min, b.dec_max)).sum()) for b in boxes.itertuples()}
     got = {r.id: r.n for r in spatial.footprint_counts(spark.createDataFrame(boxes), spark.createDataFrame(points), 0.1).collect()}
     assert got == want and got[0] == 500 and got[1] == 0
+
+
+def test_master_claims_of_rows_equal_those_of_lists(spark):
+    from skyspark.operators import relational
+
+    rng = np.random.default_rng(12)
+    rows = pd.DataFrame({"src": rng.integers(0, 30, 600), "sub_name": rng.integers(0, 8, 600).astype(str), "catalog_index": rng.integers(0, 60, 600)}).drop_duplicates()
+    rows = rows.assign(gaia_id=rows.src.where(rows.src % 4 == 0).astype("Int64").astype(object).where(rows.src % 4 == 0, None), sigma=(rows.src % 7) / 10, n_detect=rows.src % 5)
+    d = spark.createDataFrame(rows[["src", "gaia_id", "sigma", "n_detect", "sub_name", "catalog_index"]].values.tolist(), "src long, gaia_id long, sigma double, n_detect long, sub_name string, catalog_index long")
+    lists = d.groupBy("src", "gaia_id", "sigma", "n_detect").agg(F.collect_list(F.struct("sub_name", "catalog_index")).alias("detections"))
+    want = sorted(map(tuple, relational.master_sources(lists, 5, 2).collect()))
+    assert len(want) > 100 and sorted(map(tuple, relational.master_claims(d, 5, 2).collect())) == want
