@@ -12,6 +12,7 @@ unique to an image; rows that repeat an (image_order, det) count once; detection
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -36,69 +37,109 @@ class Rules:
         self.motion, self.sigma, self.mag_sigma, self.floor, self.relaxed = motion, sigma, mag_sigma, floor, relaxed
 
 
-def near(ax: np.ndarray, ay: np.ndarray, bx: np.ndarray, by: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
-    """(i, j) of all points a[i], b[j] in neighbouring cells of size ``reach``."""
-    wide = np.int64(1) << 31
-    cell = lambda v: np.floor(v / reach).astype(np.int64)
-    key = cell(bx) * wide + cell(by)
-    order = np.argsort(key, kind="stable")
-    key, left, right = key[order], [], []
-    for step in (-1, 0, 1):
-        want = (cell(ax) + step) * wide + cell(ay)
-        low, high = np.searchsorted(key, want - 1, "left"), np.searchsorted(key, want + 1, "right")
-        n = high - low
-        left.append(np.repeat(np.arange(len(ax)), n))
-        right.append(order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - low, n)])
-    return np.concatenate(left), np.concatenate(right)
+class Grid:
+    """Sources by cell, in levels of their error: a detection meets those that lie within its reach, and what an image costs grows with its detections alone.
+
+    base: the error up to which sources are of level 0; each further level doubles it. drift: the largest motion that any pair is granted."""
+
+    def __init__(self, sigma: float, base: float, drift: float):
+        self.sigma, self.base, self.drift = sigma, base, drift
+        self.levels: dict[int, dict[tuple[int, int], list[int]]] = {}
+        self.at: list[tuple[int, tuple[int, int]]] = []
+
+    def put(self, j: int, x: float, y: float, error: float) -> None:
+        """Source j (at most one more than there are) lies at (x, y) now."""
+        level = 0 if error <= self.base else math.ceil(math.log2(error / self.base))
+        side = self.side(level)
+        place = level, (math.floor(x / side), math.floor(y / side))
+        if j < len(self.at):
+            if self.at[j] == place:
+                return
+            old, cell = self.at[j]
+            self.levels[old][cell].remove(j)
+            if not self.levels[old][cell]:
+                del self.levels[old][cell]
+            self.at[j] = place
+        else:
+            self.at.append(place)
+        self.levels.setdefault(level, {}).setdefault(place[1], []).append(j)
+
+    def side(self, level: int) -> float:
+        return self.reach(level, self.base)
+
+    def reach(self, level: int, error: float) -> float:
+        """No pair of a source of this level and a detection of this error is farther apart."""
+        return self.sigma * math.sqrt((self.base * 2.0**level) ** 2 + error * error + self.drift * self.drift) * (1 + 1e-9)
+
+    def around(self, x: float, y: float, error: float):
+        """All sources that a detection may reach, and some beyond."""
+        for level, cells in self.levels.items():
+            side, reach = self.side(level), self.reach(level, error)
+            low, high = math.floor((x - reach) / side), math.floor((x + reach) / side)
+            left, right = math.floor((y - reach) / side), math.floor((y + reach) / side)
+            if (high - low + 1) * (right - left + 1) > len(cells):
+                for (i, j), found in cells.items():
+                    if low <= i <= high and left <= j <= right:
+                        yield from found
+                continue
+            for i in range(low, high + 1):
+                for j in range(left, right + 1):
+                    yield from cells.get((i, j), ())
 
 
 def fold(state: dict[str, np.ndarray], det: dict[str, np.ndarray], rules: Rules) -> tuple[dict[str, np.ndarray], np.ndarray]:
     """(sources, the source's row of each detection): detections, sorted by image_order, joined to sources image after image.
 
     Stars first, then the others; in each pass the closest pairs win, ties to the source and detection named first. A source takes one detection an image; what is left opens sources."""
-    n, m = len(state["x"]), len(det["x"])
-    s = {k: np.concatenate([v, np.zeros(m, v.dtype)]) for k, v in state.items()}
-    own = np.full(m, -1, np.int64)
-    weight = {k: 1 / np.maximum(det[e], 1e-9) ** 2 for k, e in (("wx", "sigma_x"), ("wy", "sigma_y"), ("wm", "mag_err"))}
-    starts = np.flatnonzero(np.r_[True, det["image_order"][1:] != det["image_order"][:-1]]) if m else np.zeros(0, int)
-    for low, high in zip(starts, np.r_[starts[1:], m], strict=bool(m)):
-        busy = np.zeros(len(s["x"]), bool)
+    m = len(det["x"])
+    s, d = {k: v.tolist() for k, v in state.items()}, {k: v.tolist() for k, v in det.items()}
+    weight = {k: (1 / np.maximum(det[e], 1e-9) ** 2).tolist() for k, e in (("wx", "sigma_x"), ("wy", "sigma_y"), ("wm", "mag_err"))}
+    spread = np.sqrt((det["sigma_x"] ** 2 + det["sigma_y"] ** 2) / 2)
+    error, own, since = spread.tolist(), [-1] * m, np.concatenate([state["epoch"], det["epoch"]])
+    drift = rules.motion * float(since.max() - since.min()) if len(since) else 0.0
+    grid = Grid(rules.sigma, max(float(np.median(spread)) if m else 0.0, drift, 1e-6), drift)
+    width = [math.sqrt((1 / a + 1 / b) / 2) for a, b in zip(s["wx"], s["wy"], strict=True)]
+    for j, place in enumerate(zip(s["x"], s["y"], width, strict=True)):
+        grid.put(j, *place)
+    starts = np.flatnonzero(np.r_[True, det["image_order"][1:] != det["image_order"][:-1]]).tolist() if m else []
+    for low, high in zip(starts, [*starts[1:], m], strict=bool(m)):
+        busy, now = set(), d["epoch"][low]
         for star in (True, False):
-            rows = np.arange(low, high)[det["star"][low:high] == star]
-            free = np.flatnonzero(~busy[:n])
-            if len(rows) and len(free):
-                error = np.sqrt((1 / s["wx"][free] + 1 / s["wy"][free]) / 2), np.sqrt((det["sigma_x"][rows] ** 2 + det["sigma_y"][rows] ** 2) / 2)
-                moved = rules.motion * np.abs(s["epoch"][free] - det["epoch"][low])
-                reach = rules.sigma * np.sqrt(error[0].max() ** 2 + error[1].max() ** 2 + moved.max() ** 2)
-                i, j = near(det["x"][rows], det["y"][rows], s["x"][free], s["y"][free], max(reach, 1e-6))
-                gap = np.hypot(det["x"][rows[i]] - s["x"][free[j]], det["y"][rows[i]] - s["y"][free[j]])
-                apart = np.abs(det["mag"][rows[i]] - s["mag"][free[j]])
-                gate = rules.mag_sigma * (1.0 if star else rules.relaxed) * np.sqrt(1 / s["wm"][free[j]] + det["mag_err"][rows[i]] ** 2 + rules.floor**2)
-                ok = (gap < rules.sigma * np.sqrt(error[0][j] ** 2 + error[1][i] ** 2 + moved[j] ** 2)) & (apart < gate)
-                i, j, gap = rows[i[ok]], free[j[ok]], gap[ok]
-                for k in np.lexsort((det["det"][i], s["first_det"][j], s["first_order"][j], gap)):
-                    if own[i[k]] < 0 and not busy[j[k]]:
-                        own[i[k]], busy[j[k]] = j[k], True
-                d = rows[own[rows] >= 0]
-                at = own[d]
-                for value, w in (("epoch", "wx"), ("x", "wx"), ("y", "wy"), ("mag", "wm")):
-                    new = det[value][d]
-                    s[value][at] = (s[w][at] * s[value][at] + weight[w][d] * new) / (s[w][at] + weight[w][d])
-                for w in weight:
-                    s[w][at] += weight[w][d]
-                s["star"][at] |= star
-                s["n_detect"][at] += 1
-            d = rows[own[rows] < 0]
-            at = np.arange(n, n + len(d))
-            own[d], busy[at] = at, True
-            for k in ("x", "y", "mag", "epoch", "star"):
-                s[k][at] = det[k][d]
-            for w in weight:
-                s[w][at] = weight[w][d]
-            s["n_detect"][at], s["x0"][at], s["y0"][at] = 1, det["x"][d], det["y"][d]
-            s["first_order"][at], s["first_det"][at] = det["image_order"][d], det["det"][d]
-            n += len(d)
-    return {k: v[:n] for k, v in s.items()}, own
+            rows = [i for i in range(low, high) if d["star"][i] == star]
+            factor, pairs = rules.mag_sigma * (1.0 if star else rules.relaxed), []
+            for i in rows:
+                x, y, mag, e = d["x"][i], d["y"][i], d["mag"][i], error[i]
+                for j in grid.around(x, y, e):
+                    if j not in busy and abs(mag - s["mag"][j]) < factor * math.sqrt(1 / s["wm"][j] + d["mag_err"][i] ** 2 + rules.floor**2):
+                        gap, moved = math.hypot(x - s["x"][j], y - s["y"][j]), rules.motion * abs(s["epoch"][j] - now)
+                        if gap < rules.sigma * math.sqrt(width[j] ** 2 + e**2 + moved**2):
+                            pairs.append((gap, s["first_order"][j], s["first_det"][j], d["det"][i], i, j))
+            for *_, i, j in sorted(pairs):
+                if own[i] < 0 and j not in busy:
+                    own[i] = j
+                    busy.add(j)
+            for i in rows:
+                j = own[i]
+                if j < 0:
+                    own[i] = j = len(width)
+                    busy.add(j)
+                    for k in ("x", "y", "mag", "epoch", "star"):
+                        s[k].append(d[k][i])
+                    for k in weight:
+                        s[k].append(weight[k][i])
+                    for k, v in (("n_detect", 1), ("x0", d["x"][i]), ("y0", d["y"][i]), ("first_order", d["image_order"][i]), ("first_det", d["det"][i])):
+                        s[k].append(v)
+                    width.append(0.0)
+                else:
+                    for value, w in (("epoch", "wx"), ("x", "wx"), ("y", "wy"), ("mag", "wm")):
+                        s[value][j] = (s[w][j] * s[value][j] + weight[w][i] * d[value][i]) / (s[w][j] + weight[w][i])
+                    for w in weight:
+                        s[w][j] += weight[w][i]
+                    s["star"][j] |= star
+                    s["n_detect"][j] += 1
+                width[j] = math.sqrt((1 / s["wx"][j] + 1 / s["wy"][j]) / 2)
+                grid.put(j, s["x"][j], s["y"][j], width[j])
+    return {k: np.array(v, state[k].dtype) for k, v in s.items()}, np.array(own, np.int64)
 
 
 def _names(schema: str) -> list[str]:
@@ -148,11 +189,11 @@ class Master:
         both = self.sources().alias("a").join(n.alias("b"), same, "full")
         return both.where(~F.col("n").eqNullSafe(F.col("n_detect"))).count()
 
-    def _spread(self, df: DataFrame, x: str, y: str) -> DataFrame:
-        """Rows in every tile whose halo they lie in, at (x, y)."""
+    def _spread(self, df: DataFrame, *places: tuple[str, str]) -> DataFrame:
+        """Rows once in every tile whose halo they lie in, at any of the places (x, y)."""
         cell = lambda c, off: F.floor((F.col(c) + off) / self.tile).cast("long")
         steps = (-1, 0, 1)
-        return df.withColumn("__t", F.explode(F.array_distinct(F.array(*[F.struct(cell(x, i * self.halo).alias("i"), cell(y, j * self.halo).alias("j")) for i in steps for j in steps]))))
+        return df.withColumn("__t", F.explode(F.array_distinct(F.array(*[F.struct(cell(x, i * self.halo).alias("i"), cell(y, j * self.halo).alias("j")) for x, y in places for i in steps for j in steps]))))
 
     def grow(self, detections: DataFrame) -> None:
         """Brings new images in. detections: keys, image_order, det (long), x, y, sigma_x, sigma_y (mas), mag, mag_err, epoch (years), star (boolean); other columns aren't read."""
@@ -164,11 +205,11 @@ class Master:
         known = self.links().select(*keys, "image_order").distinct()
         new = given.alias("a").join(known.alias("b"), [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in (*keys, "image_order")], "left_anti")
         once = Window.partitionBy(*keys, "image_order", "det").orderBy(*NEEDS, "star")
-        new = self._spread(new.withColumn("__k", F.row_number().over(once)).where("__k = 1").drop("__k"), "x", "y")
+        new = self._spread(new.withColumn("__k", F.row_number().over(once)).where("__k = 1").drop("__k"), ("x", "y"))
         at = [*keys, "__i", "__j"]
         tiled = lambda df: df.withColumns({"__i": F.col("__t.i"), "__j": F.col("__t.j")}).drop("__t")
         # What a task needs of a source: it lies within the tile's halo, or began there.
-        det, old = tiled(new), tiled(self._spread(self.sources(), "x", "y")).unionByName(tiled(self._spread(self.sources(), "x0", "y0"))).distinct()
+        det, old = tiled(new), tiled(self._spread(self.sources(), ("x", "y"), ("x0", "y0")))
         touched = det.select(*at).distinct()
         old = old.alias("a").join(touched.alias("b"), [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in at], "left_semi")
         kinds = dict(c.split() for c in f"{STATE}, {LINK}".split(", ")) | {c: "double" for c in NEEDS}

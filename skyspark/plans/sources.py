@@ -29,7 +29,7 @@ def positions(matched, stars, images):
     """Detections in a sky frame, a few mas about their star."""
     jitter = lambda c: (F.col(c) - F.floor(c) - 0.05) * 100.0
     d = matched.join(stars.select("source_id", "ra", "dec"), "source_id").join(images.select("image_id", "filter", F.col("epoch_mjd").alias("image_order")), "image_id")
-    return d.select("filter", "image_order", F.col("image_id").alias("image"), F.col("catalog_index").alias("det"), "source_id", ((F.col("ra") - 150) * 3.6e6 + jitter("x")).alias("x"), ((F.col("dec") - 2) * 3.6e6 + jitter("y")).alias("y"), F.col("mag_err").alias("sigma"), "mag")
+    return d.select("filter", "image_order", F.col("image_id").alias("image"), F.col("catalog_index").alias("det"), "source_id", ((F.col("ra") - 150) * 3.6e6 + jitter("x")).alias("x"), ((F.col("dec") - 2) * 3.6e6 + jitter("y")).alias("y"), F.col("mag_err").alias("sigma"), "mag", "is_star")
 
 
 @query("matched", "stars", "images")
@@ -44,10 +44,12 @@ def source_association(matched, stars, images):
 def master_list(matched, stars, images):
     """Master list of each filter that grows in two runs, of the earlier images and of the later ones; tested against a sequential version over the whole table."""
     spark, c = matched.sparkSession, F.col
-    d = master_input(matched, stars, images)
+    held = rounds.Rounds(spark)
+    d = held.keep(master_input(matched, stars, images), "rows")  # both runs read them
     master = masterlist.Master(spark, f"{rounds.shared_folder(spark)}/master-{uuid.uuid4().hex}", {"filter": "string"}, 60_000.0, 1_000.0, MASTER_RULES)
     master.grow(d.where(c("epoch") < 2010))
     master.grow(d.where(c("epoch") >= 2010))
+    held.drop()
     return rounded(master.sources().select("filter", "first_order", "first_det", "n_detect", "star", "x", "y", "mag", "epoch"))
 
 
@@ -57,9 +59,9 @@ MASTER_RULES = masterlist.Rules(motion=1.0)
 def master_input(matched, stars, images):
     """Detections as the master list takes them: images in order of their epochs."""
     c = F.col
-    d = positions(matched, stars, images).join(matched.select(c("image_id").alias("image"), c("catalog_index").alias("det"), "mag_err", "is_star"), ["image", "det"])
+    d = positions(matched, stars, images)
     year = S.mjd_to_year(c("image_order"))
-    return d.select("filter", (c("image_order").cast("long") * 1_000_000_000 + c("image")).alias("image_order"), "det", "x", "y", c("sigma").alias("sigma_x"), c("sigma").alias("sigma_y"), "mag", "mag_err", year.alias("epoch"), c("is_star").alias("star"))
+    return d.select("filter", (c("image_order").cast("long") * 1_000_000_000 + c("image")).alias("image_order"), "det", "x", "y", c("sigma").alias("sigma_x"), c("sigma").alias("sigma_y"), "mag", c("sigma").alias("mag_err"), year.alias("epoch"), c("is_star").alias("star"))
 
 
 @query("detections", sql="""WITH a AS (SELECT image_id, catalog_index AS a, x AS ax, y AS ay, 20 + 100*mag_err AS sa, mag AS ma, mag_err AS sma FROM detections WHERE qfit <= 0.5), b AS (SELECT image_id, catalog_index AS b, x AS bx, y AS by_, 100*mag_err AS sb, mag AS mb, mag_err AS smb FROM detections WHERE qfit > 0.5),

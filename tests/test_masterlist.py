@@ -146,3 +146,24 @@ def test_query_is_the_sequential_list(spark, sf):
     assert got.keys() == sources.keys() and len(got) > 100
     for k, s in sources.items():
         assert got[k]["n_detect"] == s["n"] and [got[k][c] for c in ("x", "y", "mag")] == pytest.approx([s[c] for c in ("x", "y", "mag")], abs=1e-5)
+
+
+def test_an_image_meets_only_the_sources_near_it(monkeypatch):
+    """What an image costs must not grow with the sources of the tile; errors of any size are seen."""
+    rng = np.random.default_rng(2)
+    kinds = {"long": np.int64, "boolean": bool}
+    state = {c.split()[0]: np.zeros(0, kinds.get(c.split()[1], float)) for c in M.STATE.split(", ")}
+    n, images = 3000, 200
+    k = np.repeat(np.arange(images), n // images)
+    error = np.where(rng.random(n) < 0.02, 800.0, rng.uniform(0.5, 2, n))
+    x, y = rng.uniform(0, 20_000, n // 2), rng.uniform(0, 20_000, n // 2)
+    at = rng.integers(0, n // 2, n)
+    det = {"image_order": k, "det": np.arange(n), "x": x[at] + rng.normal(0, 1, n), "y": y[at] + rng.normal(0, 1, n), "sigma_x": error, "sigma_y": error, "mag": 16 + at % 50 * 0.1, "mag_err": np.full(n, 0.02), "epoch": 2000 + k * 0.05, "star": at % 3 > 0}
+    seen, around = [], M.Grid.around
+    monkeypatch.setattr(M.Grid, "around", lambda self, *a: [seen.append(j) or j for j in around(self, *a)])
+    s, own = M.fold(state, det, RULES)
+    assert len(seen) < 60 * n
+    df = pd.DataFrame({**det, "filter": "A"})
+    link, sources = sequential(df)
+    assert [(s["first_order"][j], s["first_det"][j]) for j in own] == [link["A", a, b] for a, b in zip(k, det["det"], strict=True)]
+    assert len(s["x"]) == len(sources) < n
