@@ -11,7 +11,9 @@ from skyspark.operators.rounds import Rounds
 
 
 def components(nodes: DataFrame, edges: DataFrame, rounds: int = 100) -> DataFrame:
-    """nodes (node), edges (a, b) in both directions: (node, component), the smallest node that can be reached. Labels spread along edges and jump to their label's label."""
+    """nodes (node), edges (a, b) in both directions: (node, component), the smallest node that can be reached. Labels spread along edges and jump to their label's label.
+
+    Each round reads the edges: give them as a written table, not as the plan that makes them."""
     held = Rounds(nodes.sparkSession)
     label = held.keep(nodes.select("node", F.col("node").alias("component")), "label")
     for _ in range(rounds):
@@ -31,9 +33,8 @@ def references(sizes: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def propagate_zero_points(labels: DataFrame, refs: DataFrame, edges: DataFrame, rounds: int = 1000) -> DataFrame:
-    """(node, zp, depth): zero points added along edges from each component's reference, level by level; of several parents at one level the smallest name counts."""
+    """(node, zp, depth): zero points added along edges from each component's reference, level by level; of several parents at one level the smallest name counts. Each level reads the edges, as in components()."""
     held = Rounds(edges.sparkSession)
-    edges = held.keep(edges.select("a", "b", "zp"), "edges")
     front = held.add(refs.select(F.col("reference").alias("node"), F.lit(0.0).alias("zp"), F.lit(0).alias("depth")), "done")
     for depth in range(1, rounds):
         reach = edges.join(front.select(F.col("node").alias("a"), F.col("zp").alias("base")), "a").join(held.all("done").select(F.col("node").alias("b")), "b", "left_anti")

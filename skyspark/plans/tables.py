@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from skyspark.operators import fits, graph, matching, relational, robust, spatial
+from skyspark.operators.rounds import Rounds
 from skyspark.plans.adapters import oracle, view
 from skyspark.plans.scalar import r
 
@@ -138,12 +139,12 @@ def pairwise_zp(matched):
 
 @query("matched", sql=f"WITH RECURSIVE {PAIRS}, reach(node, nd) AS (SELECT DISTINCT a, a FROM e UNION SELECT node, b FROM reach JOIN e ON nd = a) SELECT node, min(nd) AS component FROM reach GROUP BY 1")
 def image_overlap_components(matched):
-    edges = overlaps(matched).select("a", "b")
+    edges = Rounds(matched.sparkSession).keep(overlaps(matched).select("a", "b"), "edges")  # every round reads them
     return graph.components(edges.select(F.col("a").alias("node")).distinct(), edges)
 
 
 def _zp(matched):
-    edges = overlaps(matched)
+    edges = Rounds(matched.sparkSession).keep(overlaps(matched), "edges")  # every round and level reads them
     labels = graph.components(edges.select(F.col("a").alias("node")).distinct(), edges)
     sizes = matched.groupBy(F.col("image_id").alias("node")).agg(F.count("*").alias("n"))
     return graph.propagate_zero_points(labels, graph.references(sizes, labels), edges)

@@ -314,3 +314,18 @@ def test_distortion(spark):
     assert (a.x_gdc, a.y_gdc, a.mag_gdc) == pytest.approx((1.01 * 10.25 + 0.41 + 3, 0.99 * 20.5 - 0.1025, 18.1))
     assert a.cov_xx_gdc == pytest.approx(1e-4 * (1.01**2 + 0.02**2)) and a.cov_xy_gdc == pytest.approx(1e-4 * (-0.0101 + 0.0198))
     assert b.x_gdc is None and b.mag_gdc == 18.0
+
+
+def test_the_pairs_of_images_are_formed_once(spark, sf, monkeypatch):
+    """Rounds over the image graph read written edges; the join of all pairs stands in no later plan."""
+    from skyspark.operators import graph
+    from skyspark.plans import tables
+
+    for name, steps in (("zp_bfs", ("components", "propagate_zero_points")), ("image_overlap_components", ("components",))):
+        plans = []
+        for step in steps:
+            real = getattr(graph, step)
+            monkeypatch.setattr(graph, step, lambda *a, real=real: plans.append([d._jdf.queryExecution().optimizedPlan().toString() for d in a if "b" in d.columns][0]) or real(*a))
+        assert tables.QUERIES[name](spark, sf).count() > 0
+        assert len(plans) == len(steps) and not any("Join" in p for p in plans)
+        monkeypatch.undo()
