@@ -329,3 +329,50 @@ def test_the_pairs_of_images_are_formed_once(spark, sf, monkeypatch):
         assert tables.QUERIES[name](spark, sf).count() > 0
         assert len(plans) == len(steps) and not any("Join" in p for p in plans)
         monkeypatch.undo()
+
+
+def test_tiles_of_pairs_of_images(monkeypatch):
+    """A task holds the blocks of one tile, not those of all images that its stars couple; the tiles together are the whole sum, and each star's covariance is whole."""
+    from skyspark.operators.blocks import Blocks
+
+    rng, n, m, side = np.random.default_rng(4), 8, 50, 7
+    monkeypatch.setattr(solver, "TILE_BYTES", 8 * (side * n) ** 2)
+    assert solver.tile_side(n) == side and solver.tile_side(20) >= 1
+    star = np.repeat(np.arange(30), 12)
+    place = np.concatenate([np.sort(rng.choice(m, 12, replace=False)) for _ in range(30)])
+    half, c = rng.normal(size=(len(star), n, 5)), rng.normal(size=(30, 5, 5))
+    c = (c @ c.transpose(0, 2, 1) + np.eye(5)) * 10.0 ** np.array([-6, 0, 3, 3, -1])[:, None] * 10.0 ** np.array([-6, 0, 3, 3, -1])
+    assert np.allclose(solver.root(c) @ solver.root(c).transpose(0, 2, 1), c, rtol=1e-10)
+    whole, cov = np.zeros((m * n, m * n)), rng.normal(size=(m * n, m * n))
+    cov = cov @ cov.T
+    for s in range(30):
+        for i in np.flatnonzero(star == s):
+            for j in np.flatnonzero(star == s):
+                whole[place[i] * n : place[i] * n + n, place[j] * n : place[j] * n + n] -= half[i] @ half[j].T
+    parts = cov.reshape(m, n, m, n)
+    got, total, tiles = Blocks(m, n), np.zeros((30, 15)), {}
+    for i, j, at, p, x in solver.star_tiles(star, place, half, side):
+        tiles.setdefault((i, j), []).append((star[at], np.frombuffer(p, np.int64), np.frombuffer(x)))
+    for (ti, tj), rows in tiles.items():
+        where = lambda: (np.array([s for s, _, _ in rows]), np.repeat(np.arange(len(rows)), [len(p) for _, p, _ in rows]), np.concatenate([p for _, p, _ in rows]))  # noqa: B023, E731
+        x = np.concatenate([x for _, _, x in rows])
+        a = solver.CouplingTile(ti, tj, n, side)
+        assert a.sums.nbytes <= solver.TILE_BYTES
+        a.star(*where(), x)
+        for p in a.finish():
+            for (i, j), y in zip(np.frombuffer(p["place"][0], np.int64).reshape(-1, 2).tolist(), np.frombuffer(p["x"][0]).reshape(-1, n, n), strict=True):
+                assert (i, j) not in got.held
+                got.held[i, j] = y
+        b = solver.CovarianceTile(ti, tj, n, side)
+        pairs = np.array([(i, j) for i in range(ti * side, min(m, ti * side + side)) for j in range(tj * side, min(m, tj * side + side))])
+        b.blocks(pairs.ravel(), np.array([parts[i, :, j] for i, j in pairs]).ravel())
+        one = b.star(*where(), x.reshape(-1, n, 5).transpose(0, 2, 1).ravel())
+        np.add.at(total, one["star"].to_numpy(), np.stack(one["part"]))
+    assert np.allclose(got.dense(), whole)
+    for s in range(30):
+        g = np.concatenate([half[i].T for i in np.flatnonzero(star == s)], 1)
+        at = (place[star == s][:, None] * n + np.arange(n)).ravel()
+        assert np.allclose(total[s], (g @ cov[np.ix_(at, at)] @ g.T)[solver.IU5])
+    spd = Blocks(m, n, dict(got.held) | {(i, i): got[i, i] + 1e4 * np.eye(n) for i in range(m)})
+    right = rng.normal(size=(m, n))
+    assert np.allclose(spd.correction(right), spd.solve(right)[0])
