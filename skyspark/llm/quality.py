@@ -8,8 +8,9 @@ threshold: 0.5 or more from the quantile on.
 Features of a whole text, none of them a word of a language: shares of classes of bytes (each ASCII sign by itself), length, and how much of the text
 repeats itself (the word before, words, pairs and triples of words, lines, the commonest word). They come from Arrow's buffers, many texts at a time.
 
-The fit runs on the driver over at most about ``SAMPLE`` labelled documents of each class, chosen by a hash of the id, in ``ROUNDS`` pairings of each with one of the other class. The
-level of the quantile is the one that parts the labels with the fewest errors, each class weighted back to its share of the labels; of several, the middle
+The fit takes every labelled document. Their features are written once; documents are dealt by a hash into groups of both classes (the rarer class's into several, where the other one
+has many more), and in a group each document has at least ``ROUNDS`` pairings with documents of the other class. Newton's steps are passes over the groups, of which the driver gets
+sums only. Sums are of whole numbers, so neither order nor partitions change them. The level of the quantile is the one that parts all labels with the fewest errors; of several, the middle
 of the widest gap between scores. Scoring runs over all rows and whole texts.
 
 Defined results: null texts count as empty ones, and both are scored like all others; without good or without bad labels every score is the good ones' share of the labels (0.5
@@ -18,16 +19,22 @@ without labels); of several labels of one document the largest counts, null labe
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skyspark.llm import common as C
 from skyspark.llm.byte_automaton import PIECE, Automaton, texts
 
-#: Labelled documents of each class that the fit uses, about, and the pairings of each.
-SAMPLE, ROUNDS = 3000, 8
+#: Pairings of each labelled document.
+ROUNDS = 8
+#: Documents of the rarer class and of the other one in a group, about.
+FEW, MANY = 64, 128
+#: Sums are kept in units of these: of features and their squares, and of the loss and its derivatives.
+UNIT, FINE = 1 << 24, 1 << 40
 #: Weight of the squared weights in the loss, by pair.
 RIDGE = 1e-3
 #: Rows whose words are held at a time, at most.
@@ -136,31 +143,45 @@ def pairs(good: int, bad: int, rounds: int = ROUNDS) -> np.ndarray:
     return np.concatenate(out)
 
 
-def rank_weights(better: np.ndarray, worse: np.ndarray, ridge: float = RIDGE, steps: int = 50) -> np.ndarray:
-    """Weights that minimise mean(log(1 + exp(-w . (better - worse)))) + ridge / 2 * w . w, by Newton's method with halved steps."""
-    d = better - worse
-    w = np.zeros(d.shape[1])
+def curved(d: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The sum of log(1 + exp(-w . d)) over the rows of d, its gradient and its second derivatives, one after the other."""
+    p = 1 / (1 + np.exp(np.clip(d @ w, -700, 700)))
+    return np.concatenate([[np.logaddexp(0, -d @ w).sum()], -d.T @ p, ((d * (p * (1 - p))[:, None]).T @ d).ravel()])
+
+
+def newton(sums: Callable[[np.ndarray], tuple[np.ndarray, int]], width: int, ridge: float = RIDGE, steps: int = 50) -> np.ndarray:
+    """Weights that minimise the mean loss + ridge / 2 * w . w, by Newton's method with halved steps. sums: what ``curved`` gives at some weights for all pairs, and their number."""
 
-    def loss(v):
-        return np.logaddexp(0, -d @ v).mean() + ridge / 2 * v @ v
+    def at(v):
+        total, n = sums(v)
+        m = total / n
+        return m[0] + ridge / 2 * v @ v, m[1 : width + 1] + ridge * v, m[width + 1 :].reshape(width, width) + ridge * np.eye(width)
 
-    now = loss(w)
+    w = np.zeros(width)
+    now, grad, curve = at(w)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(np.clip(d @ w, -700, 700)))
-        grad = ridge * w - d.T @ p / len(d)
         if np.abs(grad).max() < 1e-9:
             break
-        curve = (d * (p * (1 - p))[:, None]).T @ d / len(d) + ridge * np.eye(len(w))
         move = np.linalg.solve(curve, grad)
         step = 1.0
-        while (new := loss(w - step * move)) > now and step > 1e-6:
+        new = at(w - move)
+        while new[0] > now and step > 1e-6:
             step /= 2
-        w, gain, now = w - step * move, now - new, new
+            new = at(w - step * move)
+        if new[0] > now:
+            break
+        w, gain, (now, grad, curve) = w - step * move, now - new[0], new
         if gain < 1e-12:
             break
     return w
 
 
+def rank_weights(better: np.ndarray, worse: np.ndarray, ridge: float = RIDGE, steps: int = 50) -> np.ndarray:
+    """Weights of the pairs (better, worse), row by row."""
+    d = better - worse
+    return newton(lambda w: (curved(d, w), len(d)), d.shape[1], ridge, steps)
+
+
 def cut(scores: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
     """The quantile of the scores with the least weight of labels on its wrong side; of several, the middle of the widest gap."""
     by = np.argsort(scores, kind="stable")
@@ -175,40 +196,110 @@ def cut(scores: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
     return float(s[k] + gap[k] / 2)
 
 
-def train(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> Model:
-    """x: features; y: labels, 0 or 1; weight: how many labelled documents each one stands for."""
-    if not len(y) or y.min() == y.max():
-        return Model(flat=float(y[0]) if len(y) else 0.5)
-    centre, scale = x.mean(0), x.std(0)
-    scale = np.where(scale > 1e-9, scale, 1.0)
-    z = (x - centre) / scale
-    good, bad = z[y == 1], z[y == 0]
-    ab = pairs(len(good), len(bad))
-    model = Model(rank_weights(good[ab[:, 0]], bad[ab[:, 1]]), centre, scale)
-    model.threshold = cut(model.rank(x), y, weight)
-    return model
-
+def totals(rows: DataFrame, of: Callable, width: int) -> np.ndarray:
+    """Sums over all of a table's Arrow batches, as Python's whole numbers; of(batch) yields arrays of them. A task sends one row."""
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "quality", sample: int = SAMPLE) -> Model:
-    """labels: (doc_id, label) rows that may be learned from. The driver gets the features of the sample."""
-    given = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("learn_id")).agg((F.max(label) > 0).cast("int").alias("learn_y"))
-    counts = {r["learn_y"]: r["count"] for r in given.groupBy("learn_y").count().collect()}
-    grain = 1 << 40
-    part = {y: min(1.0, sample / n) for y, n in counts.items()}
-    upto = F.when(F.col("learn_y") == 1, F.lit(int(part.get(1, 0) * grain))).otherwise(F.lit(int(part.get(0, 0) * grain)))
-    chosen = given.where(F.pmod(F.xxhash64(F.lit("quality"), "learn_id"), F.lit(grain)) < upto)
+    def run(batches):
+        total = np.zeros(width, object)
+        for b in batches:
+            for part in of(b):
+                total = total + part
+        yield pa.RecordBatch.from_arrays([pa.array([" ".join(map(str, total))])], ["sums"])
+
+    out = np.zeros(width, object)
+    for r in rows.mapInArrow(run, "sums string").toLocalIterator():
+        out = out + np.array([int(v) for v in r["sums"].split(" ")], object)
+    return out
+
+
+def matrix(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, WIDTH)
+
+
+def dealt(rows: DataFrame, few: int, n_few: int, n_many: int) -> DataFrame:
+    """(good, bad): the features of a group's documents, one row a group. rows: id, y, x; few: the label of the rarer class. Its documents are in each group of their bucket, the others in one."""
+    buckets = max(1, n_few // FEW)
+    wide = max(1, -(-n_many // (buckets * MANY)))
+    by = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "id", "x"), F.lit(n))
+    one = F.when(F.col("y") == few, F.sequence(F.lit(0), F.lit(wide - 1))).otherwise(F.array(by("group", wide).cast("int")))
+    held = rows.select("y", "x", by("quality", buckets).alias("bucket"), F.explode(one).alias("group"))
+
+    def gather(t: pa.Table) -> pa.Table:
+        side = {0: [], 1: []}
+        for y, x in zip(t["y"].to_pylist(), t["x"].to_pylist(), strict=True):
+            side[y].append(x)
+        return pa.table({"good": pa.array([b"".join(sorted(side[1]))], pa.binary()), "bad": pa.array([b"".join(sorted(side[0]))], pa.binary())})
+
+    return held.groupBy("bucket", "group").applyInArrow(gather, "good binary, bad binary").where((F.length("good") > 0) & (F.length("bad") > 0))
+
+
+def split(scored: DataFrame, held: C.Scratch) -> float:
+    """``cut`` over a table (score, y) of any size: running sums within ranges of scores, and one row a range for the driver."""
+    by = scored.groupBy("score").agg(F.count_if(F.col("y") == 1).alias("good"), F.count_if(F.col("y") == 0).alias("bad"))
+    by = held.stored(by.repartitionByRange("score").withColumn("part", F.spark_partition_id()), "scores")
+    parts = sorted(by.groupBy("part").agg(F.min("score").alias("low"), F.sum("good").alias("good"), F.sum("bad").alias("bad")).collect(), key=lambda r: r["low"])
+    if sum(1 for _ in by.limit(2).collect()) < 2:
+        return float(parts[0]["low"])
+    # Wrong with the cut behind a score: the good ones up to it and the bad ones after it.
+    rows, wrong = [], sum(r["bad"] for r in parts)
+    for k, r in enumerate(parts):
+        rows.append((r["part"], wrong, parts[k + 1]["low"] if k + 1 < len(parts) else None))
+        wrong += r["good"] - r["bad"]
+    before = scored.sparkSession.createDataFrame(rows, "part int, before long, after double")
+    run = Window.partitionBy("part").orderBy("score")
+    d = by.join(F.broadcast(before), "part").withColumn("wrong", F.col("before") + F.sum(F.col("good") - F.col("bad")).over(run)).withColumn("next", F.coalesce(F.lead("score").over(run), "after"))
+    best = d.where("next IS NOT NULL").agg(F.min(F.struct("wrong", (F.col("score") - F.col("next")).alias("gap"), "score")).alias("b")).first()["b"]
+    return float(best["score"] - best["gap"] / 2)
+
+
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "quality") -> Model:
+    """labels: (doc_id, label) rows that may be learned from, all of them. The driver gets sums."""
+    held = C.Scratch()
+    given = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).cast("long").alias("id")).agg((F.max(label) > 0).cast("int").alias("y"))
 
     def run(batches):
         for b in C.slices(batches, ROWS):
-            x = features(b.column(0))
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([v.tobytes() for v in x], pa.binary())], ["y", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([v.tobytes() for v in features(b.column(1))], pa.binary())], ["id", "x"])
+
+    # Numbers are joined, not texts: these are much longer.
+    made = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).where("id IS NOT NULL").mapInArrow(run, "id long, x binary")
+    rows = held.stored(made.join(given, "id"), "quality")
+
+    def moments(b):
+        for part in C.slices([b], 16):  # so few that squares stay below 2 ** 63
+            q, y = np.rint(matrix(part.column(1)) * UNIT).astype(np.int64), part.column(0).to_numpy()
+            yield np.concatenate([[len(y), y.sum()], q.sum(0), (q * q).sum(0)]).astype(object)
+
+    n, good, *rest = totals(rows.select("y", "x"), moments, 2 + 2 * WIDTH)
+    if good in (0, n):
+        held.clear()
+        return Model(flat=float(good > 0) if n else 0.5)
+    first, second = rest[:WIDTH], rest[WIDTH:]
+    centre = np.array([a / n / UNIT for a in first])
+    scale = np.sqrt(np.array([(n * b - a * a) / (n * n) for a, b in zip(first, second, strict=True)])) / UNIT
+    scale = np.where(scale > 1e-9, scale, 1.0)
+    few = int(2 * good < n)
+    groups = held.stored(dealt(rows, few, good if few else n - good, n - good if few else good), "quality-groups")
 
-    # About 2 * sample ids at most: the broadcast is bounded by the parameter.
-    rows = docs.select(F.col(text).alias("text"), F.col(doc_id).alias("doc_id")).join(F.broadcast(chosen), F.col("doc_id") == F.col("learn_id"))
-    got = sorted((bytes(r["x"]), r["y"]) for r in rows.select("text", F.col("learn_y").alias("y")).mapInArrow(run, "y int, x binary").toLocalIterator())
-    x = np.array([np.frombuffer(v, np.float64) for v, _ in got]).reshape(len(got), WIDTH)
-    y = np.array([k for _, k in got], np.int64)
-    return train(x, y, np.array([1 / part[k] for _, k in got]))
+    def sums(w):
+        def of(b):
+            for x, y in zip(b.column(0), b.column(1), strict=True):
+                better, worse = [(np.frombuffer(v.as_py(), np.float64).reshape(-1, WIDTH) - centre) / scale for v in (x, y)]
+                ab = pairs(len(better), len(worse))
+                yield np.array([len(ab), *[int(v) for v in np.rint(curved(better[ab[:, 0]] - worse[ab[:, 1]], w) * FINE)]], object)
+
+        n, *total = totals(groups, of, 2 + WIDTH + WIDTH * WIDTH)
+        return np.array([v / FINE for v in total]), n
+
+    model = Model(newton(sums, WIDTH), centre, scale)
+
+    def score(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(model.rank(matrix(b.column(1)))), b.column(0)], ["score", "y"])
+
+    model.threshold = split(rows.select("y", "x").mapInArrow(score, "score double, y int"), held)
+    held.clear()
+    return model
 
 
 def judge(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -225,5 +316,6 @@ def judge(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op11: every whole text of documents."""
     docs, labels = C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "labels")
-    model = fit(docs, labels.where(C.remainder(F.col("doc_id"), 3) != 1))
+    learnable = lambda df: df.where(C.remainder(F.col("doc_id"), 3) != 1)
+    model = fit(learnable(docs), learnable(labels))
     return judge(docs, model).select("doc_id", (C.remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")

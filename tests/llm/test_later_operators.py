@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from skyspark.llm import common as C
 from skyspark.llm import conversations, quality, resampling
 from skyspark.llm.byte_automaton import Automaton
 
@@ -147,6 +148,27 @@ def test_quality(spark, sf):
         assert {r.score for r in quality.judge(docs(spark, EDGE), quality.fit(docs(spark, EDGE), few)).collect()} == {flat}
 
 
+def test_quality_learns_from_all(spark):
+    texts = [f"w{i % 97} " * (1 + i % 13) + "!" * (i % 7) for i in range(5000)]
+    y = [int(i % 50 != 0 and i % 7 < 5) for i in range(5000)]
+    d = docs(spark, list(enumerate(texts)))
+    model = quality.fit(d, spark.createDataFrame(list(enumerate(y)), "doc_id long, quality int").repartition(5))
+    x = quality.features(pa.array(texts))
+    assert np.allclose(model.centre, x.mean(0), atol=1e-6) and np.allclose(model.scale, np.where(x.std(0) > 1e-9, x.std(0), 1), atol=1e-6)
+    again = quality.fit(d.repartition(7), spark.createDataFrame(list(enumerate(y)), "doc_id long, quality int"))
+    assert np.array_equal(model.weights, again.weights) and model.threshold == again.threshold
+    y, s = np.array(y), model.rank(x)
+    assert ((s >= model.threshold) == (y == 1)).mean() == ((s >= quality.cut(s, y, np.ones(5000))) == (y == 1)).mean() > 0.9
+
+
+def test_quality_split_equals_cut(spark):
+    rng = np.random.default_rng(5)
+    for span in (1, 2, 30, 100_000):
+        s, y = rng.integers(0, span, 400) / 8, rng.integers(0, 2, 400)
+        scored = spark.createDataFrame([(float(a), int(b)) for a, b in zip(s, y, strict=True)], "score double, y int").repartition(4)
+        assert quality.split(scored, C.Scratch()) == quality.cut(s, y, np.ones(400))
+
+
 def test_quality_held_out(spark):
     sf = "/root/testdata/sf0.1"
     truth = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
