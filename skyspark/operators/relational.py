@@ -23,8 +23,11 @@ def conform(df: DataFrame, schema) -> DataFrame:
 def image_pairs(df: DataFrame, image: str, star: str, mag: str, least: int = 3) -> DataFrame:
     """Edges between images that share ``least`` stars or more, in both directions: a, b, zp (median of mag_a - mag_b), n."""
     rows = df.where(F.col(mag).isNotNull() & ~F.isnan(mag)).select(F.col(star).alias("s"), F.col(image).alias("i"), F.col(mag).alias("m"))
-    a, b = rows.select("s", F.col("i").alias("a"), F.col("m").alias("ma")), rows.select("s", F.col("i").alias("b"), F.col("m").alias("mb"))
-    half = a.join(b, "s").where("a < b").groupBy("a", "b").agg(F.median(F.col("ma") - F.col("mb")).alias("zp"), F.count("*").alias("n")).where(F.col("n") >= least)
+    # A star's images are listed once; each image is sent the rest of the list, two arrays instead of a row a pair, and meets its pairs where they are counted.
+    seen = rows.groupBy("s").agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("l")).select(F.col("l.i").alias("i"), F.col("l.m").alias("m"))
+    rest = seen.select("i", "m", F.posexplode("i").alias("k", "a")).select("a", F.expr("m[k]").alias("ma"), F.expr("slice(i, k + 2, size(i))").alias("b"), F.expr("slice(m, k + 2, size(i))").alias("mb")).where("size(b) > 0")
+    pairs = rest.repartition("a").select("a", "ma", F.explode(F.arrays_zip("b", "mb")).alias("p")).select("a", "ma", "p.b", "p.mb").where("a < b")
+    half = pairs.groupBy("a", "b").agg(F.median(F.col("ma") - F.col("mb")).alias("zp"), F.count("*").alias("n")).where(F.col("n") >= least)
     return half.withColumn("way", F.explode(F.array(F.lit(1), F.lit(-1)))).select(F.when(F.col("way") == 1, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(F.col("way") == 1, F.col("b")).otherwise(F.col("a")).alias("b"), (F.col("zp") * F.col("way")).alias("zp"), "n")
 
 

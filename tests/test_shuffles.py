@@ -10,6 +10,18 @@ from pyspark.sql import functions as F
 from skyspark.operators import relational, spatial
 
 
+def test_image_pairs_sends_lists_not_pairs(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(i), int(s), float(m)) for (i, s), m in zip({(a, b) for a, b in rng.integers(0, 12, (90, 2))}, rng.normal(20, 1, 90), strict=False)] + [(1, 1, None), (2, 1, float("nan"))]
+    out = relational.image_pairs(spark.createDataFrame(rows, "i long, s long, m double"), "i", "s", "m")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("hashpartitioning") == 2  # by star, by image; before, partial medians of all pairs by both images
+    by = {(i, s): m for i, s, m in rows if m is not None and m == m}
+    diffs = {(a, b): [by[a, s] - by[b, s] for s in range(12) if (a, s) in by and (b, s) in by] for a in range(12) for b in range(12) if a != b}
+    got = {(r.a, r.b): (r.zp, r.n) for r in out.collect()}
+    assert {k: (pytest.approx(float(np.median(v))), len(v)) for k, v in diffs.items() if len(v) >= 3} == got
+
+
 def test_detections_are_dealt_by_image_once(spark):
     from skyspark.plans import catalog
 
