@@ -45,8 +45,17 @@ def neighbour_stats(df: DataFrame, radius: float, key: str, mag: str, keys: tupl
     """Per row: neighbours within radius, distance of the nearest and of the nearest brighter one."""
     a = df.select(*keys, F.col(key).alias("a"), F.col(mag).alias("ma"), F.col(x).alias("x"), F.col(y).alias("y"))
     b = df.select(*keys, F.col(key).alias("b"), F.col(mag).alias("mb"), F.col(x).alias("x"), F.col(y).alias("y"))
-    near = pairs_within(a, b, radius, keys).where("a <> b").groupBy(*keys, "a").agg(F.count("*").alias("n_near"), F.min("distance").alias("nearest"), F.min(F.when(F.col("mb") < F.col("ma"), F.col("distance"))).alias("nearest_brighter"))
-    return df.select(*keys, F.col(key).alias("a")).join(near, [*keys, "a"], "left").withColumn("n_near", F.coalesce("n_near", F.lit(0))).withColumnRenamed("a", key)
+    # An outer join, so that rows without neighbours need no second reading of df.
+    l, r = _cells(a, "x", "y", radius, True), _cells(b.withColumnsRenamed({"x": "__bx", "y": "__by"}), "__bx", "__by", radius, False)  # noqa: E741
+    own = [*keys, "__cx", "__cy"]
+    l, r = l.select(*own, "a", "ma", "x", "y"), r.withColumnsRenamed({k: f"__r{k}" for k in own})  # noqa: E741
+    dx, dy = F.col("__bx") - F.col("x"), F.col("__by") - F.col("y")
+    distance = F.sqrt(dx * dx + dy * dy)
+    on = (F.col("a") != F.col("b")) & (distance <= radius)
+    for k in own:
+        on = on & (F.col(k) == F.col(f"__r{k}"))
+    near = l.join(r, on, "left").groupBy(*keys, "a").agg(F.count("b").alias("n_near"), F.min(distance).alias("nearest"), F.min(F.when(F.col("mb") < F.col("ma"), distance)).alias("nearest_brighter"))
+    return near.withColumnRenamed("a", key)
 
 
 def brightest(df: DataFrame, keys: tuple[str, ...], mag: str, key: str, n: int) -> DataFrame:

@@ -10,6 +10,14 @@ from pyspark.sql import functions as F
 from skyspark.operators import relational, spatial
 
 
+def test_neighbour_stats_reads_its_table_twice_only(spark):
+    rows = [(1, 1, 5.0, 0.0, 0.0), (1, 2, 4.0, 3.0, 4.0), (1, 3, 6.0, 90.0, 0.0), (1, 4, 6.0, None, 0.0), (2, 1, 5.0, 1.0, 1.0)]
+    d = spark.createDataFrame(rows, "k int, i int, mag double, x double, y double")
+    out = spatial.neighbour_stats(d, 10.0, "i", "mag", ("k",))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 2  # a third reading for rows without neighbours before
+    assert sorted(map(tuple, out.collect()), key=lambda r: r[:2]) == [(1, 1, 1, 5.0, 5.0), (1, 2, 1, 5.0, None), (1, 3, 0, None, None), (1, 4, 0, None, None), (2, 1, 0, None, None)]
+
+
 def test_image_pairs_sends_lists_not_pairs(spark):
     rng = np.random.default_rng(4)
     rows = [(int(i), int(s), float(m)) for (i, s), m in zip({(a, b) for a, b in rng.integers(0, 12, (90, 2))}, rng.normal(20, 1, 90), strict=False)] + [(1, 1, None), (2, 1, float("nan"))]
