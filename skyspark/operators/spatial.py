@@ -6,8 +6,12 @@ neighbouring cells."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from skyspark.operators.rounds import Rounds
 
@@ -62,20 +66,52 @@ def brightest(df: DataFrame, keys: tuple[str, ...], mag: str, key: str, n: int)
     return df.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(mag, key))).where(F.col("__r") <= n).drop("__r")
 
 
-def offset_peaks(left: DataFrame, right: DataFrame, keys: tuple[str, ...], reach: float, width: float, scales: Column | None = None, weight: Column | None = None) -> DataFrame:
+def offset_peaks(left: DataFrame, right: DataFrame, keys: tuple[str, ...], reach: float, width: float, scales: Column | None = None) -> DataFrame:
     """Per key the shift (dx, dy) that most pairs of right - left share: the highest 3 x 3 sum of a histogram of the differences.
 
-    Both sides are cut beforehand (see brightest), so a key's pairs are bounded. scales: an array of scale changes to try about
-    (0, 0); weight: a pair's weight over the joined columns (1). Returns keys, scale, dx, dy, votes."""
-    rows = left.withColumn("scale", F.explode(scales if scales is not None else F.array(F.lit(0.0)))).withColumns({"__ax": F.col("x") * (F.col("scale") + 1), "__ay": F.col("y") * (F.col("scale") + 1)}).drop("x", "y")
-    r = _cells(right.withColumnsRenamed({"x": "__bx", "y": "__by"}), "__bx", "__by", reach, False)
-    d = _cells(rows, "__ax", "__ay", reach, True).join(r, [*keys, "__cx", "__cy"]).withColumns({"dx": F.col("__bx") - F.col("__ax"), "dy": F.col("__by") - F.col("__ay")})
-    d = d.where((F.abs("dx") <= reach) & (F.abs("dy") <= reach))
-    bins = d.groupBy(*keys, "scale", F.floor(F.col("dx") / width).cast("long").alias("i"), F.floor(F.col("dy") / width).cast("long").alias("j")).agg(F.sum(weight if weight is not None else F.lit(1.0)).alias("w"))
-    around = F.array(*[F.struct((F.col("i") + a).alias("i"), (F.col("j") + b).alias("j")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-    box = bins.withColumn("c", F.explode(around)).groupBy(*keys, "scale", "c.i", "c.j").agg(F.sum("w").alias("votes"))
-    best = box.groupBy(*keys).agg(F.max_by(F.struct("scale", "i", "j", "votes"), F.struct(F.col("votes"), -F.abs("scale"), -F.col("scale"), -F.col("i"), -F.col("j"))).alias("b"))
-    return best.select(*keys, "b.scale", ((F.col("b.i") + 0.5) * width).alias("dx"), ((F.col("b.j") + 0.5) * width).alias("dy"), "b.votes")
+    Both sides are cut beforehand (see brightest), so a key's pairs are bounded; they are counted in the task that holds the key's rows, and no pair is shuffled.
+    scales: an array of scale changes to try about (0, 0). Returns keys, scale, dx, dy, votes."""
+    kinds = dict(left.dtypes)
+    schema = "".join(f"`{k}` {kinds[k]}, " for k in keys) + "scale double, dx double, dy double, votes double"
+    n = int(np.ceil(reach / width)) + 2
+    span = 2 * n + 1
+    around = np.array([i * span + j for i in (-1, 0, 1) for j in (-1, 0, 1)])
+
+    def votes(x: np.ndarray, y: np.ndarray, bx: np.ndarray, by: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Boxes by number, and their votes."""
+        found = []
+        for at in range(0, len(x), 256):
+            dx, dy = bx - x[at : at + 256, None], by - y[at : at + 256, None]
+            near = (np.abs(dx) <= reach) & (np.abs(dy) <= reach)
+            found.append((np.floor(dx[near] / width).astype(np.int64) + n) * span + np.floor(dy[near] / width).astype(np.int64) + n)
+        bins, count = np.unique(np.concatenate(found), return_counts=True)
+        boxes, of = np.unique((bins[:, None] + around).ravel(), return_inverse=True)
+        return boxes, np.bincount(of, np.repeat(count, 9), len(boxes))
+
+    def peak(a: pa.Table, b: pa.Table) -> pa.Table:
+        ax, ay, bx, by = [np.asarray(t[k].to_numpy(), np.float64) for t in (a, b) for k in ("x", "y")]
+        lists = a["__scales"].to_pylist()
+        trial, row = np.array([v for one in lists for v in one or ()], np.float64), np.repeat(np.arange(len(lists)), [len(one or ()) for one in lists])
+        best = []
+        with np.errstate(invalid="ignore"):
+            for scale in np.unique(trial):
+                of = row[trial == scale]
+                boxes, sums = votes(ax[of] * (scale + 1), ay[of] * (scale + 1), bx, by)
+                if len(boxes):
+                    k = int(sums.argmax())  # of equal ones the smallest i, then j
+                    best.append((-sums[k], abs(scale), scale, int(boxes[k])))
+        if not best:
+            return pa.table({f.name: pa.array([], f.type) for f in to_arrow_schema(out)})
+        most, _, scale, box = min(best)
+        dx, dy = (box // span - n + 0.5) * width, (box % span - n + 0.5) * width
+        return pa.table({**{k: a[k].slice(0, 1) for k in keys}, "scale": [float(scale)], "dx": [dx], "dy": [dy], "votes": [float(-most)]})
+
+    def side(df: DataFrame, *more: Column):
+        return df.dropna(subset=list(keys)).select(*keys, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), *more).groupBy(*keys)
+
+    trials = scales if scales is not None else F.array(F.lit(0.0))
+    out = StructType.fromDDL(schema)
+    return side(left, trials.cast("array<double>").alias("__scales")).cogroup(side(right)).applyInArrow(peak, schema)
 
 
 def footprint_counts(boxes: DataFrame, points: DataFrame, cell: float = 0.1) -> DataFrame:

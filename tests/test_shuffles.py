@@ -18,6 +18,27 @@ def test_neighbour_stats_reads_its_table_twice_only(spark):
     assert sorted(map(tuple, out.collect()), key=lambda r: r[:2]) == [(1, 1, 1, 5.0, 5.0), (1, 2, 1, 5.0, None), (1, 3, 0, None, None), (1, 4, 0, None, None), (2, 1, 0, None, None)]
 
 
+def test_offset_peaks_shuffles_no_pairs(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k, float(x), float(y)) for k in range(3) for x, y in rng.uniform(0, 300, (80, 2))] + [(7, float("nan"), 1.0), (None, 1.0, 1.0)]
+    a = spark.createDataFrame(rows, "k int, x double, y double")
+    b = a.where("k < 2 OR k IS NULL").select("k", (F.col("x") * 1.01 + 9).alias("x"), (F.col("y") * 1.01 - 4).alias("y"))
+    scales = [-0.01, 0.0, 0.01]
+    out = spatial.offset_peaks(a, b, ("k",), 40.0, 3.0, F.array(*map(F.lit, scales)))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "Join" not in plan  # the two sides by key; before, bins and boxes too
+    want = []
+    for k in range(2):
+        p = np.array([r[1:] for r in rows if r[0] == k])
+        tried = []
+        for s in scales:
+            bins = Counter((math.floor(u / 3), math.floor(v / 3)) for x, y in p for X, Y in p * 1.01 + (9, -4) if abs(u := X - x * (s + 1)) <= 40 and abs(v := Y - y * (s + 1)) <= 40)
+            tried += [(-sum(bins[i + m, j + n] for m in (-1, 0, 1) for n in (-1, 0, 1)), abs(s), s, i, j) for i in range(-15, 15) for j in range(-15, 15)]
+        v, _, s, i, j = min(tried)
+        want.append((k, s, (i + 0.5) * 3, (j + 0.5) * 3, float(-v)))
+    assert sorted(map(tuple, out.collect())) == want
+
+
 def test_image_pairs_sends_lists_not_pairs(spark):
     rng = np.random.default_rng(4)
     rows = [(int(i), int(s), float(m)) for (i, s), m in zip({(a, b) for a, b in rng.integers(0, 12, (90, 2))}, rng.normal(20, 1, 90), strict=False)] + [(1, 1, None), (2, 1, float("nan"))]
