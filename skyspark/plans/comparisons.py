@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skyspark.operators import compare, relational, robust
+from skyspark.operators.rounds import Rounds
 from skyspark.plans.adapters import registry
 from skyspark.plans.scalar import r
 from skyspark.plans.tables import STATS, rounded
@@ -74,6 +75,7 @@ def zp_consistency(matched):
 @query("matched", sql=f"""WITH {STATS}, i AS (SELECT image_id, count(*) >= 400 AS offset_mag_ok FROM matched GROUP BY 1)
 SELECT image_id, source_id, n_same_filter, round(mag - mean, 6) AS mag_residual_from_wmean, n_same_filter = 1 OR NOT list_contains(outs, image_id) AS is_mag_consistent, (n_same_filter = 1 OR NOT list_contains(outs, image_id)) AND offset_mag_ok AS is_trustworthy FROM matched JOIN q USING (source_id) JOIN i USING (image_id)""")
 def source_quality(matched):
+    matched = Rounds(matched.sparkSession).keep(matched.select("image_id", "source_id", "mag", "mag_err"), "matched")  # read four times, made once
     stats = robust.source_magnitudes(matched, "source_id", "image_id", "mag", "mag_err", 1.0)
     images = matched.groupBy("image_id").agg((F.count("*") >= 400).alias("offset_mag_ok"))
     d = compare.source_quality(matched.select("image_id", "source_id", "mag"), stats, images, "source_id", "image_id", "mag")

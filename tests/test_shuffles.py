@@ -51,6 +51,13 @@ def test_image_pairs_sends_lists_not_pairs(spark):
     assert {k: (pytest.approx(float(np.median(v))), len(v)) for k, v in diffs.items() if len(v) >= 3} == got
 
 
+def test_source_quality_makes_the_matches_once(spark):
+    from skyspark.plans import comparisons
+
+    out = comparisons.QUERIES["source_quality"](spark, "/root/testdata/sf0.001")
+    assert "lineitem" not in "".join(out.inputFiles()) and out.count()  # four times before
+
+
 def test_detections_are_dealt_by_image_once(spark):
     from skyspark.plans import catalog
 
