@@ -35,7 +35,8 @@ def positions(matched, stars, images):
 @query("matched", "stars", "images")
 def source_association(matched, stars, images):
     """Master list of each filter, tile by tile and image after image; tested for what must hold of it."""
-    d = positions(matched, stars, images)
+    d = positions(matched, stars, images).drop("source_id", "is_star")
+    d = rounds.Rounds(d.sparkSession).keep(d, "positions")  # read three times, made once
     out = association.associate_tiles(d, ["filter"], 40.0, 0.5, 60_000.0)
     return out.join(d.select("filter", "image", "det", "mag", "sigma"), ["filter", "image", "det"]).groupBy("filter", "first_image", "first_det").agg(F.count("*").alias("n_detect"), r(F.sum(F.col("mag") / F.col("sigma") / F.col("sigma")) / F.sum(1 / F.col("sigma") / F.col("sigma"))).alias("mag_wmean"))
 

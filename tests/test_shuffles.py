@@ -63,3 +63,10 @@ def test_detections_are_dealt_by_image_once(spark):
 
     plan = catalog.queries()["top_n_per_image"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1  # by l_suppkey and again by image_id before
+
+
+def test_source_association_makes_the_positions_once(spark):
+    from skyspark.plans import sources
+
+    out = sources.QUERIES["source_association"](spark, "/root/testdata/sf0.001")
+    assert "lineitem" not in "".join(out.inputFiles())  # twice before
