@@ -70,3 +70,10 @@ def test_source_association_makes_the_positions_once(spark):
 
     out = sources.QUERIES["source_association"](spark, "/root/testdata/sf0.001")
     assert "lineitem" not in "".join(out.inputFiles())  # twice before
+
+
+def test_reclassified_catalogue_reads_its_table_once_a_step(spark):
+    from skyspark.plans import floors
+
+    out = floors.QUERIES["reclassified_catalogue"](spark, "/root/testdata/sf0.001")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Relation [") <= 7  # 14 before, by a join of the table with itself
