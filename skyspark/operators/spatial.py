@@ -6,12 +6,16 @@ neighbouring cells."""
 
 from __future__ import annotations
 
+import math
+from collections import defaultdict
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from skyspark.operators.rounds import Rounds
 
@@ -142,21 +146,76 @@ def match_sets(a: DataFrame, b: DataFrame, keys: tuple[str, ...], radius: float,
     return ok.where((F.col("distance") <= limit) & (F.abs(F.col("ma") - F.col("mb")) <= gate))
 
 
-def isolated(df: DataFrame, radius: float, keys: tuple[str, ...], key: str, mag: str, rounds: int = 1000) -> DataFrame:
-    """Rows that stay when, brightest first, each row removes fainter ones within radius.
-
-    Each round keeps what is brightest among what is left around it and drops its neighbours."""
-    held, k = Rounds(df.sparkSession), [*keys, "a"]
-    a = df.select(*keys, F.col(key).alias("a"), F.col(mag).alias("ma"), "x", "y")
-    links = held.keep(pairs_within(a, a.withColumnsRenamed({"a": "b", "ma": "mb"}), radius, keys).where("a <> b").select(*k, "b", (F.struct("mb", "b") < F.struct("ma", "a")).alias("loses")), "links")
-    left = held.keep(df.select(*keys, F.col(key).alias("a")), "left")
-    for _ in range(rounds):
-        alive = held.keep(links.join(left, k, "left_semi").join(left.withColumnRenamed("a", "b"), [*keys, "b"], "left_semi"), "links")
-        won = held.add(left.join(alive.where("loses"), k, "left_anti"), "won")
-        gone = alive.join(won, k, "left_semi").select(*keys, F.col("b").alias("a")).distinct()
-        left = held.keep(left.join(won, k, "left_anti").join(gone, k, "left_anti"), "left")
-        links = alive
-        if left.isEmpty():
+def isolated(df: DataFrame, radius: float, keys: tuple[str, ...], key: str, mag: str, tile: float = 128.0, rounds: int = 1000) -> DataFrame:
+    """Rows that stay when, brightest first, each row removes fainter ones within radius (see isolated_keys)."""
+    return df.join(isolated_keys(df, radius, keys, key, mag, tile, rounds), [*keys, key], "left_semi")
+
+
+def isolated_keys(df: DataFrame, radius: float, keys: tuple[str, ...], key: str, mag: str, tile: float = 128.0, rounds: int = 1000) -> DataFrame:
+    """The keys and key (unique in them, neither null) of the rows that stay when, brightest first and of equal ones the smaller key first, each row removes fainter ones within radius.
+
+    A row without magnitude or finite place neither removes nor is removed. A task sweeps one tile of one key value, ``tile`` radii wide, with a halo of six radii; no pair leaves it, and df, if
+    parted by keys, is not shuffled again. What hangs on rows that a tile doesn't see stays open. The next round's tiles lie elsewhere and take only open rows and the rows kept near them; its brightest open row is always decided."""
+    width, halo = tile * radius, 6 * radius
+    around = [i * 1_000_000 + j for i in (-1, 0, 1) for j in (-1, 0, 1)]
+    held, own = Rounds(df.sparkSession), ["__key", "__mag", "__x", "__y", "__stays"]
+    rest = df.dropna(subset=[*keys, key]).select(*keys, F.col(key).alias("__key"), F.col(mag).alias("__mag"), F.col("x").cast("double").alias("__x"), F.col("y").cast("double").alias("__y"), F.lit(False).alias("__stays"))
+    schema = StructType([StructField(f.name, f.dataType) for f in rest.schema])
+
+    def swept(rest: DataFrame, n: int) -> DataFrame:
+        """Rows that were open and now stay, or are open still. Places are given of open rows and of those that other tiles see or later rounds need."""
+        start = -width * (0.25 + n * 0.618 % 1)  # at first, places from 0 to 0.75 of a tile less the halo lie in one tile, as an image's mostly do
+
+        def sweep(t: pa.Table) -> pa.Table:
+            t = t.take(pc.sort_indices(t, [("__stays", "descending"), ("__mag", "ascending"), ("__key", "ascending")]))
+            place, known = [t[c].to_numpy() for c in ("__x", "__y")], t["__stays"].to_numpy()
+            placed = np.isfinite(place[0]) & np.isfinite(place[1]) & t["__mag"].is_valid().to_numpy()
+            mine, whole, edge, cell = np.ones(len(t), bool), np.ones(len(t), bool), np.zeros(len(t), bool), np.zeros(len(t), np.int64)
+            for v, k in zip(place, ("__tx", "__ty"), strict=True):
+                v, number = np.where(placed, v, v[placed][0] if placed.any() else 0.0), t[k][0].as_py()
+                tile_of = lambda d, v=v: np.floor((v - start + d) / width)
+                mine &= tile_of(0.0) == number
+                whole &= (tile_of(2 * radius - halo) <= number) & (tile_of(halo - 2 * radius) >= number)  # all that is near was sent here
+                edge |= tile_of(-halo) != tile_of(halo)
+                at = np.floor(v / radius)
+                cell = cell * 1_000_000 + (at - at.min()).astype(np.int64)
+            kept, unsure = defaultdict(list), defaultdict(set)
+            stays, opened, rows = ~placed, np.zeros(len(t), bool), np.flatnonzero(placed)
+
+            def near(seen: dict, c: int, x: float, y: float) -> bool:
+                return any(math.sqrt((x - u) * (x - u) + (y - v) * (y - v)) <= radius for d in around if c + d in seen for u, v in seen[c + d])
+
+            for first in range(0, len(rows), 65536):
+                some = rows[first : first + 65536]
+                for i, x, y, c, fixed, sees in zip(some.tolist(), *[v[some].tolist() for v in (*place, cell, known, whole)], strict=True):
+                    if not fixed and near(kept, c, x, y):
+                        continue
+                    if not fixed and (not sees or near(unsure, c, x, y)):
+                        unsure[c].add((x, y))
+                        opened[i] = True
+                    else:
+                        kept[c].append((x, y))
+                        stays[i] = True
+            out = np.flatnonzero((mine | ~placed) & ~known & (stays | opened))
+            t, given = t.take(out), pa.array((opened | (placed & edge) | (n > 0))[out])
+            given = {c: pc.if_else(given, t[c], pa.scalar(None, t[c].type)) for c in ("__mag", "__x", "__y")}
+            return pa.table({**{k: t[k] for k in (*keys, "__key")}, **given, "__stays": stays[out]})
+
+        in_place = (F.abs("__x") < float("inf")) & (F.abs("__y") < float("inf")) & F.col("__mag").isNotNull()
+        tiles = rest
+        for v, k, other in (("__x", "__tx", F.pmod(F.hash("__key"), F.lit(64)).cast("long")), ("__y", "__ty", F.lit(0).cast("long"))):
+            ends = [F.floor((F.col(v) - start + d) / width) for d in (-halo, halo)]
+            tiles = tiles.withColumn(k, F.explode(F.when(in_place, F.sequence(*ends)).otherwise(F.array(other))))
+        return tiles.groupBy(*keys, "__tx", "__ty").applyInArrow(sweep, schema)
+
+    for n in range(rounds):
+        done = held.add(swept(rest, n), "swept")
+        still = done.where("NOT __stays")
+        if still.isEmpty():
             held.drop()
-            return df.join(held.all("won").withColumnRenamed("a", key), [*keys, key], "left_semi")
-    raise RuntimeError(f"isolated did not end in {rounds} rounds")
+            return held.all("swept").where("__stays").select(*keys, F.col("__key").alias(key))
+        kept = done.where("__stays AND __x IS NOT NULL")
+        kept = _cells(kept.unionByName(rest.where("__stays")) if n else kept, "__x", "__y", radius, False)
+        beside = _cells(still, "__x", "__y", radius, True).select(*keys, "__cx", "__cy")
+        rest = held.keep(still.unionByName(kept.join(beside, [*keys, "__cx", "__cy"], "left_semi").select(*keys, *own)), "rest")
+    raise RuntimeError(f"isolated_keys did not end in {rounds} rounds")

@@ -104,7 +104,7 @@ g(image_id, k, i, stays, kept) AS (SELECT image_id, k, i, true, [i] FROM o WHERE
 SELECT image_id, i AS catalog_index FROM g WHERE stays""")
 def isolated_detections(det):
     """Detections that stay when brighter ones remove fainter ones within 60 pixels; the SQL takes an image's detections one after the other."""
-    return spatial.isolated(det.select("image_id", "catalog_index", "mag", "x", "y"), 60.0, ("image_id",), "catalog_index", "mag").select("image_id", "catalog_index")
+    return spatial.isolated_keys(det, 60.0, ("image_id",), "catalog_index", "mag")
 
 
 @query("matched", sql="SELECT source_id, round(sum((cov_yy*dx*dx + cov_xx*dy*dy - 2*cov_xy*dx*dy)/(cov_xx*cov_yy - cov_xy*cov_xy)), 4) AS chi2_hst, count(*) AS n_det_chi2, round(sum((cov_yy*dx*dx + cov_xx*dy*dy - 2*cov_xy*dx*dy)/(cov_xx*cov_yy - cov_xy*cov_xy))/greatest(2*count(*) - 5, 1), 4) AS chi2_hst_red FROM (SELECT *, (x - floor(x))*0.0317e0 AS dx, (y - floor(y))*0.0317e0 AS dy FROM matched) GROUP BY 1")

@@ -77,3 +77,48 @@ def test_reclassified_catalogue_reads_its_table_once_a_step(spark):
 
     out = floors.QUERIES["reclassified_catalogue"](spark, "/root/testdata/sf0.001")
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Relation [") <= 7  # 14 before, by a join of the table with itself
+
+
+def _kept(rows, radius):
+    """Sequential: (k, i, mag, x, y), brightest first; rows without magnitude or finite place stay apart."""
+    apart = lambda r: r[2] is None or any(v is None or not math.isfinite(v) for v in r[3:])
+    got, kept = {r[:2] for r in rows if apart(r)}, []
+    for r in sorted((r for r in rows if not apart(r)), key=lambda r: (r[2] != r[2], r[2] if r[2] == r[2] else 0.0, r[1])):
+        if all(r[0] != s[0] or math.sqrt((r[3] - s[3]) ** 2 + (r[4] - s[4]) ** 2) > radius for s in kept):
+            kept.append(r)
+    return got | {r[:2] for r in kept}
+
+
+def test_isolated_crosses_tiles_and_keeps_what_has_no_magnitude(spark):
+    rng = np.random.default_rng(6)
+    rows = [(int(i % 2), i, float(m), float(x), float(y)) for i, (m, x, y) in enumerate(zip(rng.integers(0, 40, 1200) / 4, *rng.uniform(-150, 150, (2, 1200)), strict=True))]
+    rows += [(2, i, float(i), 4.0 * i, -3.0 * i) for i in range(120)]  # a chain through many tiles, faintest last
+    rows += [(3, i, 1.0, 7.0, 7.0) for i in range(3000)]  # copies
+    nan = float("nan")
+    rows += [(4, 0, None, 0.0, 0.0), (4, 1, 2.0, 1.0, 0.0), (4, 2, None, 1.0, 1.0), (4, 3, 1.0, nan, 0.0), (4, 4, 1.0, None, 0.0), (4, 5, nan, 2.0, 0.0), (4, 7, nan, 30.0, 0.0), (4, 6, nan, 31.0, 0.0), (4, 8, 5.0, 33.0, float("inf"))]
+    d = spark.createDataFrame(rows, "k int, i int, mag double, x double, y double").repartition(3)
+    want = _kept(rows, 6.0)
+    for tile in (2.0, 9.0, 128.0):
+        got = [tuple(r) for r in spatial.isolated_keys(d, 6.0, ("k",), "i", "mag", tile).collect()]
+        assert len(got) == len(want) and set(got) == want  # a row without magnitude removed its neighbours before, as if it were the brightest
+    assert {(r.k, r.i) for r in spatial.isolated(d, 6.0, ("k",), "i", "mag").collect()} == want
+
+
+def test_isolated_sends_each_detection_once(spark):
+    from skyspark.plans import sources
+
+    sc = spark.sparkContext
+    stages = lambda: {s.stageId(): s.shuffleWriteRecords() for s in _stages(sc)}
+    before = stages()
+    out = sources.QUERIES["isolated_detections"](spark, "/root/testdata/sf0.001")
+    assert "lineitem" not in "".join(out.inputFiles()) and out.count()
+    sent = sum(n for i, n in stages().items() if i not in before)
+    assert sent <= spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count() + 100  # three times, and at size nine copies of each for the join, before
+
+
+def _stages(sc):
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    none, java = sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util
+    found = sc._jsc.sc().statusStore().stageList(java.ArrayList(), False, False, none, java.ArrayList()).iterator()
+    while found.hasNext():
+        yield found.next()
