@@ -182,7 +182,7 @@ def isolated_keys(df: DataFrame, radius: float, keys: tuple[str, ...], key: str,
             kept, unsure = defaultdict(list), defaultdict(set)
             stays, opened, rows = ~placed, np.zeros(len(t), bool), np.flatnonzero(placed)
 
-            def near(seen: dict, c: int, x: float, y: float) -> bool:
+            def near(seen: dict[int, list | set], c: int, x: float, y: float) -> bool:
                 return any(math.sqrt((x - u) * (x - u) + (y - v) * (y - v)) <= radius for d in around if c + d in seen for u, v in seen[c + d])
 
             for first in range(0, len(rows), 65536):
