@@ -347,6 +347,41 @@ def test_discovery_takes_all_stars_in_a_crowded_field():
     assert len(i) == k and (j == i + n - k).all() and abs(t.ratio - 1) < 1e-6
 
 
+def crowded(seed: int):
+    """Stars in dense rows, two at some places with other magnitudes, and 80 of them turned, scaled and shifted as an image's detections; the true star of each."""
+    rng = np.random.default_rng(seed)
+    x, y = (v.ravel() for v in np.meshgrid(np.arange(-950, 5050, 7.2), np.arange(-920, 5020, 144.0)))
+    on = np.repeat(np.arange(len(x)), rng.poisson(0.7, len(x)))
+    x, y, mag = x[on], y[on], 14 + rng.permutation(len(on)) % 70 / 10
+    k, turn = np.sort(rng.choice(len(on), 80, replace=False)), np.radians(0.06)
+    dx, dy = x[k] - 2048 + 9, y[k] - 2048 - 12
+    u, v = (np.cos(turn) * dx - np.sin(turn) * dy) * 1.0008 + 2048, (np.sin(turn) * dx + np.cos(turn) * dy) * 1.0008 + 2048
+    cov = lambda n: np.tile([1e-4, 0.0, 1e-4], (n, 1))
+    star = imagematch.Points(x, y, mag, cov(len(x)), np.full(len(x), 1e-2), None, np.ones(len(x), bool))
+    det = imagematch.Points(u + rng.uniform(-0.01, 0.01, 80), v + rng.uniform(-0.01, 0.01, 80), mag[k] + 2 + rng.uniform(-0.02, 0.02, 80), cov(80) * 2, rng.uniform(0, 1, 80), rng.uniform(0.5, 3.5, 80), rng.random(80) < 0.67)
+    return det, star, k
+
+
+def test_crowded_rows_are_matched():
+    """Where a fit to all first pairs agrees with none of them, those that fit worst go, and an image isn't lost."""
+    for seed in (7, 18, 28, 32):
+        det, star, k = crowded(seed)
+        found = imagematch.match(det, star, imagematch.Options())
+        assert found is not None
+        _, _, i, j, *_ = found
+        assert len(i) >= 76 and (j == k[i]).mean() > 0.97
+
+
+def test_more_than_five_stars_share_a_place():
+    """A detection's star isn't lost among others at its place, though they are nearer by a hair."""
+    n = 12
+    star = imagematch.Points(np.full(n, 2000.0) + np.arange(n)[::-1] * 1e-9, np.full(n, 2000.0), 14 + np.arange(n) * 0.5, np.tile([1e-4, 0.0, 1e-4], (n, 1)), np.full(n, 1e-2), None, np.ones(n, bool))
+    det = imagematch.Points(np.array([2000.0]), np.array([2000.0]), star.mag[:1], star.cov[:1], np.zeros(1), np.ones(1), np.ones(1, bool))
+    t = imagematch.Affine(np.eye(2), 2000.0, 2000.0, 2000.0, 2000.0, np.eye(6) * 1e-9)
+    i, j, *_, cost = imagematch.candidates(t, det, star, np.zeros(2), 0.0, imagematch.Options())
+    assert len(j) == n and j[np.argmin(cost)] == 0
+
+
 def test_offset_histogram_in_parts(monkeypatch):
     rng = np.random.default_rng(6)
     ax, ay = rng.uniform(0, 500, (2, 300))
