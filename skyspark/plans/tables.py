@@ -322,7 +322,7 @@ def close_pairs(det):
 @query("detections", sql="""WITH n AS (SELECT p.image_id, p.catalog_index, p.mag AS m, q.mag AS qm, sqrt((p.x-q.x)*(p.x-q.x) + (p.y-q.y)*(p.y-q.y)) AS d FROM detections p JOIN detections q ON p.image_id = q.image_id AND p.catalog_index <> q.catalog_index WHERE (p.x-q.x)*(p.x-q.x) + (p.y-q.y)*(p.y-q.y) <= 10000.0)
 SELECT d.image_id, d.catalog_index, count(n.d) AS n_near, round(min(n.d), 6) AS nearest, round(min(n.d) FILTER (qm < m), 6) AS nearest_brighter FROM detections d LEFT JOIN n USING (image_id, catalog_index) GROUP BY 1, 2""")
 def neighbour_stats(det):
-    return rounded(spatial.neighbour_stats(det, 100.0, "catalog_index", "mag", ("image_id",)))
+    return rounded(spatial.neighbours_in_tiles(det, 100.0, "catalog_index", "mag", ("image_id",)))
 
 
 @query("detections", sql="""WITH t AS (SELECT image_id, catalog_index, mag, x, y FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY mag, catalog_index) AS k FROM detections) WHERE k <= 1000), a AS (SELECT image_id, x, y, floor(x/100)::BIGINT + u AS cx, floor(y/100)::BIGINT + v AS cy FROM t, (VALUES (-1),(0),(1)) p(u), (VALUES (-1),(0),(1)) q(v)),

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skyspark.operators import relational, spatial
+from skyspark.plans import tables
 
 
 def test_neighbour_stats_reads_its_table_twice_only(spark):
@@ -18,6 +19,21 @@ def test_neighbour_stats_reads_its_table_twice_only(spark):
     assert sorted(map(tuple, out.collect()), key=lambda r: r[:2]) == [(1, 1, 1, 5.0, 5.0), (1, 2, 1, 5.0, None), (1, 3, 0, None, None), (1, 4, 0, None, None), (2, 1, 0, None, None)]
 
 
+def test_neighbours_in_tiles_shuffle_rows_once(spark):
+    """The rows of neighbour_stats(), whatever the tiles, by one shuffle of the rows and no join; parted by the key already, as the query's are, by none."""
+    rng = np.random.default_rng(6)
+    rows = [(None if k == 3 else int(k), i, None if i % 17 == 0 else math.nan if i % 19 == 0 else float(i * 7 % 23), None if i % 31 == 0 else float(x), math.nan if i % 29 == 0 else float(y)) for i, (k, x, y) in enumerate(zip(rng.integers(0, 4, 400), rng.uniform(-300, 300, 400), rng.uniform(-90, 90, 400), strict=True))]
+    d = spark.createDataFrame(rows, "k int, i int, mag double, x double, y double")
+    want = sorted(map(tuple, spatial.neighbour_stats(d, 25.0, "i", "mag", ("k",)).collect()), key=lambda r: r[1])
+    for tile in (128.0, 2.0):
+        out = spatial.neighbours_in_tiles(d, 25.0, "i", "mag", ("k",), tile=tile)
+        assert sorted(map(tuple, out.collect()), key=lambda r: r[1]) == want
+    plan = spatial.neighbours_in_tiles(d.repartition("k"), 25.0, "i", "mag", ("k",))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    query = tables.QUERIES["neighbour_stats"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert query.count("Exchange") == 1 and "Join" not in query
+
+
 def test_offset_peaks_shuffles_no_pairs(spark):
     rng = np.random.default_rng(3)
     rows = [(k, float(x), float(y)) for k in range(3) for x, y in rng.uniform(0, 300, (80, 2))] + [(7, float("nan"), 1.0), (None, 1.0, 1.0)]
